@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import lines, mixing, shards, simhash
+from bindery.llm import decontaminate, html, langid, lines, mixing, quality, shards, simhash, toxicity
 from bindery.llm.common import table
 
 
@@ -18,6 +18,31 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
+
+
+def _crc_rest(parts: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(_crc_rest(3) == 1, F.lit(False))
+    labels = table(spark, sf_dir, "labels").where(~held_out)
+    out = toxicity.score(table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("long"))
+
+
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.assess(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "log_ppl", "low", "high")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = simhash.near_duplicate_groups(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -36,11 +61,22 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "source", "copies")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(_crc_rest(4) == 2, F.lit(False))
+    out = langid.identify(table(spark, sf_dir, "documents"), train=~held_out)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op3_decontamination": op3_decontamination,
+    "op4_toxicity": op4_toxicity,
+    "op5_html_extraction": op5_html_extraction,
+    "op6_quality_rules": op6_quality_rules,
     "op7_simhash": op7_simhash,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLE_SQL = {
@@ -62,5 +98,25 @@ WITH d AS (
   FROM k LEFT JOIN f ON k.line_key = f.line_key GROUP BY k.row_id
 )
 SELECT d.doc_id, m.n_lines, m.n_dropped, sha256(m.kept) AS kept_sha256 FROM d JOIN m ON d.row_id = m.row_id
+""",
+    "op3_decontamination": r"""
+WITH dw AS (
+  SELECT row_number() OVER () AS row_id, doc_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM documents
+), iw AS (
+  SELECT row_number() OVER () AS item_row, item_id, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}_]+') AS w FROM benchmark
+), ds AS (
+  SELECT DISTINCT row_id, array_to_string(w[k : k + 4], ' ') AS s
+  FROM (SELECT row_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM dw WHERE len(w) > 0)
+), its AS (
+  SELECT DISTINCT item_row, array_to_string(w[k : k + 4], ' ') AS s
+  FROM (SELECT item_row, w, unnest(range(1, greatest(len(w) - 3, 2))) AS k FROM iw WHERE len(w) > 0)
+), q AS (
+  SELECT item_row, count(*) AS n_item FROM its GROUP BY item_row
+), hits AS (
+  SELECT row_id, item_row, count(*) AS n_shared FROM ds JOIN its USING (s) GROUP BY row_id, item_row
+)
+SELECT dw.doc_id, iw.item_id, n_shared, n_item, n_shared / n_item AS containment
+FROM hits JOIN q USING (item_row) JOIN dw USING (row_id) JOIN iw USING (item_row)
+WHERE n_shared >= 0.8 * n_item
 """,
 }
