@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import decontaminate, html, langid, lines, mixing, quality, shards, simhash, toxicity
+from bindery.llm import decontaminate, html, langid, lines, lm, mixing, quality, shards, simhash, toxicity
 from bindery.llm.common import table
 
 
@@ -18,6 +18,11 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.stupid_backoff(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", F.round("score", 6).alias("score"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.withColumn("containment", F.col("n_shared") / F.col("n_item"))
@@ -27,10 +32,18 @@ def _crc_rest(parts: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(parts))
 
 
+def _toxicity_held_out():
+    return F.coalesce(_crc_rest(3) == 1, F.lit(False))
+
+
+def toxicity_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labels that may be learnt from."""
+    return table(spark, sf_dir, "labels").where(~_toxicity_held_out()).select("doc_id", "toxic")
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held_out = F.coalesce(_crc_rest(3) == 1, F.lit(False))
-    labels = table(spark, sf_dir, "labels").where(~held_out)
-    out = toxicity.score(table(spark, sf_dir, "documents"), labels)
+    held_out = _toxicity_held_out()
+    out = toxicity.score(table(spark, sf_dir, "documents"), toxicity_labels(spark, sf_dir))
     return out.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
@@ -49,7 +62,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = shards.shard_documents(table(spark, sf_dir, "documents"), n_shards=8)
+    return sharding_result(table(spark, sf_dir, "documents"))
+
+
+def sharding_result(docs: DataFrame) -> DataFrame:
+    out = shards.shard_documents(docs, n_shards=8)
     return out.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("place").alias("slot"),
         F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
@@ -69,6 +86,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_decontamination": op3_decontamination,
     "op4_toxicity": op4_toxicity,
     "op5_html_extraction": op5_html_extraction,
@@ -98,6 +116,27 @@ WITH d AS (
   FROM k LEFT JOIN f ON k.line_key = f.line_key GROUP BY k.row_id
 )
 SELECT d.doc_id, m.n_lines, m.n_dropped, sha256(m.kept) AS kept_sha256 FROM d JOIN m ON d.row_id = m.row_id
+""",
+    "op2_lm_scoring": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
+  FROM documents
+), w AS (
+  SELECT row_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM d
+), b AS (
+  SELECT row_id, word, lag(word) OVER (PARTITION BY row_id ORDER BY pos) AS prev FROM w
+), uni AS (
+  SELECT word, count(*) AS c FROM w GROUP BY word
+), bi AS (
+  SELECT prev, word, count(*) AS c FROM b WHERE prev IS NOT NULL GROUP BY prev, word
+), s AS (
+  SELECT b.row_id, CASE WHEN b.prev IS NULL THEN log10(u.c / (SELECT count(*) FROM w)) ELSE log10(bi.c / p.c) END AS v
+  FROM b JOIN uni u ON b.word = u.word LEFT JOIN uni p ON b.prev = p.word LEFT JOIN bi ON b.prev = bi.prev AND b.word = bi.word
+), m AS (
+  SELECT row_id, avg(v) AS score FROM s GROUP BY row_id
+)
+SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, round(m.score, 6) AS score FROM d LEFT JOIN m ON d.row_id = m.row_id
 """,
     "op3_decontamination": r"""
 WITH dw AS (
