@@ -8,8 +8,9 @@ Exploded n-grams and count tables meet by hash: a word's hash (48 bits) names it
 of that word with the word after it. The unigram and bigram counts that a bucket needs are thus its own, and the
 occurrences are joined to them and summed for each document there. Occurrences travel packed, one row for each block of
 documents and bucket, and a task reads one bucket after the other from Spark's sorted shuffle, so that memory is bound
-by a bucket. A bucket has about ``bucket_words`` words on average, at every size of the corpus; a word of a larger share
-makes a larger bucket. Documents outside the training set send the words of unseen bigrams on, as a table joined to the
+by a bucket of about ``bucket_words`` occurrences, at every size of the corpus. Hot words and pairs, those with over twice
+as many occurrences, are counted beforehand; there can be no more of them than buckets. Occurrences of a hot word are
+dealt by the pair instead, and hot pairs are scored where they are read, from the broadcast counts. Documents outside the training set send the words of unseen bigrams on, as a table joined to the
 unigram counts.
 
 Defined cases: null, empty and blank texts have 0 words and a null score; repeated rows are documents of their own and
@@ -27,15 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.common import stage, word_count
-from bindery.llm.wordhash import word_hashes
+from bindery.llm.wordhash import mixed, word_hashes
 
 ALPHA = 0.4
-BUCKET_WORDS = 1 << 20
+BUCKET_WORDS = 1 << 19
 BLOCK_CHARS = 4 << 20
 END = np.uint64(0)  # no word follows
 FIRST = np.uint64(1)  # stands for the request of a first word's own count
 
-_PACKED = "bucket bigint, block bigint, docs {ids}, words binary, ctx binary, runs binary, next binary, doc binary, n bigint"
+_PACKED = "bucket bigint, block bigint, docs {ids}, words binary, local binary, ctx binary, runs binary, next binary, doc binary, n bigint"
 
 
 def _words(text: str | None) -> np.ndarray:
@@ -58,6 +59,92 @@ def _occurrences(words: np.ndarray, lengths: np.ndarray, counted: bool):
     )
 
 
+def _pairs(words: np.ndarray, after: np.ndarray) -> np.ndarray:
+    return mixed(words * np.uint64(0x9E3779B97F4A7C15) ^ after * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+class Hot:
+    """Sorted hashes of hot words and pairs with their counts."""
+
+    def __init__(self, words: dict[int, int] | None = None, pairs: dict[int, int] | None = None):
+        (self.words, self.word_counts), (self.pairs, self.pair_counts) = (
+            (np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)], np.int64)) for d in (words or {}, pairs or {}))
+
+    @staticmethod
+    def counts(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Counts of hot hashes, 0 for others."""
+        if not len(known):
+            return np.zeros(len(hashes), np.int64)
+        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+        return np.where(known[at] == hashes, counts[at], 0)
+
+
+def _shares(docs: DataFrame, least: float, hashes) -> DataFrame:
+    """(h): hashes that are at least ``least`` of all those of some task. One with such a share of the whole corpus is
+    among them."""
+
+    def run(batches):
+        parts, total = [], 0
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                h, n = hashes(_words(t))
+                total += n
+                if len(h):
+                    parts.append(np.unique(h, return_counts=True))
+                if len(parts) >= 4096:
+                    parts = [_merged(parts)]
+        if parts:
+            h, n = _merged(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(h[n >= least * total].view(np.int64))], ["h"])
+
+    return docs.select("text").mapInArrow(run, "h bigint").distinct()
+
+
+def _merged(parts):
+    h, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    return h, np.bincount(back, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
+
+
+def _exact(docs: DataFrame, candidates: DataFrame, over: int, hashes) -> dict[int, int]:
+    """Counts of the candidates that occur over ``over`` times: no more than the corpus's words over ``over``."""
+    spark = docs.sparkSession
+    known = spark.sparkContext.broadcast(np.sort(np.array([r.h for r in candidates.collect()], np.int64).view(np.uint64)))
+    if not len(known.value):
+        return {}
+
+    def run(batches):
+        held = np.zeros(len(known.value), np.int64)
+        for b in batches:
+            for t in b.column(0).to_pylist():
+                h, _ = hashes(_words(t))
+                if len(h):
+                    at = np.minimum(np.searchsorted(known.value, h), len(held) - 1)
+                    held += np.bincount(at[known.value[at] == h], minlength=len(held))
+        yield pa.RecordBatch.from_arrays([pa.array(known.value.view(np.int64)), pa.array(held)], ["h", "n"])
+
+    sums = docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
+    return {r.h & (1 << 64) - 1: r.n for r in sums.where(F.col("n") > over).collect()}
+
+
+def hot_ngrams(docs: DataFrame, total: int, over: int) -> Hot:
+    """Words and pairs that occur over ``over`` times among the ``total`` words."""
+    if total <= over:
+        return Hot()
+    least = over / total
+    same = lambda w: (w, len(w))
+    words = _exact(docs, _shares(docs, least, same), over, same)
+    if not words:
+        return Hot()
+    hot = Hot(words)
+
+    def pairs(w):  # of hot words only: a hot pair starts with one
+        a = w[:-1]
+        some = Hot.counts(a, hot.words, hot.word_counts) > 0
+        return _pairs(a[some], w[1:][some]), len(w)
+
+    return Hot(words, _exact(docs, _shares(docs, least, pairs), over, pairs))
+
+
 def _split48(x: np.ndarray) -> bytes:
     return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint16).tobytes()
 
@@ -67,7 +154,7 @@ def _join48(raw: bytes) -> np.ndarray:
     return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
 
 
-def _packed(docs: DataFrame, n_buckets: int, role: int) -> DataFrame:
+def _packed(docs: DataFrame, n_buckets: int, role: int, hot, total: int) -> DataFrame:
     """Blocks of occurrences by bucket. ``role``: 0 documents that are counted and scored, 1 counted, 2 scored."""
     kind = docs.schema["doc_id"].dataType
     names = [c.split()[0] for c in _PACKED.split(", ")]
@@ -76,9 +163,21 @@ def _packed(docs: DataFrame, n_buckets: int, role: int) -> DataFrame:
         hashed = [_words(t) for t in texts]
         lengths = np.array([len(h) for h in hashed], np.int64)
         words, after, doc = _occurrences(np.concatenate([np.zeros(0, np.uint64), *hashed]), lengths, role != 2)
-        order = np.lexsort((doc, words)) if len(words) else np.zeros(0, np.int64)
-        words, after, doc = words[order], after[order], doc[order]
-        bucket = ((words >> np.uint64(16)) * np.uint64(n_buckets)) >> np.uint64(32)
+        key, local = words, np.zeros(len(texts))
+        if len(hot.value.words):
+            c_word = Hot.counts(words, hot.value.words, hot.value.word_counts)
+            pair = _pairs(words, after)
+            c_pair = Hot.counts(pair, hot.value.pairs, hot.value.pair_counts)
+            here = (c_word > 0) & ((after == END) | (after == FIRST) | (c_pair > 0))
+            first = (c_word > 0) & (after == FIRST)
+            value = np.log10(np.where(first, c_word / max(total, 1), np.maximum(c_pair, 1) / np.maximum(c_word, 1)))
+            valued = here & (after != END)
+            local = np.bincount(doc[valued], weights=value[valued], minlength=len(texts))
+            key = np.where(c_word > 0, pair >> np.uint64(16), words)[~here]
+            words, after, doc = words[~here], after[~here], doc[~here]
+        bucket = ((key >> np.uint64(16)) * np.uint64(n_buckets)) >> np.uint64(32)
+        order = np.lexsort((doc, words, bucket)) if len(words) else np.zeros(0, np.int64)
+        words, after, doc, bucket = words[order], after[order], doc[order], bucket[order]
         cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(words) else []
         out = {k: [] for k in names}
         for a, b in zip(cuts, [*cuts[1:], len(words)]):
@@ -96,7 +195,8 @@ def _packed(docs: DataFrame, n_buckets: int, role: int) -> DataFrame:
         directory = pa.concat_arrays([pa.nulls(rows - 1, pa.list_(ids.type)), pa.ListArray.from_arrays([0, len(ids)], ids)])
         return pa.RecordBatch.from_arrays(
             [pa.array(out["bucket"], pa.int64()), pa.array([block] * rows, pa.int64()), directory,
-             pa.array([*[None] * (rows - 1), lengths.tobytes()], pa.binary()), *[pa.array(out[k], pa.binary()) for k in ("ctx", "runs", "next", "doc")],
+             pa.array([*[None] * (rows - 1), lengths.tobytes()], pa.binary()),
+             pa.array([*[None] * (rows - 1), local.tobytes()], pa.binary()), *[pa.array(out[k], pa.binary()) for k in ("ctx", "runs", "next", "doc")],
              pa.array([role] * rows, pa.int64())], names)
 
     def run(batches):
@@ -113,7 +213,7 @@ def _packed(docs: DataFrame, n_buckets: int, role: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, _PACKED.format(ids=f"array<{kind.simpleString()}>"))
 
 
-def _bucket_sums(parts: list[dict], total: int, seen_all: bool):
+def _bucket_sums(parts: list[dict], total: int, seen_all: bool, hot: Hot):
     """Log10 sums of one bucket's occurrences: (block, document numbers, sums) for each block, unseen (block, document,
     word) and the bucket's unigram counts."""
     words = np.concatenate([np.repeat(_join48(p["ctx"]), np.frombuffer(p["runs"], np.uint32)) for p in parts])
@@ -122,10 +222,10 @@ def _bucket_sums(parts: list[dict], total: int, seen_all: bool):
     counted = np.repeat([p["n"] != 2 for p in parts], sizes)
     scored = np.repeat([p["n"] != 1 for p in parts], sizes)
     unigrams, uni = np.unique(words, return_inverse=True)
-    c_word = np.bincount(uni, weights=counted & (after != FIRST), minlength=len(unigrams))
-    pair = words * np.uint64(0x9E3779B97F4A7C15) ^ after * np.uint64(0xC2B2AE3D27D4EB4F)
-    pair ^= pair >> np.uint64(32)
-    _, bi = np.unique(pair, return_inverse=True)
+    own = np.bincount(uni, weights=counted & (after != FIRST), minlength=len(unigrams))
+    known = Hot.counts(unigrams, hot.words, hot.word_counts)  # a hot word's occurrences are in many buckets
+    c_word = np.where(known > 0, known, own)
+    _, bi = np.unique(_pairs(words, after), return_inverse=True)
     c_pair = np.bincount(bi, weights=counted)
     first, seen = after == FIRST, c_pair[bi] > 0
     value = np.zeros(len(words))
@@ -147,7 +247,7 @@ def _bucket_sums(parts: list[dict], total: int, seen_all: bool):
         block = np.repeat([p["block"] for p in parts], sizes)[unseen]
         doc = np.concatenate([np.frombuffer(p["doc"], np.uint16) for p in parts])[unseen]
         rest = (block, doc, after[unseen])
-    return sums, rest, (unigrams, c_word)
+    return sums, rest, (unigrams[known == 0], own[known == 0])
 
 
 _SUMS = "kind int, block bigint, docs {ids}, words binary, at binary, sums binary, word bigint, doc int, n bigint"
@@ -160,13 +260,13 @@ def _empty(schema_names: list[str], ids_type: pa.DataType, **columns) -> pa.Reco
     return pa.RecordBatch.from_arrays([columns[k].cast(types[k]) if k in columns else pa.nulls(rows, types[k]) for k in schema_names], schema_names)
 
 
-def _summed(packed: DataFrame, total: int, seen_all: bool) -> DataFrame:
+def _summed(packed: DataFrame, total: int, seen_all: bool, hot) -> DataFrame:
     """Rows of kind 0 a block's documents, 1 its sums from a bucket, 2 an unseen word, 3 a unigram count."""
     ids = packed.schema["docs"].dataType.simpleString()
     names = [c.split()[0] for c in _SUMS.split(", ")]
 
     def finished(parts, ids_type):
-        sums, rest, (unigrams, counts) = _bucket_sums(parts, total, seen_all)
+        sums, rest, (unigrams, counts) = _bucket_sums(parts, total, seen_all, hot.value)
         if sums:
             yield _empty(names, ids_type, kind=pa.array([1] * len(sums)), block=pa.array([s[0] for s in sums]),
                          at=pa.array([s[1].tobytes() for s in sums]), sums=pa.array([s[2].tobytes() for s in sums]))
@@ -183,7 +283,7 @@ def _summed(packed: DataFrame, total: int, seen_all: bool) -> DataFrame:
             listed = pc.is_valid(b.column(2))
             own = b.filter(listed)
             if own.num_rows:
-                yield _empty(names, ids_type, kind=pa.array([0] * own.num_rows), block=own.column(1), docs=own.column(2), words=own.column(3), n=own.column(8))
+                yield _empty(names, ids_type, kind=pa.array([0] * own.num_rows), block=own.column(1), docs=own.column(2), words=own.column(3), sums=own.column(4), n=own.column(9))
             rest = b.filter(pc.invert(listed))
             for bucket, row in zip(rest.column(0).to_pylist(), rest.select(["block", "ctx", "runs", "next", "doc", "n"]).to_pylist()):
                 if bucket != at and held:
@@ -204,22 +304,26 @@ def stupid_backoff(docs: DataFrame, train: DataFrame | None = None, alpha: float
     counted = docs if train is None else train
     total = counted.select(F.sum(word_count(F.col("text")))).first()[0] or 0
     n_buckets = max(1, -(-total // bucket_words))
+    found = hot_ngrams(counted, total, 2 * bucket_words)
+    hot = docs.sparkSession.sparkContext.broadcast(found)
     if train is None:
-        parts = _summed(_packed(docs, n_buckets, 0), total, True)
+        parts = _summed(_packed(docs, n_buckets, 0, hot, total), total, True, hot)
     else:
-        packed = _packed(docs, n_buckets, 2).unionByName(_packed(train, n_buckets, 1))
-        parts = stage(_summed(packed, total, False), "ngram-sums")
+        packed = _packed(docs, n_buckets, 2, hot, total).unionByName(_packed(train, n_buckets, 1, hot, total))
+        parts = stage(_summed(packed, total, False, hot), "ngram-sums")
         unseen = parts.where("kind = 2").select("block", "doc", "word")
         counts = parts.where("kind = 3").select("word", F.col("n").alias("c"))
+        hot_counts = [(int(w), int(c)) for w, c in zip(found.words, found.word_counts)]
+        counts = counts.unionByName(docs.sparkSession.createDataFrame(hot_counts, "word bigint, c bigint"))
         back = F.log10(F.lit(alpha) * F.coalesce(F.col("c"), F.lit(0.5)) / F.lit(max(total, 1)))
         late = unseen.join(counts, "word", "left").groupBy("block", "doc").agg(F.sum(back).alias("late"))
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def merged(batches):
-        lengths, sums, ids, at = None, [], None, None
+        lengths, first, sums, ids, at = None, None, [], None, None
 
         def finished():
-            out = np.zeros(len(lengths))
+            out = first.copy()
             for d, s in sums:
                 out[d] += s
             mean = np.divide(out, lengths, out=np.full(len(lengths), np.nan), where=lengths > 0)
@@ -235,7 +339,7 @@ def stupid_backoff(docs: DataFrame, train: DataFrame | None = None, alpha: float
                     at, lengths, sums, ids = block, None, [], None
                 if row_kind == 0:
                     ids = b.column(2)[k].values
-                    lengths = np.frombuffer(b.column(3)[k].as_py(), np.int64)
+                    lengths, first = (np.frombuffer(b.column(c)[k].as_py(), t) for c, t in ((3, np.int64), (5, np.float64)))
                 else:
                     sums.append((np.frombuffer(b.column(4)[k].as_py(), np.uint16), np.frombuffer(b.column(5)[k].as_py(), np.float64)))
         if lengths is not None:

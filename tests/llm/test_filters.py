@@ -287,7 +287,7 @@ def scores_by_hand(texts, train):
     return out
 
 
-@pytest.mark.parametrize("bucket_words", [1 << 20, 40])
+@pytest.mark.parametrize("bucket_words", [1 << 20, 700, 40])
 def test_backoff_matches_brute_force(spark, monkeypatch, bucket_words):
     monkeypatch.setattr(lm, "BLOCK_CHARS", 500)
     r = random.Random(10)
@@ -299,6 +299,8 @@ def test_backoff_matches_brute_force(spark, monkeypatch, bucket_words):
         got = {x.doc_id: (x.n_words, x.score) for x in lm.stupid_backoff(docs, given, bucket_words=bucket_words).collect()}
         for k, (n, s) in enumerate(scores_by_hand(texts, counted)):
             assert got[k][0] == n and (got[k][1] is None if s is None else math.isclose(got[k][1], s, rel_tol=1e-9))
+    hot = lm.hot_ngrams(docs, sum(n for n, _ in scores_by_hand(texts, [])), 2 * bucket_words)
+    assert (len(hot.words) > 0) == (len(hot.pairs) > 0) == (bucket_words < 1000)
     assert lm.stupid_backoff(docs.limit(0)).count() == 0
     twice = lm.stupid_backoff(docs.union(docs).withColumn("doc_id", F.lit(None).cast("long")))
     assert twice.count() == 2 * len(texts)
