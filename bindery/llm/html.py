@@ -39,11 +39,12 @@ DROP = frozenset(
 CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}, "p": BLOCK}
 SCOPE = frozenset("ul ol dl table div article section main body td th".split())
 _BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|sponsor(?:ed)?|promo(?:tion)?|banner|sidebar|side-bar|cookies?|consent|gdpr|"
-    r"notices?|popup|modal|overlay|newsletter|subscribe|signup|share|sharing|social|related|recommended|trending|breadcrumbs?|menu|nav|"
-    r"navbar|navigation|pagination|pager|footer|comments?|commentlist|respond|replies|disqus|toolbar|skip-link|widget|copyright)(?:$|[\s_-])"
+    r"(?:^|[\s_-])(?:ads?|ad(?:slot|box|banner|unit|sense|wrap|wrapper)|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:s|tion|tions)?|"
+    r"banner|sidebars?|cookies?|consent|gdpr|notices?|alerts?|announcements?|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|"
+    r"sharing|social|related|recommended|trending|breadcrumbs?|menus?|nav|navbar|navigation|pagination|pager|footer|comments?|commentlist|respond|"
+    r"replies|disqus|toolbar|skiplink|widgets?|copyright)(?:\d*)(?:$|[\s_-])"
 )
-_PAGE_HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|top-bar)(?:$|[\s_-])")
+_PAGE_HEADER = frozenset("header site-header page-header main-header global-header masthead topbar top-bar".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert dialog alertdialog".split())
 ARTICLE = frozenset(("article", "main"))
 
@@ -81,7 +82,7 @@ class Lines(HTMLParser):
         for k, v in attrs:
             if k in ("class", "id") and v and tag not in ("html", "body"):
                 v = v.lower()
-                if _BOILER.search(v) or (not inside and tag not in ARTICLE and _PAGE_HEADER.search(v)):
+                if _BOILER.search(v) or (not inside and tag not in ARTICLE and not _PAGE_HEADER.isdisjoint(v.split())):
                     return True
             elif k == "role" and v and v.lower() in _ROLES:
                 return True

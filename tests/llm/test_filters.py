@@ -90,6 +90,7 @@ Line break and much more text to be read here."""
 def test_main_text():
     assert html.main_text(PAGE) == TEXT
     assert html.main_text(PAGE.replace("<article>", "<div class=content>", 1).replace("</article></div>", "</div></div>")) == TEXT
+    assert html.main_text('<div class="post-header"><h1>T</h1></div><div class=site-header>S</div><p>Some longer text here.</p>') == "T\nSome longer text here."
     assert html.main_text(None) == html.main_text("") == html.main_text("<p></p>") == ""
     assert html.main_text("<p>Only this") == "Only this"
     cut = html.main_text(PAGE[: PAGE.index("Point two")])
