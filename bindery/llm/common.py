@@ -14,13 +14,15 @@ BLANKS = " \t\n\x0b\x0c\r"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, as in tests, a new temporary one."""
+    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, as in tests, a temporary one."""
     at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="bindery-")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
+    if not at and not _own:
+        _own.append(tempfile.mkdtemp(prefix="bindery-"))
+    return (at or _own[0]).rstrip("/")
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
