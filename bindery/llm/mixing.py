@@ -7,7 +7,8 @@ r = min(most, exp(m * size / mean size)). Newton's method solves the dual: every
 the (source, size) counts, and steps that leave the bracket of the root are halved back into it.
 
 Rates become whole copies by systematic rounding in the order of sizes: with F the running sum of the rates' fractions,
-a document gets one more copy where F passes a whole number. A source is thus off by less than its largest document.
+a document gets one more copy where F passes a whole number. A source is thus off by less than its largest document;
+then up to ``ROUNDS`` times, the document whose size is nearest to what its source is off by gets a copy more or less.
 Ranks among documents of one source and size come from pieces of about ``piece`` rows, so no window spans a source.
 
 Targets share all tokens by weight 1, 2, 3, repeating over the sources by code point, null last, and stop at ``most``
@@ -28,6 +29,7 @@ from pyspark.sql import functions as F
 from bindery.llm.common import stage, word_count
 
 MOST = 3
+ROUNDS = 6
 UNIT = 1_000_000  # rates are whole numbers of 1 / UNIT
 
 
@@ -114,9 +116,43 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST,
     joined = ranked.join(heads, ranked["source"].eqNullSafe(heads["of"]) & (ranked["size"] == heads["as"]) & (ranked["piece"] == heads["at"]))
     end = F.col("start") + F.col("rank") * fraction + F.lit(UNIT // 2)
     extra = F.floor(end / UNIT) - F.floor((end - fraction) / UNIT)
-    chosen = joined.select("doc_id", "source", "size", (F.floor(F.col("rate") / UNIT) + extra).alias("copies"))
+    rounded = stage(joined.select("doc_id", "source", "size", "piece", "rank", (F.floor(F.col("rate") / UNIT) + extra).alias("copies")), "rounded")
+    changes = stage(_corrections(rounded, targets, most), "corrections")
     named = targets.select(F.col("source").alias("of"), "source_size", "target")
-    return chosen.join(F.broadcast(named), chosen["source"].eqNullSafe(named["of"])).drop("of")
+    out = rounded.join(F.broadcast(named), rounded["source"].eqNullSafe(named["of"])).drop("of")
+    c = changes.select(*[F.col(k).alias(f"c_{k}") for k in ("source", "size", "piece", "rank")], "change")
+    here = out["source"].eqNullSafe(c["c_source"]) & (out["size"] == c["c_size"]) & (out["piece"] == c["c_piece"]) & (out["rank"] == c["c_rank"])
+    out = out.join(F.broadcast(c), here, "left")  # ROUNDS rows a source at most
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("copies") + F.coalesce("change", F.lit(0))).alias("copies"))
+
+
+def _corrections(rounded: DataFrame, targets: DataFrame, most: int) -> DataFrame:
+    """(source, size, piece, rank, change): single documents to take once more or once less. Each (source, size) offers
+    one of either kind and serves once."""
+    at = F.struct("piece", "rank")
+    cells = rounded.where("size > 0").groupBy("source", "size").agg(
+        F.min(F.when(F.col("copies") < most, at)).alias("up"), F.min(F.when(F.col("copies") >= 1, at)).alias("down"),
+        F.sum(F.col("copies") * F.col("size")).alias("tokens"))
+    cells = stage(cells, "cells")
+    taken = cells.groupBy("source").agg(F.sum("tokens").alias("tokens"))
+    state = stage(
+        taken.join(targets, taken["source"].eqNullSafe(targets["source"])).select(taken["source"].alias("of"), (F.col("target") - F.col("tokens")).alias("off")),
+        "off-target")
+    found = None
+    for _ in range(ROUNDS):
+        row = F.when(F.col("off") > 0, F.col("up")).otherwise(F.col("down"))
+        helps = row.isNotNull() & (F.col("size") < 2 * F.abs("off"))
+        offers = cells.join(F.broadcast(state), cells["source"].eqNullSafe(state["of"])).where(helps)
+        best = F.min_by(F.struct("size", row.alias("at"), F.signum("off").cast("long").alias("change")), F.struct(F.abs(F.abs("off") - F.col("size")), "size"))
+        picked = stage(offers.groupBy("source").agg(best.alias("best")).select(
+            "source", "best.size", F.col("best.at.piece").alias("piece"), F.col("best.at.rank").alias("rank"), "best.change"), "picked")
+        found = picked if found is None else found.unionByName(picked)
+        if picked.isEmpty():
+            break
+        p = picked.select(F.col("source").alias("p_source"), F.col("size").alias("p_size"), (F.col("change") * F.col("size")).alias("moved"))
+        cells = cells.join(F.broadcast(p), cells["source"].eqNullSafe(p["p_source"]) & (cells["size"] == p["p_size"]), "left_anti")
+        state = stage(state.join(p, state["of"].eqNullSafe(p["p_source"]), "left").select("of", (F.col("off") - F.coalesce("moved", F.lit(0))).alias("off")), "off-target")
+    return found
 
 
 def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = MOST) -> DataFrame:
