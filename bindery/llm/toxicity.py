@@ -2,7 +2,7 @@
 
 A text is lower-cased, its white space runs become one space, and its character n-grams of ``ORDERS`` are hashed into
 2 ^ ``BITS`` features, each the n-gram's share of the text. From labelled texts Spark sums the shares by label, which
-gives each feature's log-count ratio r = ln((p + 1) / |p|) - ln((q + 1) / |q|). Logistic regression over shares times
+gives each feature's log-count ratio r = ln((p + PRIOR) / |p|) - ln((q + PRIOR) / |q|). Logistic regression over shares times
 ratios is trained by Adagrad in ``PARTS`` parts of the labelled texts; after each round the parts' weights are averaged
 and sent out again. A score is the logistic of the mean weight of the text's n-grams,
 calibrated (Platt scaling) on one more part that teaches nothing else.
@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 
 from bindery.llm.common import stage
 
-BITS = 20
+BITS = 18
 ORDERS = (4, 5, 6)
 PARTS = 8
 ROUNDS = 3
 EPOCHS = 4
+RATE = 0.4  # of Adagrad
+PRIOR = 3.0  # added to each feature's sum of shares
 TRAIN_ROWS = 16_000
 RUN = 1 << 17
 SCALE = 500.0
@@ -71,7 +73,8 @@ def logits(weights: np.ndarray, bias: float, texts: list[str | None]) -> np.ndar
 
 
 def scores(weights: np.ndarray, bias: float, texts: list[str | None]) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(logits(weights, bias, texts), -500, 500)))
+    z = logits(weights, bias, texts)
+    return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
@@ -107,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     if not n.all():
         return np.zeros(1 << BITS, np.float32), -np.inf
     sums = sum(np.frombuffer(r.counts, np.float32).reshape(2, -1).astype(np.float64) for r in parts)
-    counts = sums * (n.min() / n)[:, None] + 1  # as of equally many texts, so that rare n-grams lean to neither label
+    counts = sums * (n.min() / n)[:, None] + PRIOR  # as of equally many texts, so that rare n-grams lean to neither label
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     ratio = ratio.astype(np.float32)
     weights, bias = np.full(1 << BITS, 0.1, np.float32), float(np.log(n[1] / n[0]))
@@ -126,13 +129,14 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
                     g = 1 / (1 + np.exp(-np.clip(float(weights[f] @ x) + bias, -60, 60))) - y
                     step = g * x + 1e-4 * weights[f]
                     total[f] += step * step
-                    weights[f] -= 0.05 * step / np.sqrt(total[f])
+                    weights[f] -= RATE * step / np.sqrt(total[f])
                     own += g * g
-                    bias -= 0.05 * g / np.sqrt(own)
+                    bias -= RATE * g / np.sqrt(own)
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([len(rows)]), pa.array([bias]), pa.array([weights.tobytes()])], ["n", "bias", "weights"])
 
         learnt = sample.mapInArrow(learn, "n bigint, bias double, weights binary").collect()
+        model.destroy()
         share = np.array([r.n for r in learnt]) / sum(r.n for r in learnt)
         weights = sum(s * np.frombuffer(r.weights, np.float32) for s, r in zip(share, learnt)).astype(np.float32)
         bias = float(sum(s * r.bias for s, r in zip(share, learnt)))
@@ -144,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
             yield pa.RecordBatch.from_arrays([pa.array(z), b.column(1)], ["z", "toxic"])
 
     judged = labelled.where(F.col("part") == PARTS).mapInArrow(judge, "z double, toxic int").toArrow()
+    model.destroy()
     slope, shift = platt(judged.column("z").to_numpy(), judged.column("toxic").to_numpy() > 0)
     return weights * ratio * np.float32(slope), bias * slope + shift
 
