@@ -37,6 +37,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def each_text(column):
+    """The values of an Arrow column one after the other, so that no second copy of a batch's texts is held."""
+    return (x.as_py() for x in column)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only. Pure ASCII text takes Spark's fast ``lower``, which is the same there."""
     ascii_only = F.octet_length(text) == F.char_length(text)

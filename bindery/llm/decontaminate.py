@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bindery.llm.common import each_text
 from bindery.llm.wordhash import ngram_hashes, word_hashes
 
 SHINGLE = 5
@@ -122,7 +123,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
         def run(batches, index=index):
             for b in batches:
-                rows = [(k, *m) for k, t in enumerate(b.column(1).to_pylist()) for m in index.value.matches(t)]
+                rows = [(k, *m) for k, t in enumerate(each_text(b.column(1))) for m in index.value.matches(t)]
                 if rows:
                     at, item, shared, size = zip(*rows)
                     ids = b.column(0).take(pa.array(at, pa.int64()))
@@ -140,7 +141,7 @@ def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = T
 
         def run(batches, index=index):
             for b in batches:
-                yield b.filter(pa.array([not index.value.matches(t) for t in b.column(at).to_pylist()], pa.bool_()))
+                yield b.filter(pa.array([not index.value.matches(t) for t in each_text(b.column(at))], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs

@@ -17,12 +17,14 @@ for each; very long texts are read whole, in pieces; an empty table gives an emp
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import stage
+from bindery.llm.common import each_text, stage
 
 BITS = 18
 ORDERS = (4, 5, 6)
@@ -61,18 +63,18 @@ def shares(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return distinct, (counts * (SCALE / max(LEAST, len(found)))).astype(np.float32)
 
 
-def logits(weights: np.ndarray, bias: float, texts: list[str | None]) -> np.ndarray:
-    z = np.full(len(texts), bias)
-    for i, t in enumerate(texts):
+def logits(weights: np.ndarray, bias: float, texts: Iterable[str | None]) -> np.ndarray:
+    z = []
+    for t in texts:
         total, n = 0.0, 0
         for found in features(t):
             total += float(weights[found].sum(dtype=np.float64))
             n += len(found)
-        z[i] += SCALE * total / max(LEAST, n)
-    return z
+        z.append(bias + SCALE * total / max(LEAST, n))
+    return np.array(z, np.float64)
 
 
-def scores(weights: np.ndarray, bias: float, texts: list[str | None]) -> np.ndarray:
+def scores(weights: np.ndarray, bias: float, texts: Iterable[str | None]) -> np.ndarray:
     z = logits(weights, bias, texts)
     return np.where(np.isneginf(z), 0.0, 1 / (1 + np.exp(-np.clip(z, -500, 500))))
 
@@ -98,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
         held = np.zeros((2, 1 << BITS), np.float32)
         rows = [0, 0]
         for b in batches:
-            for y, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
+            for y, t in zip(b.column(1).to_pylist(), each_text(b.column(2))):
                 found, share = shares(t)
                 held[int(y > 0)][found] += share
                 rows[int(y > 0)] += 1
@@ -120,7 +122,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
         def learn(batches, model=model):
             ratio, weights, bias = model.value
             weights, total, own = weights.copy(), np.full(1 << BITS, 1.0, np.float32), np.float64(1.0)
-            rows = [(float(y > 0), *shares(t)) for b in batches for y, t in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            rows = [(float(y > 0), *shares(t)) for b in batches for y, t in zip(b.column(1).to_pylist(), each_text(b.column(2)))]
             order = np.random.default_rng(11)
             for _ in range(EPOCHS if rows else 0):
                 for i in order.permutation(len(rows)):
@@ -144,7 +146,7 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
 
     def judge(batches):
         for b in batches:
-            z = logits(*model.value, b.column(2).to_pylist())
+            z = logits(*model.value, each_text(b.column(2)))
             yield pa.RecordBatch.from_arrays([pa.array(z), b.column(1)], ["z", "toxic"])
 
     judged = labelled.where(F.col("part") == PARTS).mapInArrow(judge, "z double, toxic int").toArrow()
@@ -177,7 +179,7 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
 
     def run(batches):
         for b in batches:
-            s = scores(*model.value, b.column(1).to_pylist())
+            s = scores(*model.value, each_text(b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s)], ["doc_id", "score"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -191,7 +193,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, tr
 
     def run(batches):
         for b in batches:
-            yield b.filter(pa.array(scores(*model.value, b.column(at).to_pylist()) < threshold, pa.bool_()))
+            yield b.filter(pa.array(scores(*model.value, each_text(b.column(at))) < threshold, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
