@@ -161,7 +161,8 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     hashed = docs.select(F.struct(F.xxhash64(*docs.columns).alias("row"), "doc_id").alias("ident"), F.struct(*docs.columns).alias("all"))
     copies = mix(hashed.select(F.col("ident").alias("doc_id"), "all.source", "all.text"), weights, most)
     chosen = copies.groupBy(F.col("doc_id").alias("ident")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
-    rows = hashed.join(chosen.where("copies > 0"), "ident")
+    # Of the copies' very type, so that one shuffle serves both the join and the ranks.
+    rows = hashed.withColumn("ident", F.col("ident").cast(chosen.schema["ident"].dataType)).join(chosen.where("copies > 0"), "ident")
     nth = F.row_number().over(Window.partitionBy("ident").orderBy("rows"))
     times = F.floor(F.col("copies") / F.col("rows")) + (nth <= F.pmod("copies", "rows")).cast("long")
     return rows.withColumn("times", times).select("all", F.explode(F.array_repeat(F.lit(1), F.col("times").cast("int")))).select("all.*")

@@ -236,6 +236,7 @@ def keep_one_per_group(docs: DataFrame, radius: int = RADIUS, split_above: int =
     row count as one. All columns of ``docs`` stay as they are."""
     ident = F.struct("doc_id", F.xxhash64("text").alias("h"))
     groups = near_duplicate_groups(docs.select(ident.alias("doc_id"), "text"), radius, SHINGLE, split_above)
-    heads = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id.doc_id").alias("head_id"), F.col("doc_id.h").alias("head_hash")).distinct()
-    same = docs["doc_id"].eqNullSafe(heads["head_id"]) & (F.xxhash64(docs["text"]) == heads["head_hash"])
-    return docs.join(heads, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    heads = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("ident")).distinct()
+    # Of the heads' very type, so that one shuffle serves both the join and the dropping of repeats.
+    rows = docs.select(ident.cast(heads.schema["ident"].dataType).alias("ident"), F.struct(*docs.columns).alias("row"))
+    return rows.join(heads, "ident", "left_semi").dropDuplicates(["ident"]).select("row.*")
