@@ -37,24 +37,32 @@ class Alphabet:
         points = np.arange(0x10000)
         alpha = np.array([chr(c).isalpha() for c in points])
         if self.letters:
-            first = 27
             out[97:123] = np.arange(1, 27)
             out[65:91] = np.arange(1, 27)
         else:
-            first = 96
             out[:] = size - 1
             out[:128] = 1
             out[32:127] = np.arange(1, 96)
             out[48:58] = out[48]
             out[10] = 0
         high = alpha & (points >= 128)
-        out[high] = first + points[high] % (size - 1 - first + self.letters)
+        out[high] = self.letter_class(points[high])
         return out
 
+    def letter_class(self, points: np.ndarray) -> np.ndarray:
+        """Classes of letters outside ASCII: hashed into those that ASCII leaves free."""
+        first = 27 if self.letters else 96
+        return (first + points % ((1 << self.bits) - 1 - first + self.letters)).astype(np.uint8)
+
     def codes(self, text: str) -> np.ndarray:
         """Classes of a text between two gaps."""
         points = np.frombuffer((text.lower() if self.letters else text).encode("utf-32-le", "surrogatepass"), np.uint32)
         c = _table(self)[np.minimum(points, 0xFFFF)]
+        high = np.flatnonzero(points > 0xFFFF)
+        if len(high):  # letters above the table are classed as those in it
+            distinct, back = np.unique(points[high], return_inverse=True)
+            alpha = np.array([chr(x).isalpha() for x in distinct])
+            c[high] = np.where(alpha, self.letter_class(distinct), 0 if self.letters else (1 << self.bits) - 1)[back]
         c = np.concatenate([[0], c, [0]]).astype(np.uint8)
         if self.letters:
             c = c[np.append(True, (c[1:] != 0) | (c[:-1] != 0))]
@@ -184,15 +192,19 @@ class Model:
         return out
 
     def cross_entropy(self, texts: list[str]) -> np.ndarray:
-        """Nats per character of each text (rows) under each language (columns)."""
-        out = np.zeros((len(texts), len(self.langs)))
+        """Nats per character of each text (rows) under each language (columns). A text without n-grams has that of
+        characters of equal chance under every language."""
+        out = np.full((len(texts), len(self.langs)), self.alphabet.bits * np.log(2))
         for i, j in runs_of(texts):
             grams, lengths = self.alphabet.grams(texts[i:j])
+            some = np.flatnonzero(lengths)
+            if not len(some):
+                continue
             distinct, back = np.unique(grams, return_inverse=True)
             values = self.rows(distinct).astype(np.float64)
-            ends = np.cumsum(lengths)
+            starts = (np.cumsum(lengths) - lengths)[some]  # reduceat takes no empty stretch
             for c in range(len(self.langs)):
-                out[i:j, c] = -np.add.reduceat(values[:, c][back], ends - lengths) / lengths
+                out[i + some, c] = -np.add.reduceat(values[:, c][back], starts) / lengths[some]
         return out
 
 

@@ -231,6 +231,37 @@ def test_language_edge_cases(spark):
     assert langid.identify(docs.limit(0), F.lit(True)).count() == 0
 
 
+def test_letters_above_the_table():
+    adlam = "".join(chr(0x1E922 + k % 34) for k in range(40))
+    letters = [adlam, "\U00020000\U00020001", "\U0001d400\U0001d401 \U0001d402"]
+    for alphabet in (langid.ALPHABET, quality.ALPHABET):
+        kinds = [set(alphabet.codes(t)[1:-1].tolist()) for t in letters]
+        assert all(len(k) > 1 for k in kinds) and len(kinds[0]) > 20
+        assert (1 << alphabet.bits) - 1 in alphabet.codes("\U0001f600") or alphabet.letters
+    assert len(langid.ALPHABET.codes("\U0001f600 \U0001f600")) == 1  # no letters: one gap
+    texts = {"ff": [adlam], "en": ["the cat and the dog"]}
+    counts = {k: np.unique(langid.ALPHABET.grams(v)[0], return_counts=True) for k, v in texts.items()}
+    model = charlm.estimate(counts, langid.ALPHABET, modified=False)
+    for rows in ([adlam], ["the dog", adlam], ["the cat", adlam, "the dog"], [*letters, "the dog"]):
+        langs, scores = langid.classify(model, 5.0, rows)
+        assert np.isfinite(scores).all() and [x for t, x in zip(rows, langs) if t == adlam] == ["ff"]
+        assert {x for t, x in zip(rows, langs) if t.startswith("the")} <= {"en"}
+    uniform = 6 * math.log(2)
+    for rows in ([""], ["the dog", ""], ["the dog", "1", "the cat"]):
+        ce = model.cross_entropy(rows)
+        for t, row in zip(rows, ce):
+            assert np.isfinite(row).all() and (t.startswith("the") or np.allclose(row, uniform))
+
+
+def test_language_of_letters_above_the_table(spark):
+    adlam = "\U0001e922\U0001e923\U0001e924 \U0001e925\U0001e926"
+    docs = docs_of(spark, ["the cat and the dog", adlam, "der hund und die katze", adlam]).coalesce(1)
+    docs = docs.withColumn("lang", F.get(F.array(F.lit("en"), F.lit(None), F.lit("de")), F.col("doc_id").cast("int")))
+    got = {x.doc_id: x for x in langid.identify(docs, F.lit(True)).collect()}
+    assert len(got) == 4 and got[0].lang_pred == "en" and got[2].lang_pred == "de"
+    assert all(0 < x.score <= 1 for x in got.values()) and got[1].score == got[3].score
+
+
 # --- quality ---
 
 
