@@ -1,14 +1,18 @@
 """Main text of web pages: parser events, text-to-tag ratios per line, Gaussian smoothing and threshold clustering.
 
 The standard library's HTML parser streams events. Block tags cut the page into lines, each with its text, the number
-of tags in it and its place in the open elements. Elements that are never article text (navigation, footers, page
-headers, sidebars, forms, scripts, styles, hidden elements, and those whose class, id or role names an advert, notice,
-menu or reader comments) are left out as they stream by.
+of tags in it and its place in the open elements. Elements that are never article text (navigation,
+footers, sidebars, scripts, styles, hidden elements) are left out as they stream by. Forms, page headers and elements
+whose class, id or role names an advert, notice, menu or reader comments are left out once the page is read, and only
+if they are no layout around the article: one that holds most of the page's text, with no article or main element
+beside it, or most of the text of the article it stands in, is left to the ratios. ``article``, ``main``, ``html`` and
+``body`` are not judged by class, nor are modifiers such as ``has-sidebar``. If nothing else has text, all is read.
 
 Each line's text-to-tag ratio is its characters over its tags. The ratios are smoothed by a Gaussian, and lines whose
 smoothed ratio exceeds the threshold (a share of the standard deviation) form the content cluster. The content region
-is the innermost element that holds most of the cluster's text, raised to the article or main element around it if
-there is one; every line in the region is kept, short ones too, since the ratio places the region and does not judge
+is the innermost element that holds nearly all of the cluster's text, raised to the article or main element around it
+if there is one. If that is wider than an article or main element which holds most of the cluster, that element is
+taken, unless another one holds a part too; every line in the region is kept, short ones too, since the ratio places the region and does not judge
 single lines.
 
 Defined cases: null and empty pages give an empty text; unclosed elements and pages cut off anywhere are read as far as
@@ -18,6 +22,7 @@ they go; repeated rows stay; null ids and urls are passed on; an empty table giv
 from __future__ import annotations
 
 import re
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
@@ -32,63 +37,101 @@ BLOCK = frozenset(
 )
 #: Elements without article text.
 DROP = frozenset(
-    "head title script style noscript template nav footer aside form button select textarea input iframe object svg canvas dialog "
+    "head title script style noscript template nav footer aside button select textarea input iframe object svg canvas dialog "
     "menu audio video map".split()
 )
 #: What closes an element whose end tag may be left out.
 CLOSED_BY = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "tr": {"tr"}, "option": {"option"}, "p": BLOCK}
 SCOPE = frozenset("ul ol dl table div article section main body td th".split())
 _BOILER = re.compile(
-    r"(?:^|[\s_-])(?:ads?|ad(?:slot|box|banner|unit|sense|wrap|wrapper)|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:s|tion|tions)?|"
+    r"(?:^|[_-])(?:ads?|ad(?:slot|box|banner|unit|sense|wrap|wrapper)|adverts?|advertisements?|advertising|sponsor(?:ed)?|promo(?:s|tion|tions)?|"
     r"banner|sidebars?|cookies?|consent|gdpr|notices?|alerts?|announcements?|popup|modal|overlay|newsletter|subscribe|subscription|signup|share|"
     r"sharing|social|related|recommended|trending|breadcrumbs?|menus?|nav|navbar|navigation|pagination|pager|footer|comments?|commentlist|respond|"
-    r"replies|disqus|toolbar|skiplink|widgets?|copyright)(?:\d*)(?:$|[\s_-])"
+    r"replies|disqus|toolbar|skiplink|widgets?|copyright)(?:\d*)(?:$|[_-])"
 )
+#: Class tokens that say what an element has or lacks, and not what it is.
+_MODIFIER = re.compile(r"(?:^|[_-])(?:with|without|has|have|no|not|is|show|hide|enable|disable)(?:[_-]|$)|--")
+#: Names that no layout has: such an element must hold nearly all text to be read.
+_NO_LAYOUT = re.compile(r"(?:^|[_-])(?:ads?|adverts?|cookies?|consent|gdpr|popup|newsletter|comments?|commentlist|respond|replies|disqus)(?:$|[_-])")
 _PAGE_HEADER = frozenset("header site-header page-header main-header global-header masthead topbar top-bar".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar toolbar alert dialog alertdialog".split())
 ARTICLE = frozenset(("article", "main"))
+LAYOUT = 0.6  # share of the text
+NEARLY = 0.9
 
 
 class Lines(HTMLParser):
-    """Collects (text, tags, path) lines; a path is the tuple of ids of the open block elements."""
+    """Collects lines; a path is the tuple of ids of the open block elements."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, int, bool]] = []  # tag, id, left out
+        self.open: list[tuple[str, int, bool, int]] = []  # tag, id, left out, id as a doubtful element
         self.dropped = 0
         self.names: dict[int, str] = {}
-        self.lines: list[tuple[str, int, tuple[int, ...]]] = []
-        self.parts: list[str] = []
+        self.read: list[tuple[list[tuple[str, tuple[int, ...]]], int, tuple[int, ...]]] = []
+        self.parts: list[tuple[str, tuple[int, ...]]] = []  # with the ids of the doubtful elements around
+        self.doubtful: tuple[int, ...] = ()
+        self.doubts: list[tuple[int, float]] = [(0, 0.0)]  # article around it, share of the text that makes it a layout
         self.tags = 0
 
     def cut(self) -> None:
         if self.parts:
-            text = " ".join("".join(self.parts).split())
-            if text:
-                self.lines.append((text, self.tags, tuple(i for t, i, _ in self.open if i)))
+            self.read.append((self.parts, self.tags, tuple(x[1] for x in self.open if x[1])))
             self.parts = []
         self.tags = 0
 
+    def lines(self) -> list[tuple[str, int, tuple[int, ...]]]:
+        """(text, tags, path) of the lines with text, without the doubtful elements that are no layout."""
+        total, in_articles = 0, 0
+        held, held_articles, of_article = Counter(), Counter(), Counter()
+        for parts, _, path in self.read:
+            articles = [i for i in path if self.names[i] in ARTICLE]
+            for text, around in parts:
+                n = len("".join(text.split()))
+                total += n
+                in_articles += n * bool(articles)
+                for i in articles:
+                    of_article[i] += n
+                for i in around:
+                    held[i] += n
+                    held_articles[i] += n * bool(articles)
+        out = set()
+        for i in range(1, len(self.doubts)):
+            article, share = self.doubts[i]
+            beside = not article and in_articles - held_articles[i] > (0.1 * total if share < NEARLY else 0)
+            if beside or held[i] < share * (of_article[article] if article else total):
+                out.add(i)
+        for drop in (out, set()):
+            lines = [(" ".join("".join(t for t, around in parts if drop.isdisjoint(around)).split()), tags, path) for parts, tags, path in self.read]
+            lines = [x for x in lines if x[0]]
+            if lines:
+                break
+        return lines
+
     def pop(self, to: int) -> None:
         self.dropped -= sum(x[2] for x in self.open[to:])
+        self.doubtful = self.doubtful[: len(self.doubtful) - sum(x[3] > 0 for x in self.open[to:])]
         del self.open[to:]
 
     def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in DROP:
             return True
-        inside = any(t in ARTICLE for t, _, _ in self.open)
-        if tag == "header" and not inside:
-            return True
+        return any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
+
+    def doubt(self, tag: str, attrs: list[tuple[str, str | None]]) -> float:
+        """The share of the text that makes a layout of an element that looks like boilerplate; 0 if it doesn't."""
+        inside = any(x[0] in ARTICLE for x in self.open)
+        share = LAYOUT if tag == "form" or (tag == "header" and not inside) else 0.0
         for k, v in attrs:
-            if k in ("class", "id") and v and tag not in ("html", "body"):
-                v = v.lower()
-                if _BOILER.search(v) or (not inside and tag not in ARTICLE and not _PAGE_HEADER.isdisjoint(v.split())):
-                    return True
+            if k in ("class", "id") and v and tag not in ("html", "body") and tag not in ARTICLE:
+                for name in v.lower().split():
+                    if not inside and name in _PAGE_HEADER:
+                        share = max(share, LAYOUT)
+                    elif _BOILER.search(name) and not _MODIFIER.search(name):
+                        share = max(share, NEARLY if _NO_LAYOUT.search(name) else LAYOUT)
             elif k == "role" and v and v.lower() in _ROLES:
-                return True
-            elif k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()):
-                return True
-        return False
+                share = max(share, LAYOUT)
+        return share
 
     def handle_starttag(self, tag, attrs):
         block = tag in BLOCK
@@ -104,14 +147,18 @@ class Lines(HTMLParser):
         self.tags += 1
         if tag in VOID:
             if tag == "br" and not self.dropped:
-                self.parts.append(" ")
+                self.parts.append((" ", self.doubtful))
             return
         out = self.unwanted(tag, attrs)
         number = len(self.names) + 1 if block else 0
         if number:
             self.names[number] = tag
-        self.open.append((tag, number, out))
+        share = 0.0 if out or self.dropped else self.doubt(tag, attrs)
+        self.open.append((tag, number, out, len(self.doubts) if share else 0))
         self.dropped += out
+        if share:
+            self.doubtful += (len(self.doubts),)
+            self.doubts.append((next((x[1] for x in reversed(self.open[:-1]) if x[0] in ARTICLE), 0), share))
 
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
@@ -131,7 +178,7 @@ class Lines(HTMLParser):
 
     def handle_data(self, data):
         if not self.dropped:
-            self.parts.append(data)
+            self.parts.append((data, self.doubtful))
 
 
 def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
@@ -140,7 +187,7 @@ def smoothed(ratios: np.ndarray, sigma: float) -> np.ndarray:
     return np.convolve(np.pad(ratios, reach, mode="edge"), kernel / kernel.sum(), mode="valid")
 
 
-def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, most: float = 0.6) -> str:
+def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, most: float = 0.6, nearly: float = NEARLY) -> str:
     """Main text of one page: its blocks in page order, joined by newlines."""
     if not html:
         return ""
@@ -148,27 +195,38 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, most: fl
     page.feed(html)
     page.close()
     page.cut()
-    if not page.lines:
+    lines = page.lines()
+    if not lines:
         return ""
-    ratios = np.array([len(t) / max(1, n) for t, n, _ in page.lines])
+    ratios = np.array([len(t) / max(1, n) for t, n, _ in lines])
     smooth = smoothed(ratios, sigma)
     content = smooth >= min(share * ratios.std(), smooth.max())
     chars: dict[int, int] = {}
-    total = 0
-    for (text, _, path), good in zip(page.lines, content):
+    total = other = 0
+    for (text, _, path), good in zip(lines, content):
         if good:
             total += len(text)
             for i in path:
                 chars[i] = chars.get(i, 0) + len(text)
-    region = max((i for i, n in chars.items() if n >= most * total), default=0)  # later ids are inner ones on one path
-    if region:
-        path = next(p for _, _, p in page.lines if region in p)
-        around = [i for i in path[: path.index(region) + 1] if page.names[i] in ARTICLE]
-        region = around[-1] if around else region
-        if not around and page.names[region] not in ("body", "html", "div", "section", "td"):  # one paragraph is no region
-            outer = [i for i in path[: path.index(region)] if page.names[i] in ("body", "div", "section", "td")]
-            region = outer[-1] if outer else 0
-    return "\n".join(t for t, _, p in page.lines if not region or region in p)
+
+    def innermost(least: float) -> tuple[int, int]:
+        """(innermost element with that share of the cluster, article or main element around it), 0 for none."""
+        region = max((i for i, n in chars.items() if n >= least * total), default=0)  # later ids are inner ones on one path
+        path = next((p for _, _, p in lines if region in p), ())
+        return region, max((i for i in path[: path.index(region) + 1] if page.names[i] in ARTICLE), default=0) if region else 0
+
+    region, article = innermost(nearly)
+    if not article:
+        article = innermost(most)[1]
+        if article:
+            other = sum(len(t) for (t, _, p), good in zip(lines, content) if good and article not in p and any(page.names[i] in ARTICLE for i in p))
+    if article and other <= (1 - nearly) * total:
+        region = article
+    elif region and page.names[region] not in ("body", "html", "div", "section", "td"):  # one paragraph is no region
+        path = next(p for _, _, p in lines if region in p)
+        outer = [i for i in path[: path.index(region)] if page.names[i] in ("body", "div", "section", "td")]
+        region = outer[-1] if outer else 0
+    return "\n".join(t for t, _, p in lines if not region or region in p)
 
 
 def extract(pages: DataFrame) -> DataFrame:

@@ -98,6 +98,30 @@ def test_main_text():
     assert len(html.main_text("<article>" + "<p>word " * 20_000)) == 5 * 20_000 - 1
 
 
+@pytest.mark.parametrize(
+    "opened, closed",
+    [
+        ("<div class='layout with-sidebar'>", "</div>"), ("<main class='no-sidebar'>", "</main>"), ("<article class='post has-comments'>", "</article>"),
+        ("<div class='col social'>", "</div>"), ("<form action=/>", "</form>"), ("<form><div id=widget><main class=social>", "</main></div></form>"),
+        ("<article><div class='entry share'>", "</div></article>"), ("<span class=related><div>", "</div></span>"),
+    ],
+)
+def test_layout_names_keep_the_article(opened, closed):
+    body = "".join(f"<p>Paragraph {k} of an article that has some length.</p>" for k in range(8))
+    want = "\n".join(f"Paragraph {k} of an article that has some length." for k in range(8))
+    rest = "<div class=cookie-notice>We use cookies here.</div><div class='box sidebar'>Side</div><section id=comments><p>First!</p></section>"
+    assert html.main_text(f"<body>{rest}{opened}{body}{closed}</body>") == want
+    assert html.main_text(f"<body>{opened}{body}{rest}{closed}<footer>Foot</footer></body>") == want
+    assert html.main_text("<article><p>Short text.</p></article><section class=comments>" + "<p>A long comment on this.</p>" * 50 + "</section>") == "Short text."
+
+
+@pytest.mark.parametrize("tag", ["div", "section", "article"])
+def test_split_article_is_whole(tag):
+    part = lambda a, b: f"<{tag}>" + "".join(f"<p>Paragraph {k} of an article that has some length.</p>" for k in range(a, b)) + f"</{tag}>"
+    want = "\n".join(f"Paragraph {k} of an article that has some length." for k in range(10))
+    assert html.main_text(f"<body><nav>Home</nav><div>{part(0, 7)}{part(7, 10)}</div><footer>Foot</footer></body>") == want
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (3, "v", "")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
