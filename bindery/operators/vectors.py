@@ -7,6 +7,7 @@ from collections.abc import Callable
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,7 @@ from bindery.functions.scorers import hash_embedder, token_bucket
 from bindery.functions.text import words
 
 QUERY_BLOCK = 1024
+QUERY_STEP = 64  # queries of a block that meet an Arrow batch at once
 
 
 def hash_embed(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -54,7 +56,8 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = 50, key: str =
     """(query_key, key, d): the ``k`` nearest rows for each of many query vectors.
 
     Queries come in blocks of at most ``block`` vectors; a block is broadcast and the index stays where it is. Each Arrow
-    batch meets the block in one matrix product and passes on its own ``k`` best for each query by the exact distance;
+    batch meets the block in matrix products. Every row that rounding could place among a query's ``k`` nearest gets its
+    exact distance, and the ``k`` best by (d, key) are passed on, however many rows are equally near;
     a rank over the queries merges them, so at most ``k`` rows a query and batch are shuffled.
     """
     spark = index.sparkSession
@@ -77,15 +80,27 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = 50, key: str =
                 if not b.num_rows:
                     continue
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                near = norms[:, None] + (x * x).sum(axis=1)[None, :] - 2 * q @ x.T
-                take = min(k + 16, b.num_rows)  # a margin for what the product rounds differently
-                at = np.argpartition(near, take - 1, axis=1)[:, :take]
-                which = np.repeat(np.arange(len(q)), take)
-                d = np.zeros(len(which))
-                for c in range(x.shape[1]):  # summed in the order of the plain expression
-                    step = x[at.ravel(), c] - q[which, c]
-                    d += step * step
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(which)), b.column(0).take(pa.array(at.ravel())), pa.array(d)], [query_key, key, "d"])
+                squares = (x * x).sum(axis=1)
+                # What product and plain expression may round differently, four times: at the k-th row and at any other.
+                slack = 16 * (x.shape[1] + 4) * np.finfo(np.float64).eps * (np.sqrt(norms) + np.sqrt(squares.max())) ** 2
+                for a in range(0, len(q), QUERY_STEP):
+                    part = slice(a, a + QUERY_STEP)
+                    near = norms[part, None] + squares[None, :] - 2 * q[part] @ x.T
+                    kth = np.partition(near, min(k, b.num_rows) - 1, axis=1)[:, min(k, b.num_rows) - 1]
+                    which, at = np.nonzero(~(near > (kth + slack[part])[:, None]))  # NaN stays
+                    which += a
+                    d = np.zeros(len(which))
+                    for c in range(x.shape[1]):  # summed in the order of the plain expression
+                        step = x[at, c] - q[which, c]
+                        d += step * step
+                    rows = pa.table([pa.array(which), pa.array(np.isnan(d)), pa.array(d), b.column(0).take(pa.array(at))], ["which", "nan", "d", "key"])
+                    order = pc.sort_indices(rows, [(c, "ascending") for c in rows.column_names], null_placement="at_start").to_numpy()
+                    which = which[order]  # the k best of each query by (d, key)
+                    rank = np.arange(len(which)) - np.searchsorted(which, which)
+                    best = order[rank < k]
+                    rows = rows.take(pa.array(best)).combine_chunks()
+                    if len(best):
+                        yield pa.RecordBatch.from_arrays([ids.take(rows["which"].combine_chunks()), rows["key"].combine_chunks(), rows["d"].combine_chunks()], [query_key, key, "d"])
 
         found = index.select(key, vec).mapInArrow(run, f"{query_key} {kinds[1]}, {key} {kinds[0]}, d double")
         out = found if out is None else out.unionByName(found)

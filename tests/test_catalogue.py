@@ -156,6 +156,28 @@ def test_nearest_forms_agree(spark):
     assert {(r.query_id, r.d) for r in near} == {(i, 0.0) for i in range(5)}
 
 
+@pytest.mark.parametrize("parts", [1, 4])
+def test_nearest_among_copies(spark, parts):
+    rows = [(i, [0.1 * (i % 3), 0.7, -0.3, 1.9]) for i in range(900)] + [(1000 + i, [float(i), 0.7, 3.0, 1.9]) for i in range(30)]
+    rows += [(2000, None)]
+    index = spark.createDataFrame(rows[::-1], "vec_id long, embedding array<float>").repartition(parts)
+    queries = spark.createDataFrame([(k, [0.1 * k, 0.7, -0.3, 1.9]) for k in range(70)], "query_id long, embedding array<float>")
+    got = vectors.nearest_batch(index, queries, k=6).collect()
+    asked = {q.query_id: list(q.embedding) for q in queries.collect()}
+    found = {r.vec_id: list(r.embedding) for r in index.where("embedding is not null").collect()}
+    for k, vec in asked.items():
+        every = []
+        for i, x in found.items():
+            d = 0.0
+            for a, b in zip(x, vec):
+                d += (a - b) * (a - b)
+            every.append((d, i))
+        assert sorted((r.d, r.vec_id) for r in got if r.query_id == k) == sorted(every)[:6]
+    named = index.withColumn("vec_id", F.lpad(F.col("vec_id").cast("string"), 5, "0"))
+    first = vectors.nearest_batch(named, queries.where("query_id = 0"), k=3).collect()
+    assert sorted(r.vec_id for r in first) == ["00000", "00003", "00006"]
+
+
 def shelf(spark):
     rows = [book(i, categories=["Fiction", "History"][i % 2], description=("e" * (i % 5)) + ".x") for i in range(40)]
     df = books(spark, rows).withColumn("simple_categories", category.simple_category(F.col("categories")))
