@@ -1,6 +1,8 @@
 """Sharding by fixed virtual slots and a versioned slot-to-shard map.
 
-Records are hashed by doc_id into ``n_slots`` fixed virtual slots. Bytes and rows are summed for each slot, and a map
+Records (doc_id, size and CRC of the text) are hashed into ``n_slots`` fixed virtual slots. Equal records are counted
+first; a group of more bytes than an average slot is cut into pieces of about that size, whose numbers are hashed too,
+so no key and no group of copies makes a slot that the map cannot balance. Bytes and rows are summed for each slot, and a map
 from slot to shard is made so that the shards' bytes are near equal: the heaviest slot goes to the lightest shard. The
 map is a table of (version, slot, shard) in the shared folder; ``rebalance`` edits it into a next version that moves
 few slots, to follow new sizes or another number of shards. The law that holds is ``bytes``.
@@ -8,9 +10,9 @@ few slots, to follow new sizes or another number of shards. The law that holds i
 The driver handles only the map, whose size is ``n_slots`` whatever the input. A row's place in its shard is the start
 of its slot in the shard plus its rank in the slot, so no window spans a shard.
 
-Defined cases: a null text has 0 bytes (size 1) and the CRC of the empty text; a null doc_id goes to the slot of the
-null hash; equal doc_id values share a slot; repeated rows stay and get places of their own; an empty table gives an
-empty table. Only ``doc_id`` and ``text`` are read, and passed columns are never looked up by other names.
+Defined cases: a null text has 0 bytes (size 1) and the CRC of the empty text; a null doc_id is hashed as any other;
+rows of one doc_id and different texts spread over slots, repeated rows share one up to an average slot's size; repeated
+rows stay and get places of their own; a single text larger than a slot fills it; an empty table gives an empty table. Only ``doc_id`` and ``text`` are read, and passed columns are never looked up by other names.
 """
 
 from __future__ import annotations
@@ -26,18 +28,32 @@ N_SLOTS = 4096
 MAP_SCHEMA = "version int, slot int, shard int, first long"
 
 
-def slot_of(doc_id: Column, n_slots: int = N_SLOTS) -> Column:
-    return F.pmod(F.xxhash64(doc_id), F.lit(n_slots)).cast("int")
-
-
 def size_of(text: Column) -> Column:
     return (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long")
 
 
-def slot_sizes(docs: DataFrame, n_slots: int = N_SLOTS) -> list[tuple[int, int, int]]:
-    """(slot, bytes, rows) of the slots in use, by slot: at most ``n_slots`` rows."""
-    slots = docs.select(slot_of(F.col("doc_id"), n_slots).alias("slot"), size_of(F.col("text")).alias("size"))
-    return [tuple(r) for r in slots.groupBy("slot").agg(F.sum("size"), F.count("*")).orderBy("slot").collect()]
+def records(docs: DataFrame) -> DataFrame:
+    """(doc_id, size, text_crc32, copies): equal records once, in the shared folder."""
+    size, crc = size_of(F.col("text")), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = docs.select("doc_id", size.alias("size"), crc.alias("text_crc32"))
+    return stage(rows.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("copies")), "records")
+
+
+def pieces(counted: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
+    """(doc_id, size, text_crc32, piece, n, virtual_slot): ``records`` cut into pieces of ``n`` equal rows, of no more
+    bytes than an average slot or of one row."""
+    total = counted.agg(F.sum(F.col("size") * F.col("copies"))).first()[0] or 0
+    most = F.greatest(F.lit(1), F.floor(F.lit(-(-total // n_slots)) / F.col("size"))).cast("long")
+    cut = counted.withColumn("most", most).withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / F.col("most")))))
+    slot = F.pmod(F.xxhash64("doc_id", "size", "text_crc32", "piece"), F.lit(n_slots)).cast("int")
+    n = F.least("most", F.col("copies") - F.col("piece") * F.col("most"))
+    return cut.select("doc_id", "size", "text_crc32", "piece", n.alias("n"), slot.alias("virtual_slot"))
+
+
+def slot_sizes(cut: DataFrame) -> list[tuple[int, int, int]]:
+    """(slot, bytes, rows) of the slots in use, by slot: at most a row for each slot."""
+    slots = cut.groupBy("virtual_slot").agg(F.sum(F.col("size") * F.col("n")), F.sum("n"))
+    return [tuple(r) for r in slots.orderBy("virtual_slot").collect()]
 
 
 def first_map(sizes: list[tuple[int, int, int]], n_shards: int) -> dict[int, int]:
@@ -93,23 +109,19 @@ def store_map(spark, slots: dict[int, int], sizes: list[tuple[int, int, int]], v
     return stage(spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1), f"slot-map-v{version}")
 
 
-def assign(docs: DataFrame, slot_map: DataFrame, n_slots: int = N_SLOTS) -> DataFrame:
-    """(doc_id, size, text_crc32, shard, place, virtual_slot) under a stored map, which is broadcast: ``n_slots`` rows
-    at most."""
-    rows = docs.select(
-        "doc_id",
-        size_of(F.col("text")).alias("size"),
-        F.crc32(F.coalesce("text", F.lit("")).cast("binary")).alias("text_crc32"),
-        slot_of(F.col("doc_id"), n_slots).alias("virtual_slot"),
-    )
-    within = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32")
-    ranked = rows.withColumn("rank", F.row_number().over(within) - 1)
+def assign(cut: DataFrame, slot_map: DataFrame) -> DataFrame:
+    """(doc_id, size, text_crc32, shard, place, virtual_slot) of the rows of ``pieces`` under a stored map, which is
+    broadcast: a row for each slot at most."""
+    before = Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32", "piece").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = cut.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)))
     placed = ranked.join(F.broadcast(slot_map.select(F.col("slot").alias("virtual_slot"), "shard", "first")), "virtual_slot")
-    return placed.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank")).alias("place"), "virtual_slot")
+    rows = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return rows.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank") + F.col("copy")).alias("place"), "virtual_slot")
 
 
 def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame:
     """Shards 0 to ``n_shards`` - 1 under version 1 of a new map; see ``assign`` for the columns."""
-    sizes = slot_sizes(docs, n_slots)
+    cut = pieces(records(docs), n_slots)
+    sizes = slot_sizes(cut)
     slot_map = store_map(docs.sparkSession, first_map(sizes, n_shards), sizes)
-    return assign(docs, slot_map, n_slots)
+    return assign(cut, slot_map)

@@ -144,6 +144,20 @@ def test_shard_edge_cases(spark):
     assert shards.shard_documents(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("shared, same_text", [(5, False), (None, False), (5, True), (None, True)])
+def test_shards_are_even_if_a_third_shares_one_id(spark, shared, same_text):
+    n = 6000
+    texts = ["x" * 60 if same_text and k % 3 == 0 else f"{k} " + "y" * (k % 90) for k in range(n)]
+    docs = docs_of(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(shared)).otherwise(F.col("doc_id")))
+    out = shards.shard_documents(docs, 8, n_slots=256).toPandas()
+    load = out.groupby("shard")["size"].sum()
+    assert len(out) == n and len(load) == 8 and load.max() - load.min() <= 0.02 * load.mean()
+    assert sorted(out["size"]) == sorted(len(t) + 1 for t in texts)
+    assert out.groupby("virtual_slot").size().max() < n / 30
+    for _, part in out.groupby("shard"):
+        assert sorted(part["place"]) == list(range(len(part)))
+
+
 def test_rebalance_moves_few_slots():
     r = random.Random(1)
     sizes = [(s, r.randint(1, 1000), 3) for s in range(4096)]
