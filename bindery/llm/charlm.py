@@ -104,7 +104,7 @@ def runs_of(texts: list[str]):
         yield a, len(texts)
 
 
-def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     grams, back = np.unique(np.concatenate([g for g, _ in parts]), return_inverse=True)
     return grams, np.bincount(back, weights=np.concatenate([n for _, n in parts])).astype(np.int64)
 
@@ -114,7 +114,7 @@ def count_grams(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
 
     def emit(held):
         for lang, parts in held.items():
-            grams, counts = _added(parts)
+            grams, counts = added(parts)
             for k in range(0, len(grams), 1 << 16):
                 g, c = grams[k : k + (1 << 16)], counts[k : k + (1 << 16)]
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(g), pa.string()), pa.array(g.astype(np.int64)), pa.array(c)], ["lang", "gram", "n"])
@@ -132,7 +132,7 @@ def count_grams(docs: DataFrame, alphabet: Alphabet) -> DataFrame:
                     held[lang].append((grams, counts))
                     size += len(grams)
                     if size > HOLD:
-                        held = defaultdict(list, {k: [_added(v)] for k, v in held.items()})
+                        held = defaultdict(list, {k: [added(v)] for k, v in held.items()})
                         size = sum(len(v[0][0]) for v in held.values())
                         if size > HOLD // 2:
                             yield from emit(held)

@@ -6,12 +6,15 @@ words, or if over ``most_repeated`` of its words lie in 3-word windows that occu
 Well-formed documents (passing the base rules, with under ``most_symbols`` symbols and ``most_capitals`` capitals for
 each word character) teach a character 3-gram model for each language: Spark counts the n-grams of all of them, and the
 models are sorted hash arrays (see ``charlm``; at most 2 ^ 21 entries a language). Every document is then scored by its
-language's model. The band of a language is the median log perplexity of its well-formed documents plus and minus
+language's model; a language with under ``small_text`` characters to learn from shares a model of all languages' text,
+its own included. The band of a language is the median log perplexity of its well-formed documents plus and minus
 ``width`` times their spread (1.4826 times the median absolute deviation, at least ``least_spread``); a document
-outside its band is rejected.
+outside its band is rejected. With fewer than ``least_docs`` well-formed documents, a language's median absolute
+deviation is shrunk to that of all languages in proportion; its median is its own, since languages differ by more than
+their spreads.
 
-Defined cases: a null text has no words and fails; a null language is a language of its own; a language with fewer than
-``least_docs`` well-formed documents has no band and rejects nothing; repeated rows count again; very long texts are
+Defined cases: a null text has no words and fails; a null language is a language of its own; a language without a
+well-formed document has no band and rejects nothing beyond the base rules; repeated rows count again; very long texts are
 read whole; an empty table gives an empty table.
 """
 
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.charlm import Alphabet, estimate, language_counts
+from bindery.llm.charlm import Alphabet, added, estimate, language_counts
 from bindery.llm.common import stage
 
 ALPHABET = Alphabet(bits=7, order=3, letters=False)
@@ -66,7 +69,7 @@ def fails_base(n_words: int, n_repeat_words: int, min_words: int = MIN_WORDS, mo
     return n_words < min_words or 100 * n_repeat_words > most_repeated * n_words
 
 
-def assess(docs: DataFrame, width: float = 8.0, least_spread: float = 0.05, least_docs: int = 20,
+def assess(docs: DataFrame, width: float = 8.0, least_spread: float = 0.05, least_docs: int = 20, small_text: int = 1 << 16,
            most_symbols: float = 0.02, most_capitals: float = 0.3) -> DataFrame:
     """(doc_id, lang, the five base counts, base_failed, log_ppl, low, high, kept) for each row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -84,7 +87,11 @@ def assess(docs: DataFrame, width: float = 8.0, least_spread: float = 0.05, leas
 
     good = rows.select("lang", "text").mapInArrow(teachers, "lang string, text string")
     counts = language_counts(good, ALPHABET, lambda df: stage(df, "quality-grams"))
-    models = {lang: estimate({lang: c}, ALPHABET, modified=True) for lang, c in counts.items()}
+    small = {lang for lang, (_, n) in counts.items() if n.sum() < small_text}
+    models = {lang: estimate({lang: c}, ALPHABET, modified=True) for lang, c in counts.items() if lang not in small}
+    if small:
+        pooled = estimate({"": added(list(counts.values()))}, ALPHABET, modified=True)
+        models |= dict.fromkeys(small, pooled)
     shared = docs.sparkSession.sparkContext.broadcast(models)
     names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "teaches", "log_ppl"]
 
@@ -106,9 +113,13 @@ def assess(docs: DataFrame, width: float = 8.0, least_spread: float = 0.05, leas
     schema = f"doc_id {kind}, lang string, " + ", ".join(f"{c} bigint" for c in names[2:7]) + ", base_failed boolean, teaches boolean, log_ppl double"
     scored = stage(rows.mapInArrow(score, schema), "quality")
     centre = scored.where("teaches").groupBy("lang").agg(F.percentile_approx("log_ppl", 0.5).alias("mid"), F.count("*").alias("n"))
-    centre = centre.where(F.col("n") >= least_docs)  # at most a row for each model; a language may hold most documents
-    spread = scored.where("teaches").join(F.broadcast(centre), "lang").groupBy("lang", "mid").agg(F.percentile_approx(F.abs(F.col("log_ppl") - F.col("mid")), 0.5).alias("mad"))
-    reach = F.greatest(F.col("mad") * 1.4826, F.lit(least_spread)) * width
+    off = F.abs(F.col("log_ppl") - F.col("mid"))  # centre: at most a row for each model; a language may hold most documents
+    taught = scored.where("teaches").join(F.broadcast(centre), "lang").select("lang", "mid", "n", off.alias("off"))
+    spread = taught.groupBy("lang", "mid", "n").agg(F.percentile_approx("off", 0.5).alias("own"))
+    spread = spread.crossJoin(F.broadcast(taught.agg(F.percentile_approx("off", 0.5).alias("pooled"))))
+    weight = F.least(F.lit(1.0), F.col("n") / least_docs)
+    mad = weight * F.col("own") + (1 - weight) * F.col("pooled")
+    reach = F.greatest(mad * 1.4826, F.lit(least_spread)) * width
     bands = spread.select(F.col("lang").alias("of"), (F.col("mid") - reach).alias("low"), (F.col("mid") + reach).alias("high"))
     judged = scored.join(F.broadcast(bands), F.col("lang") == F.col("of"), "left")
     inside = F.coalesce(F.col("log_ppl").between(F.col("low"), F.col("high")), F.lit(True))

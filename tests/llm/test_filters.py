@@ -323,6 +323,19 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert quality.assess(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("n_good", [1, 5, 19])
+def test_quality_judges_small_languages(spark, n_good):
+    r = random.Random(12)
+    word = lambda syllables: "".join(r.choice(syllables) for _ in range(r.randint(1, 4)))
+    text = lambda syllables, tail="": " ".join(word(syllables) + tail for _ in range(120))
+    common, own = ["ta", "re", "mi", "lo", "sen", "ter", "po"], ["ku", "vä", "hy", "jok", "nen", "lla"]
+    texts = [text(common) for _ in range(60)] + [text(own) for _ in range(n_good)] + [text(own, r.choice(["###", "$$$"])) for _ in range(30)]
+    docs = docs_of(spark, texts).withColumn("lang", F.when(F.col("doc_id") < 60, "en").otherwise("fi"))
+    got = {x.doc_id: x for x in quality.assess(docs).collect()}
+    assert all(got[k].kept for k in range(60 + n_good)) and got[60].low is not None
+    assert not any(got[k].base_failed or got[k].kept for k in range(60 + n_good, len(texts)))
+
+
 # --- stupid backoff ---
 
 
