@@ -1,356 +1,206 @@
-"""Stupid-backoff scores of documents from n-gram counts of the corpus, computed relationally.
-
-Texts are cut into words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased). Bigrams and unigrams of all training documents are
-counted. A word's score after another is c(v w) / c(v) where that bigram was seen, else ``alpha`` * c(w) / N, and
-c(w) / N for a first word (one never seen counts as half a word). A document's score is the mean log10 over its words.
-
-Exploded n-grams and count tables meet by hash: a word's hash (48 bits) names its bucket, which holds every occurrence
-of that word with the word after it. The unigram and bigram counts that a bucket needs are thus its own, and the
-occurrences are joined to them and summed for each document there. Occurrences travel packed, one row for each block of
-documents and bucket, and a task reads one bucket after the other from Spark's sorted shuffle, so that memory is bound
-by a bucket of about ``bucket_words`` occurrences, at every size of the corpus. Hot words and pairs, those with over twice
-as many occurrences, are counted beforehand; there can be no more of them than buckets. Occurrences of a hot word are
-dealt by the pair instead, and hot pairs are scored where they are read, from the broadcast counts. Documents outside the training set send the words of unseen bigrams on, as a table joined to the
-unigram counts.
-
-Defined cases: null, empty and blank texts have 0 words and a null score; repeated rows are documents of their own and
-count again; null and repeated doc_id values are passed on; without training documents every word is unseen and scores
-as such; very long texts are read whole; an empty table gives an empty table.
+"""Stupid-backoff scores of documents from n-gram counts of the other documents, computed relationally.
+
+Texts are cut into words ``[^\\x20\\x09-\\x0D]+`` (A-Z lower-cased). With c(g) the number of times that an n-gram g
+occurs in the training documents other than the one being scored, a word w after the context v (the ``order`` - 1 words
+before it, fewer at the start of a document) scores c(v w) / c(v) if c(v w) > 0; else ``alpha`` times its score after
+the context less its first word; without a context, max(c(w), 0.5) / N, where N counts the others' words. A document's
+score is the mean log10 of its words' scores. Leaving out a document's own counts lets backoff work on the corpus that
+was counted; with ``train`` given, all counts are of that corpus and nothing is left out.
+
+The plan is an aggregation and two joins on keys:
+
+1. Documents are dealt by hash into groups of about ``group_bytes`` of text. Each group explodes its n-grams of all
+   orders (the empty one, whose count is N, included) and adds equal ones up before anything is shuffled, so an n-gram
+   leaves a group once however hot it is: no key, pair or passage makes a large partition.
+2. The count table is partitioned by the n-grams' hash into buckets of about ``bucket_grams``. A bucket sums the groups'
+   counts of each n-gram and joins the sums to the groups that hold it.
+3. The counts come back to the groups, are joined to their documents' n-grams, less the document's own occurrences, and
+   summed for each document.
+
+An exploded n-gram is an entry of a packed column and not a row of its own: a group sends a bucket one row with its
+sorted hashes as differences and its counts. Nothing is collected or broadcast but the corpus's size in bytes. An n-gram
+is its 56-bit hash; two n-grams of one hash add their counts, which at a billion distinct n-grams touches about seven.
+
+Defined cases: null, empty and blank texts have 0 words and a null score; repeated rows are documents of their own, each
+counted for the others; null and repeated doc_id values are passed on; without training documents every word is unseen
+and scores as such; a very long text is read whole and is a group of its own, whose memory its length bounds; an empty
+table gives an empty table; columns other than ``doc_id`` and ``text`` are not read.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import stage, word_count
 from bindery.llm.wordhash import mixed, word_hashes
 
+ORDER = 3
 ALPHA = 0.4
-BUCKET_WORDS = 1 << 19
-BLOCK_CHARS = 4 << 20
-END = np.uint64(0)  # no word follows
-FIRST = np.uint64(1)  # stands for the request of a first word's own count
+GROUP_BYTES = 8 << 20
+BUCKET_GRAMS = 1 << 19
+EMPTY = np.uint64(0)  # the empty n-gram
 
-_PACKED = "bucket bigint, block bigint, docs {ids}, words binary, local binary, ctx binary, runs binary, next binary, doc binary, n bigint"
+_REQUESTS = "bucket bigint, g bigint, first bigint, steps binary, n binary, large binary"
+_ANSWERS = "bucket bigint, g bigint, c binary, large binary"
 
 
 def _words(text: str | None) -> np.ndarray:
-    h = word_hashes((text or "").encode("utf-8").lower().split()) >> np.uint64(16)
-    return np.maximum(h, np.uint64(2))
-
-
-def _occurrences(words: np.ndarray, lengths: np.ndarray, counted: bool):
-    """(word, word after it, document number) of each occurrence; a first word also asks for its own count."""
-    ends = np.cumsum(lengths)
-    after = np.append(words[1:], END)
-    after[ends[lengths > 0] - 1] = END
-    docs = np.repeat(np.arange(len(lengths), dtype=np.uint16), lengths)
-    first = (ends - lengths)[lengths > 0]
-    keep = np.ones(len(words), bool) if counted else after != END
-    return (
-        np.concatenate([words[keep], words[first]]),
-        np.concatenate([after[keep], np.full(len(first), FIRST)]),
-        np.concatenate([docs[keep], docs[first]]),
-    )
-
-
-def _pairs(words: np.ndarray, after: np.ndarray) -> np.ndarray:
-    return mixed(words * np.uint64(0x9E3779B97F4A7C15) ^ after * np.uint64(0xC2B2AE3D27D4EB4F))
-
-
-class Hot:
-    """Sorted hashes of hot words and pairs with their counts."""
-
-    def __init__(self, words: dict[int, int] | None = None, pairs: dict[int, int] | None = None):
-        (self.words, self.word_counts), (self.pairs, self.pair_counts) = (
-            (np.array(sorted(d), np.uint64), np.array([d[k] for k in sorted(d)], np.int64)) for d in (words or {}, pairs or {}))
-
-    @staticmethod
-    def counts(hashes: np.ndarray, known: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """Counts of hot hashes, 0 for others."""
-        if not len(known):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
-        return np.where(known[at] == hashes, counts[at], 0)
-
-
-def _shares(docs: DataFrame, least: float, hashes) -> DataFrame:
-    """(h): hashes that are at least ``least`` of all those of some task. One with such a share of the whole corpus is
-    among them."""
-
-    def run(batches):
-        parts, total = [], 0
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                h, n = hashes(_words(t))
-                total += n
-                if len(h):
-                    parts.append(np.unique(h, return_counts=True))
-                if len(parts) >= 4096:
-                    parts = [_merged(parts)]
-        if parts:
-            h, n = _merged(parts)
-            yield pa.RecordBatch.from_arrays([pa.array(h[n >= least * total].view(np.int64))], ["h"])
-
-    return docs.select("text").mapInArrow(run, "h bigint").distinct()
-
-
-def _merged(parts):
-    h, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return h, np.bincount(back, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
-
-
-def _exact(docs: DataFrame, candidates: DataFrame, over: int, hashes) -> dict[int, int]:
-    """Counts of the candidates that occur over ``over`` times: no more than the corpus's words over ``over``."""
-    spark = docs.sparkSession
-    known = spark.sparkContext.broadcast(np.sort(np.array([r.h for r in candidates.collect()], np.int64).view(np.uint64)))
-    if not len(known.value):
-        return {}
-
-    def run(batches):
-        held = np.zeros(len(known.value), np.int64)
-        for b in batches:
-            for t in b.column(0).to_pylist():
-                h, _ = hashes(_words(t))
-                if len(h):
-                    at = np.minimum(np.searchsorted(known.value, h), len(held) - 1)
-                    held += np.bincount(at[known.value[at] == h], minlength=len(held))
-        yield pa.RecordBatch.from_arrays([pa.array(known.value.view(np.int64)), pa.array(held)], ["h", "n"])
-
-    sums = docs.select("text").mapInArrow(run, "h bigint, n bigint").groupBy("h").agg(F.sum("n").alias("n"))
-    return {r.h & (1 << 64) - 1: r.n for r in sums.where(F.col("n") > over).collect()}
-
-
-def hot_ngrams(docs: DataFrame, total: int, over: int) -> Hot:
-    """Words and pairs that occur over ``over`` times among the ``total`` words."""
-    if total <= over:
-        return Hot()
-    least = over / total
-    same = lambda w: (w, len(w))
-    words = _exact(docs, _shares(docs, least, same), over, same)
-    if not words:
-        return Hot()
-    hot = Hot(words)
-
-    def pairs(w):  # of hot words only: a hot pair starts with one
-        a = w[:-1]
-        some = Hot.counts(a, hot.words, hot.word_counts) > 0
-        return _pairs(a[some], w[1:][some]), len(w)
-
-    return Hot(words, _exact(docs, _shares(docs, least, pairs), over, pairs))
-
-
-def _split48(x: np.ndarray) -> bytes:
-    return (x & np.uint64(0xFFFFFFFF)).astype(np.uint32).tobytes() + (x >> np.uint64(32)).astype(np.uint16).tobytes()
-
-
-def _join48(raw: bytes) -> np.ndarray:
-    n = len(raw) // 6
-    return np.frombuffer(raw, np.uint32, n).astype(np.uint64) | np.frombuffer(raw, np.uint16, n, 4 * n).astype(np.uint64) << np.uint64(32)
-
-
-def _packed(docs: DataFrame, n_buckets: int, role: int, hot, total: int) -> DataFrame:
-    """Blocks of occurrences by bucket. ``role``: 0 documents that are counted and scored, 1 counted, 2 scored."""
+    return word_hashes((text or "").encode("utf-8").lower().split())
+
+
+def document_grams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
+    """For each order from 1, the hash of the n-gram that ends at each word; EMPTY where the document begins later."""
+    before = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    out, last = [], words
+    for k in range(1, order + 1):
+        if k > 1:  # the n-gram that ends one word before, and this word
+            last = mixed(np.append(EMPTY, last[:-1]) * np.uint64(0xD6E8FEB86659FD93) + words)
+        out.append(np.where(before >= k - 1, np.maximum(last >> np.uint64(8), np.uint64(1)), EMPTY))
+    return out
+
+
+def _distinct(grams: list[np.ndarray], n_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(sorted distinct n-grams, place of each n-gram in them, occurrences); the empty one occurs at each word."""
+    found, at, n = np.unique(np.concatenate([*grams, [EMPTY]]), return_inverse=True, return_counts=True)
+    n[0] = n_words
+    return found, at[:-1].astype(np.int32), n
+
+
+def small_numbers(values: np.ndarray) -> tuple[bytes, bytes]:
+    """Counts as single bytes; those of 255 and more follow as longs, in order."""
+    large = values >= 255
+    return np.where(large, 255, values).astype(np.uint8).tobytes(), values[large].astype(np.int64).tobytes()
+
+
+def numbers(small: bytes, large: bytes) -> np.ndarray:
+    out = np.frombuffer(small, np.uint8).astype(np.int64)
+    out[out == 255] = np.frombuffer(large, np.int64)
+    return out
+
+
+def steps_of(grams: np.ndarray) -> bytes:
+    """Differences of sorted n-grams in as many bytes as the largest needs."""
+    d = np.diff(grams)
+    width = max(1, (int(d.max()).bit_length() + 7) // 8) if len(d) else 1
+    return d.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def grams_of(first: int, steps: bytes, n: int) -> np.ndarray:
+    d = np.zeros((n, 8), np.uint8)
+    if n > 1:
+        d[1:, : len(steps) // (n - 1)] = np.frombuffer(steps, np.uint8).reshape(n - 1, -1)
+    d = d.view("<u8").ravel()
+    d[0] = first
+    return np.cumsum(d, dtype=np.uint64)
+
+
+def _hashed(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    parts = [_words(t.as_py()) for t in texts]
+    return np.concatenate([np.zeros(0, np.uint64), *parts]), np.array([len(p) for p in parts], np.int64)
+
+
+def _requests(order: int, n_buckets: int):
+    def run(group: pa.Table) -> pa.Table:
+        words, lengths = _hashed(group.column("text"))
+        counted = group.column("counted")[0].as_py()
+        found, _, n = _distinct(document_grams(words, lengths, order), len(words))
+        n = n if counted else np.zeros(len(n), np.int64)
+        bucket = ((found >> np.uint64(24)) * np.uint64(n_buckets)) >> np.uint64(32)
+        cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(found))
+        g, rows = group.column("g")[0].as_py(), []
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            rows.append((int(bucket[a]), g, int(found[a]), steps_of(found[a:b]), *small_numbers(n[a:b])))
+        kinds = [pa.int64()] * 3 + [pa.binary()] * 3
+        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], ["bucket", "g", "first", "steps", "n", "large"])
+
+    return run
+
+
+def _answers(bucket: pa.Table) -> pa.Table:
+    """The bucket's count table, joined to the groups that asked."""
+    rows = bucket.to_pylist()
+    asked = [grams_of(r["first"], r["steps"], len(r["n"])) for r in rows]
+    found, at = np.unique(np.concatenate(asked), return_inverse=True)
+    counts = np.zeros(len(found), np.int64)
+    np.add.at(counts, at, np.concatenate([numbers(r["n"], r["large"]) for r in rows]))
+    ends = np.cumsum([len(a) for a in asked])
+    packed = [small_numbers(counts[at[b - len(a) : b]]) for a, b in zip(asked, ends)]
+    columns = [[r["bucket"] for r in rows], [r["g"] for r in rows], [p[0] for p in packed], [p[1] for p in packed]]
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, [pa.int64()] * 2 + [pa.binary()] * 2)], ["bucket", "g", "c", "large"])
+
+
+def word_scores(grams: list[np.ndarray], at: np.ndarray, totals: np.ndarray, n: np.ndarray, lengths: np.ndarray, alpha: float, own_out: bool) -> np.ndarray:
+    """Log10 score of each word. ``totals`` are the corpus's counts of the distinct n-grams and ``n`` this group's; the
+    document's own occurrences are taken off if ``own_out``."""
+    size = int(lengths.sum())
+    doc = np.repeat(np.arange(len(lengths)), lengths)
+    counts = []
+    for k, gram in enumerate(grams):
+        place = at[k * size : (k + 1) * size]
+        c = totals[place]
+        if own_out:
+            own = np.ones(size, np.int64)
+            again = np.flatnonzero(n[place] > 1)
+            _, back, times = np.unique(doc[again] * len(totals) + place[again], return_inverse=True, return_counts=True)
+            own[again] = times[back]
+            c = c - own
+        counts.append(np.where(gram == EMPTY, 0, c))
+    order, step = len(grams), math.log10(alpha)
+    before = np.arange(size) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    has = np.minimum(before + 1, order)
+    others = np.maximum(totals[0] - (np.repeat(lengths, lengths) if own_out else 0), 1)
+    out = np.log10(np.maximum(counts[0], 0.5) / others) + (has - 1) * step
+    for k in range(2, order + 1):  # a longer n-gram that was seen goes first
+        seen = np.flatnonzero(counts[k - 1] > 0)
+        out[seen] = np.log10(counts[k - 1][seen] / counts[k - 2][seen - 1]) + (has[seen] - k) * step
+    return out
+
+
+def _scores(order: int, alpha: float, own_out: bool):
+    def run(group: pa.Table, answers: pa.Table) -> pa.Table:
+        answers = answers.sort_by("bucket")
+        words, lengths = _hashed(group.column("text"))
+        grams = document_grams(words, lengths, order)
+        found, at, n = _distinct(grams, len(words))
+        totals = np.concatenate([np.zeros(0, np.int64), *(numbers(c.as_py(), x.as_py()) for c, x in zip(answers.column("c"), answers.column("large")))])
+        scored = group.num_rows and group.column("scored")[0].as_py()
+        if scored and len(totals) != len(found):
+            raise RuntimeError(f"a group of documents asked for {len(found)} counts and got {len(totals)}")
+        ids = group.column("doc_id")
+        if not scored:
+            return pa.Table.from_arrays([ids.slice(0, 0), pa.array([], pa.int64()), pa.array([], pa.float64())], ["doc_id", "n_words", "score"])
+        value = word_scores(grams, at, totals, n, lengths, alpha, own_out)
+        doc = np.repeat(np.arange(len(lengths)), lengths)
+        sums = np.bincount(doc, weights=value, minlength=len(lengths))
+        mean = np.divide(sums, lengths, out=np.full(len(lengths), np.nan), where=lengths > 0)
+        return pa.Table.from_arrays([ids, pa.array(lengths), pa.array(mean, from_pandas=True)], ["doc_id", "n_words", "score"])
+
+    return run
+
+
+def _grouped(docs: DataFrame, kind: int, group_bytes: int, scored: bool, counted: bool) -> tuple[DataFrame, int]:
+    """(g, doc_id, text, scored, counted) and the bytes of all texts. The partition's number takes part in the hash, so that
+    repeats of one row do not meet in one group."""
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups = size // group_bytes + 1
+    g = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups)) * 2 + kind
+    return docs.select(g.alias("g"), "doc_id", "text", F.lit(scored).alias("scored"), F.lit(counted).alias("counted")), size
+
+
+def stupid_backoff(docs: DataFrame, train: DataFrame | None = None, order: int = ORDER, alpha: float = ALPHA,
+                   group_bytes: int = GROUP_BYTES, bucket_grams: int = BUCKET_GRAMS) -> DataFrame:
+    """(doc_id, n_words, score) for each row of ``docs``; counts come from ``train``, or from the other rows of ``docs``."""
     kind = docs.schema["doc_id"].dataType
-    names = [c.split()[0] for c in _PACKED.split(", ")]
-
-    def rows_of(block: int, ids: pa.Array, texts: list):
-        hashed = [_words(t) for t in texts]
-        lengths = np.array([len(h) for h in hashed], np.int64)
-        words, after, doc = _occurrences(np.concatenate([np.zeros(0, np.uint64), *hashed]), lengths, role != 2)
-        key, local = words, np.zeros(len(texts))
-        if len(hot.value.words):
-            c_word = Hot.counts(words, hot.value.words, hot.value.word_counts)
-            pair = _pairs(words, after)
-            c_pair = Hot.counts(pair, hot.value.pairs, hot.value.pair_counts)
-            here = (c_word > 0) & ((after == END) | (after == FIRST) | (c_pair > 0))
-            first = (c_word > 0) & (after == FIRST)
-            value = np.log10(np.where(first, c_word / max(total, 1), np.maximum(c_pair, 1) / np.maximum(c_word, 1)))
-            valued = here & (after != END)
-            local = np.bincount(doc[valued], weights=value[valued], minlength=len(texts))
-            key = np.where(c_word > 0, pair >> np.uint64(16), words)[~here]
-            words, after, doc = words[~here], after[~here], doc[~here]
-        bucket = ((key >> np.uint64(16)) * np.uint64(n_buckets)) >> np.uint64(32)
-        order = np.lexsort((doc, words, bucket)) if len(words) else np.zeros(0, np.int64)
-        words, after, doc, bucket = words[order], after[order], doc[order], bucket[order]
-        cuts = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(words) else []
-        out = {k: [] for k in names}
-        for a, b in zip(cuts, [*cuts[1:], len(words)]):
-            heads = np.flatnonzero(np.append(True, words[a + 1 : b] != words[a : b - 1]))
-            out["bucket"].append(int(bucket[a]))
-            out["ctx"].append(_split48(words[a:b][heads]))
-            out["runs"].append(np.diff(np.append(heads, b - a)).astype(np.uint32).tobytes())
-            out["next"].append(_split48(after[a:b]))
-            out["doc"].append(doc[a:b].tobytes())
-        # The block's documents ride with one of its buckets.
-        out["bucket"].append(block % n_buckets)
-        for k in ("ctx", "runs", "next", "doc"):
-            out[k].append(None)
-        rows = len(out["bucket"])
-        directory = pa.concat_arrays([pa.nulls(rows - 1, pa.list_(ids.type)), pa.ListArray.from_arrays([0, len(ids)], ids)])
-        return pa.RecordBatch.from_arrays(
-            [pa.array(out["bucket"], pa.int64()), pa.array([block] * rows, pa.int64()), directory,
-             pa.array([*[None] * (rows - 1), lengths.tobytes()], pa.binary()),
-             pa.array([*[None] * (rows - 1), local.tobytes()], pa.binary()), *[pa.array(out[k], pa.binary()) for k in ("ctx", "runs", "next", "doc")],
-             pa.array([role] * rows, pa.int64())], names)
-
-    def run(batches):
-        block = TaskContext.get().partitionId() << 24
-        for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            a = chars = 0
-            for k, t in enumerate(texts):
-                chars += len(t or "")
-                if chars >= BLOCK_CHARS or k + 1 - a == 1 << 16 or k + 1 == len(texts):
-                    yield rows_of((block << 2) + role, ids.slice(a, k + 1 - a), texts[a : k + 1])
-                    a, chars, block = k + 1, 0, block + 1
-
-    return docs.select("doc_id", "text").mapInArrow(run, _PACKED.format(ids=f"array<{kind.simpleString()}>"))
-
-
-def _bucket_sums(parts: list[dict], total: int, seen_all: bool, hot: Hot):
-    """Log10 sums of one bucket's occurrences: (block, document numbers, sums) for each block, unseen (block, document,
-    word) and the bucket's unigram counts."""
-    words = np.concatenate([np.repeat(_join48(p["ctx"]), np.frombuffer(p["runs"], np.uint32)) for p in parts])
-    after = np.concatenate([_join48(p["next"]) for p in parts])
-    sizes = [len(p["next"]) // 6 for p in parts]
-    counted = np.repeat([p["n"] != 2 for p in parts], sizes)
-    scored = np.repeat([p["n"] != 1 for p in parts], sizes)
-    unigrams, uni = np.unique(words, return_inverse=True)
-    own = np.bincount(uni, weights=counted & (after != FIRST), minlength=len(unigrams))
-    known = Hot.counts(unigrams, hot.words, hot.word_counts)  # a hot word's occurrences are in many buckets
-    c_word = np.where(known > 0, known, own)
-    _, bi = np.unique(_pairs(words, after), return_inverse=True)
-    c_pair = np.bincount(bi, weights=counted)
-    first, seen = after == FIRST, c_pair[bi] > 0
-    value = np.zeros(len(words))
-    inner = scored & ~first & (after != END) & seen
-    value[inner] = np.log10(c_pair[bi[inner]] / c_word[uni[inner]])
-    lead = scored & first
-    value[lead] = np.log10(np.maximum(c_word[uni[lead]], 0.5) / max(total, 1))
-    unseen = scored & ~first & (after != END) & ~seen
-    sums, a = [], 0
-    for p, n in zip(parts, sizes):
-        if p["n"] != 1 and n:
-            doc = np.frombuffer(p["doc"], np.uint16)
-            at = slice(a, a + n)
-            docs, back = np.unique(doc, return_inverse=True)
-            sums.append((p["block"], docs, np.bincount(back, weights=value[at])))
-        a += n
-    rest = None
-    if not seen_all and unseen.any():
-        block = np.repeat([p["block"] for p in parts], sizes)[unseen]
-        doc = np.concatenate([np.frombuffer(p["doc"], np.uint16) for p in parts])[unseen]
-        rest = (block, doc, after[unseen])
-    return sums, rest, (unigrams[known == 0], own[known == 0])
-
-
-_SUMS = "kind int, block bigint, docs {ids}, words binary, at binary, sums binary, word bigint, doc int, n bigint"
-
-
-def _empty(schema_names: list[str], ids_type: pa.DataType, **columns) -> pa.RecordBatch:
-    types = {"kind": pa.int32(), "block": pa.int64(), "docs": pa.list_(ids_type), "words": pa.binary(), "at": pa.binary(),
-             "sums": pa.binary(), "word": pa.int64(), "doc": pa.int32(), "n": pa.int64()}
-    rows = len(next(iter(columns.values())))
-    return pa.RecordBatch.from_arrays([columns[k].cast(types[k]) if k in columns else pa.nulls(rows, types[k]) for k in schema_names], schema_names)
-
-
-def _summed(packed: DataFrame, total: int, seen_all: bool, hot) -> DataFrame:
-    """Rows of kind 0 a block's documents, 1 its sums from a bucket, 2 an unseen word, 3 a unigram count."""
-    ids = packed.schema["docs"].dataType.simpleString()
-    names = [c.split()[0] for c in _SUMS.split(", ")]
-
-    def finished(parts, ids_type):
-        sums, rest, (unigrams, counts) = _bucket_sums(parts, total, seen_all, hot.value)
-        if sums:
-            yield _empty(names, ids_type, kind=pa.array([1] * len(sums)), block=pa.array([s[0] for s in sums]),
-                         at=pa.array([s[1].tobytes() for s in sums]), sums=pa.array([s[2].tobytes() for s in sums]))
-        if rest:
-            yield _empty(names, ids_type, kind=pa.array(np.full(len(rest[0]), 2)), block=pa.array(rest[0]), doc=pa.array(rest[1]), word=pa.array(rest[2].astype(np.int64)))
-        if not seen_all:
-            some = counts > 0
-            yield _empty(names, ids_type, kind=pa.array(np.full(int(some.sum()), 3)), word=pa.array(unigrams[some].astype(np.int64)), n=pa.array(counts[some].astype(np.int64)))
-
-    def run(batches):
-        held, at, ids_type = [], None, pa.int64()
-        for b in batches:
-            ids_type = b.column(2).type.value_type
-            listed = pc.is_valid(b.column(2))
-            own = b.filter(listed)
-            if own.num_rows:
-                yield _empty(names, ids_type, kind=pa.array([0] * own.num_rows), block=own.column(1), docs=own.column(2), words=own.column(3), sums=own.column(4), n=own.column(9))
-            rest = b.filter(pc.invert(listed))
-            for bucket, row in zip(rest.column(0).to_pylist(), rest.select(["block", "ctx", "runs", "next", "doc", "n"]).to_pylist()):
-                if bucket != at and held:
-                    yield from finished(held, ids_type)
-                    held = []
-                at = bucket
-                held.append(row)
-        if held:
-            yield from finished(held, ids_type)
-
-    # The sort brings a bucket's blocks together.
-    dealt = packed.repartition("bucket").sortWithinPartitions("bucket", "block")
-    return dealt.mapInArrow(run, _SUMS.format(ids=ids))
-
-
-def stupid_backoff(docs: DataFrame, train: DataFrame | None = None, alpha: float = ALPHA, bucket_words: int = BUCKET_WORDS) -> DataFrame:
-    """(doc_id, n_words, score) for each row of ``docs``; counts come from ``train``, or from ``docs`` itself."""
-    counted = docs if train is None else train
-    total = counted.select(F.sum(word_count(F.col("text")))).first()[0] or 0
-    n_buckets = max(1, -(-total // bucket_words))
-    found = hot_ngrams(counted, total, 2 * bucket_words)
-    hot = docs.sparkSession.sparkContext.broadcast(found)
-    if train is None:
-        parts = _summed(_packed(docs, n_buckets, 0, hot, total), total, True, hot)
-    else:
-        packed = _packed(docs, n_buckets, 2, hot, total).unionByName(_packed(train, n_buckets, 1, hot, total))
-        parts = stage(_summed(packed, total, False, hot), "ngram-sums")
-        unseen = parts.where("kind = 2").select("block", "doc", "word")
-        counts = parts.where("kind = 3").select("word", F.col("n").alias("c"))
-        hot_counts = [(int(w), int(c)) for w, c in zip(found.words, found.word_counts)]
-        counts = counts.unionByName(docs.sparkSession.createDataFrame(hot_counts, "word bigint, c bigint"))
-        back = F.log10(F.lit(alpha) * F.coalesce(F.col("c"), F.lit(0.5)) / F.lit(max(total, 1)))
-        late = unseen.join(counts, "word", "left").groupBy("block", "doc").agg(F.sum(back).alias("late"))
-    kind = docs.schema["doc_id"].dataType.simpleString()
-
-    def merged(batches):
-        lengths, first, sums, ids, at = None, None, [], None, None
-
-        def finished():
-            out = first.copy()
-            for d, s in sums:
-                out[d] += s
-            mean = np.divide(out, lengths, out=np.full(len(lengths), np.nan), where=lengths > 0)
-            return pa.RecordBatch.from_arrays(
-                [pa.array([at] * len(lengths), pa.int64()), pa.array(np.arange(len(lengths)), pa.int32()), ids, pa.array(lengths), pa.array(mean, from_pandas=True)],
-                ["block", "doc", "doc_id", "n_words", "score"])
-
-        for b in batches:
-            for k, (block, row_kind) in enumerate(zip(b.column(1).to_pylist(), b.column(0).to_pylist())):
-                if block != at:
-                    if lengths is not None:
-                        yield finished()
-                    at, lengths, sums, ids = block, None, [], None
-                if row_kind == 0:
-                    ids = b.column(2)[k].values
-                    lengths, first = (np.frombuffer(b.column(c)[k].as_py(), t) for c, t in ((3, np.int64), (5, np.float64)))
-                else:
-                    sums.append((np.frombuffer(b.column(4)[k].as_py(), np.uint16), np.frombuffer(b.column(5)[k].as_py(), np.float64)))
-        if lengths is not None:
-            yield finished()
-
-    # A block's directory row comes first. Blocks that were only counted have no place in the result.
-    scored = parts.where("kind = 1 OR (kind = 0 AND n <> 1)").select("kind", "block", "docs", "words", "at", "sums")
-    blocks = scored.repartition("block").sortWithinPartitions("block", "kind")
-    out = blocks.mapInArrow(merged, f"block bigint, doc int, doc_id {kind}, n_words bigint, score double")
+    dealt, size = _grouped(docs, 0, group_bytes, True, train is None)
     if train is not None:
-        out = out.join(late, ["block", "doc"], "left")
-        more = F.coalesce(F.col("late") / F.col("n_words"), F.lit(0.0))
-        out = out.withColumn("score", F.col("score") + more)
-    return out.select("doc_id", "n_words", "score")
+        more, its_size = _grouped(train.select(F.col("doc_id").cast(kind).alias("doc_id"), "text"), 1, group_bytes, False, True)
+        dealt, size = dealt.unionByName(more), size + its_size
+    n_buckets = size // 6 * order // bucket_grams + 1  # a word has some six bytes
+    requests = dealt.groupBy("g").applyInArrow(_requests(order, n_buckets), _REQUESTS)
+    answers = requests.groupBy("bucket").applyInArrow(_answers, _ANSWERS)
+    joined = dealt.groupBy("g").cogroup(answers.groupBy("g"))
+    return joined.applyInArrow(_scores(order, alpha, train is None), f"doc_id {kind.simpleString()}, n_words bigint, score double")

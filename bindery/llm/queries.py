@@ -122,19 +122,38 @@ WITH d AS (
   SELECT row_number() OVER () AS row_id, doc_id,
          regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws
   FROM documents
-), w AS (
-  SELECT row_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS word FROM d
-), b AS (
-  SELECT row_id, word, lag(word) OVER (PARTITION BY row_id ORDER BY pos) AS prev FROM w
-), uni AS (
-  SELECT word, count(*) AS c FROM w GROUP BY word
-), bi AS (
-  SELECT prev, word, count(*) AS c FROM b WHERE prev IS NOT NULL GROUP BY prev, word
+), l AS (
+  SELECT row_id, generate_subscripts(ws, 1) AS pos, unnest(ws) AS w FROM d
+), t AS (
+  SELECT row_id, pos, w, lag(w) OVER p AS v, lag(w, 2) OVER p AS u FROM l WINDOW p AS (PARTITION BY row_id ORDER BY pos)
+), o1 AS (
+  SELECT row_id, w, count(*) AS n FROM t GROUP BY ALL
+), o2 AS (
+  SELECT row_id, v, w, count(*) AS n FROM t WHERE v IS NOT NULL GROUP BY ALL
+), o3 AS (
+  SELECT row_id, u, v, w, count(*) AS n FROM t WHERE u IS NOT NULL GROUP BY ALL
+), c1 AS (  -- of each document's n-grams, the occurrences in other documents
+  SELECT row_id, w, sum(n) OVER (PARTITION BY w) - n AS c FROM o1
+), c2 AS (
+  SELECT row_id, v, w, sum(n) OVER (PARTITION BY v, w) - n AS c FROM o2
+), c3 AS (
+  SELECT row_id, u, v, w, sum(n) OVER (PARTITION BY u, v, w) - n AS c FROM o3
+), words AS (
+  SELECT row_id, (SELECT count(*) FROM l) - len(ws) AS others FROM d
 ), s AS (
-  SELECT b.row_id, CASE WHEN b.prev IS NULL THEN log10(u.c / (SELECT count(*) FROM w)) ELSE log10(bi.c / p.c) END AS v
-  FROM b JOIN uni u ON b.word = u.word LEFT JOIN uni p ON b.prev = p.word LEFT JOIN bi ON b.prev = bi.prev AND b.word = bi.word
+  SELECT t.row_id, CASE
+    WHEN c3.c > 0 THEN log10(c3.c / uv.c)
+    WHEN c2.c > 0 THEN log10(c2.c / v.c) + CASE WHEN t.u IS NULL THEN 0 ELSE log10(0.4) END
+    ELSE log10(greatest(w.c, 0.5) / greatest(others, 1)) + CASE WHEN t.v IS NULL THEN 0 WHEN t.u IS NULL THEN 1 ELSE 2 END * log10(0.4)
+  END AS value
+  FROM t JOIN words USING (row_id)
+  JOIN c1 w ON w.row_id = t.row_id AND w.w = t.w
+  LEFT JOIN c1 v ON v.row_id = t.row_id AND v.w = t.v
+  LEFT JOIN c2 ON c2.row_id = t.row_id AND c2.v = t.v AND c2.w = t.w
+  LEFT JOIN c2 uv ON uv.row_id = t.row_id AND uv.v = t.u AND uv.w = t.v
+  LEFT JOIN c3 ON c3.row_id = t.row_id AND c3.u = t.u AND c3.v = t.v AND c3.w = t.w
 ), m AS (
-  SELECT row_id, avg(v) AS score FROM s GROUP BY row_id
+  SELECT row_id, avg(value) AS score FROM s GROUP BY row_id
 )
 SELECT d.doc_id, len(d.ws)::BIGINT AS n_words, round(m.score, 6) AS score FROM d LEFT JOIN m ON d.row_id = m.row_id
 """,

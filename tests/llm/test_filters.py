@@ -339,40 +339,75 @@ def test_quality_judges_small_languages(spark, n_good):
 # --- stupid backoff ---
 
 
-def scores_by_hand(texts, train):
+def scores_by_hand(texts, train=None, order=3):
+    """Stupid backoff from the definition; without ``train``, each text's own n-grams are left out."""
     cut = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    uni, bi = Counter(), Counter()
-    for t in train:
-        w = cut(t)
-        uni.update(w)
-        bi.update(zip(w, w[1:]))
-    n, out = max(1, sum(uni.values())), []
+
+    def counted(w):
+        return Counter(tuple(w[k : k + n]) for n in range(1, order + 1) for k in range(len(w) - n + 1)) + Counter({(): len(w)})
+
+    every, out = Counter(), []
+    for t in texts if train is None else train:
+        every.update(counted(cut(t)))
     for t in texts:
         w = cut(t)
-        logs = [math.log10((uni[w[0]] or 0.5) / n)] if w else []
-        for a, b in zip(w, w[1:]):
-            logs.append(math.log10(bi[a, b] / uni[a] if bi[a, b] else 0.4 * (uni[b] or 0.5) / n))
+        own = counted(w) if train is None else Counter()
+        c = lambda g: every[g] - own[g]
+
+        def s(context, x):
+            if not context:
+                return max(c((x,)), 0.5) / max(c(()), 1)
+            return c((*context, x)) / c(context) if c((*context, x)) > 0 else 0.4 * s(context[1:], x)
+
+        logs = [math.log10(s(tuple(w[max(0, k - order + 1) : k]), x)) for k, x in enumerate(w)]
         out.append((len(w), sum(logs) / len(logs) if logs else None))
     return out
 
 
-@pytest.mark.parametrize("bucket_words", [1 << 20, 700, 40])
-def test_backoff_matches_brute_force(spark, monkeypatch, bucket_words):
-    monkeypatch.setattr(lm, "BLOCK_CHARS", 500)
+@pytest.mark.parametrize("order, group_bytes, bucket_grams", [(3, 8 << 20, 1 << 19), (3, 700, 100), (2, 5000, 300), (4, 3000, 64), (1, 2000, 64)])
+def test_backoff_matches_brute_force(spark, order, group_bytes, bucket_grams):
     r = random.Random(10)
     make = lambda n: " ".join(r.choice(["the", "The", "of", "é", *(f"w{k}" for k in range(30))]) for _ in range(n))
     texts = [None, "", " \n", "single", "unseen words here", *(make(r.randint(1, 80)) for _ in range(60)), "the " * 5000]
+    texts += [texts[-2], texts[-3]]
     train = [None, *(make(50) for _ in range(40))]
     docs = docs_of(spark, texts).repartition(3)
-    for given, counted in ((None, texts), (docs_of(spark, train), train), (docs_of(spark, train).limit(0), [])):
-        got = {x.doc_id: (x.n_words, x.score) for x in lm.stupid_backoff(docs, given, bucket_words=bucket_words).collect()}
-        for k, (n, s) in enumerate(scores_by_hand(texts, counted)):
+    for given, counted in ((None, None), (docs_of(spark, train), train), (docs_of(spark, train).limit(0), [])):
+        got = lm.stupid_backoff(docs, given, order=order, group_bytes=group_bytes, bucket_grams=bucket_grams)
+        got = {x.doc_id: (x.n_words, x.score) for x in got.collect()}
+        assert len(got) == len(texts)
+        for k, (n, s) in enumerate(scores_by_hand(texts, counted, order)):
             assert got[k][0] == n and (got[k][1] is None if s is None else math.isclose(got[k][1], s, rel_tol=1e-9))
-    hot = lm.hot_ngrams(docs, sum(n for n, _ in scores_by_hand(texts, [])), 2 * bucket_words)
-    assert (len(hot.words) > 0) == (len(hot.pairs) > 0) == (bucket_words < 1000)
     assert lm.stupid_backoff(docs.limit(0)).count() == 0
-    twice = lm.stupid_backoff(docs.union(docs).withColumn("doc_id", F.lit(None).cast("long")))
-    assert twice.count() == 2 * len(texts)
+
+
+def test_backoff_of_repeats_and_null_ids(spark):
+    docs = docs_of(spark, ["a b c d e", "x y z", None]).withColumn("doc_id", F.lit(None).cast("long"))
+    got = lm.stupid_backoff(docs.union(docs).union(docs.where("text like 'a%'"))).collect()
+    assert len(got) == 7 and {x.n_words for x in got} == {5, 3, 0} and len({x.score for x in got if x.n_words == 5}) == 1
+
+
+def test_a_hot_passage_makes_no_large_bucket(spark):
+    """A passage that half of all documents share is added up in each group: no bucket has more rows than groups."""
+    passage = " ".join(f"p{k}" for k in range(20))
+    docs = docs_of(spark, [passage if k % 2 else f"own{k} text{k} of{k} it{k}" for k in range(3000)])
+    dealt, size = lm._grouped(docs, 0, 20_000, True, True)
+    sent = dealt.groupBy("g").applyInArrow(lm._requests(3, 8), lm._REQUESTS)
+    groups = dealt.select("g").distinct().count()
+    assert groups > 4 and sent.groupBy("bucket").count().agg(F.max("count")).first()[0] <= groups
+    entries = sent.select("bucket", F.length("n").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
+    assert entries.n.max() < 2 * entries.n.mean()
+
+
+def test_packed_columns_are_exact():
+    r = random.Random(2)
+    for bits in (8, 30, 56):
+        grams = np.unique(np.array([r.getrandbits(bits) for _ in range(200)], np.uint64))
+        assert (lm.grams_of(int(grams[0]), lm.steps_of(grams), len(grams)) == grams).all()
+    one = np.array([7], np.uint64)
+    assert (lm.grams_of(7, lm.steps_of(one), 1) == one).all()
+    counts = np.array([0, 1, 254, 255, 256, 10**12])
+    assert (lm.numbers(*lm.small_numbers(counts)) == counts).all()
 
 
 # --- the pipeline ---
