@@ -1,36 +1,23 @@
-"""What the operators share: tables in the shared folder, text normal forms, row numbers."""
+"""What the operators share: tables in the shared folder and text normal forms."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bindery.sources.scratch import discard, landed
+
 #: White space of the contracts, [\x20\x09-\x0D], as characters.
 BLANKS = " \t\n\x0b\x0c\r"
 
-_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-
+__all__ = ["BLANKS", "ascii_lower", "discard", "each_text", "stage", "table", "word_count"]
 
-_own: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, as in tests, a temporary one."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at and not _own:
-        _own.append(tempfile.mkdtemp(prefix="bindery-"))
-    return (at or _own[0]).rstrip("/")
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return landed(df, name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

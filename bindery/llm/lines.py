@@ -1,30 +1,39 @@
 """Line deduplication with levelled sorted runs of line hashes.
 
 A line's key is the line with ``[\\x20\\x09-\\x0D]`` stripped at both ends and A-Z lower-cased; keys are held as two
-independent 64-bit hashes. ``LineRuns`` keeps sorted runs of (key, number of documents). A new batch is reduced to its
-own sorted keys, merge-anti-joined with the keys that the runs already show to be settled, and added as a run of level
-0. When a level holds ``fanout`` runs, they are merged into one run of the next level, so that a key is rewritten a
-logarithmic number of times and few runs are read at once.
+independent 64-bit hashes. ``LineRuns`` keeps runs of (key, number of documents), each sorted by key. A new batch is
+reduced to its own sorted keys, merge-anti-joined with the keys that the runs already show to be settled, and added as a
+run of level 0. When a level holds ``fanout`` runs, they are compacted into one run of the next level, so that a key is
+rewritten a logarithmic number of times and few runs are read at once.
 
 Two uses: ``drop_frequent_lines`` removes lines whose key is found in at least ``min_docs`` documents from every
-document; ``LineRuns.new_lines`` gives the lines of a batch that no earlier batch had.
+document, feeding the documents to the runs in ``n_batches`` batches by the hash of their doc_id, as they would arrive;
+``LineRuns.new_lines`` gives the lines of a batch that no earlier batch had.
+
+Runs are Parquet files whose row groups hold ranges of keys. Spark does not rely on the order of files it reads, so a
+merge join sorts what it reads once more; the runs' order makes that sort cheap and their files small.
+
+A document's frequent lines travel as the positions of its lines under (doc_id, two hashes of the text), which rows with
+one doc_id share only if their texts are equal too; such rows have the same lines to drop. Positions are taken out by
+one set difference, in time linear in the document's lines.
 
 Defined cases: a null or empty text is one empty line and stays (null text: hash of the empty text); keys of no code
 point are never dropped; each row is a document, so repeated rows count again; a null doc_id is a document like others;
-an empty table gives an empty table; columns other than ``doc_id`` and ``text`` are not read.
+an empty table gives an empty table; columns other than ``doc_id`` and ``text`` are not read. A document of very many
+frequent lines holds their positions in one row.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import BLANKS, ascii_lower, stage
+from bindery.llm.common import BLANKS, ascii_lower, discard, stage
 
 KEY = ["h1", "h2"]
+N_BATCHES = 5
 
 
 def line_keys(text: Column) -> Column:
@@ -60,9 +69,9 @@ class LineRuns:
             self.levels.append([])
         self.levels[level].append(stage(df.sortWithinPartitions(*KEY), f"line-run-{level}"))
         if len(self.levels[level]) >= self.fanout:  # compaction
-            merged = _summed(self.levels[level])
-            self.levels[level] = []
-            self._store(merged, level + 1)
+            merged, self.levels[level] = self.levels[level], []
+            self._store(_summed(merged), level + 1)
+            discard(*merged)
 
     def add(self, batch: DataFrame) -> None:
         """Count the batch's keys, leave out those that some run has settled, and keep the rest as a run."""
@@ -92,35 +101,40 @@ def _summed(runs: list[DataFrame]) -> DataFrame:
     return _union(runs).groupBy(*KEY).agg(F.sum("docs").alias("docs"))
 
 
-def file_batches(spark: SparkSession, path: str, most: int = 4) -> list[DataFrame]:
-    """The table at ``path`` as up to ``most`` batches of whole files, in the order of their names."""
-    files = sorted(spark.read.parquet(path).inputFiles())
-    size = max(1, math.ceil(len(files) / most))
-    schema = spark.read.parquet(path).schema
-    parts = [spark.read.schema(schema).parquet(*files[k : k + size]) for k in range(0, len(files), size)]
-    return parts or [spark.read.parquet(path)]
+def hash_batches(docs: DataFrame, n: int = N_BATCHES) -> list[DataFrame]:
+    """The documents in ``n`` batches by the hash of their doc_id."""
+    return [docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k) for k in range(n)]
+
+
+def _ident() -> list[Column]:
+    return [F.col("doc_id").alias("of"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(11), "text").alias("t2")]
 
 
-def drop_frequent_lines(docs: DataFrame, batches: list[DataFrame] | None = None, min_docs: int = 10, fanout: int = 3) -> DataFrame:
+def drop_frequent_lines(docs: DataFrame, batches: list[DataFrame] | None = None, min_docs: int = 10, fanout: int = 3, n_batches: int = N_BATCHES) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped): texts without the lines whose key at least ``min_docs`` documents hold.
 
-    ``batches`` are the parts of ``docs`` in the order they arrive; without them ``docs`` is one batch.
+    ``batches`` are the parts of ``docs`` in the order they arrive; without them there are ``n_batches`` by doc_id.
     """
+    docs = docs.select("doc_id", "text")
     runs = LineRuns(min_docs, fanout)
-    for batch in batches or [docs]:
+    for batch in batches or hash_batches(docs, n_batches):
         runs.add(batch.select("doc_id", "text"))
     frequent = stage(runs.frequent(), "frequent-lines")
-    hits = _keys_of(docs).join(frequent.hint("merge"), KEY, "left_semi")
-    hits = hits.groupBy(F.col("doc_id").alias("hit_id")).agg(F.collect_set(F.struct(*KEY)).alias("hits"))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
-    with_hits = docs.select("doc_id", "text").join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")), "left")
-    paired = F.arrays_zip(lines.alias("line"), line_keys(F.col("text")).alias("key"))
-    kept = F.transform(F.filter(paired, lambda p: p["key"].isNull() | ~F.array_contains(F.col("hits"), p["key"])), lambda p: p["line"])
-    some = F.col("hits").isNotNull()
-    out = with_hits.select("doc_id", "text", F.size(lines).cast("long").alias("n_lines"), F.when(some, kept).alias("kept"))
-    return out.select(
+    lines = docs.select(*_ident(), F.posexplode(line_keys(F.col("text"))).alias("at", "k")).where("k is not null")
+    hits = lines.select("of", "t1", "t2", "at", "k.*").join(frequent.hint("merge"), KEY, "left_semi")
+    hits = hits.groupBy("of", "t1", "t2").agg(F.collect_set("at").alias("hits"))  # once for repeated rows
+    known = docs.select("doc_id", "text", *_ident()[1:]).alias("d")
+    same = F.col("d.doc_id").eqNullSafe(F.col("h.of")) & (F.col("d.t1") == F.col("h.t1")) & (F.col("d.t2") == F.col("h.t2"))
+    rows = known.join(hits.alias("h"), same, "left").select("d.doc_id", F.coalesce("d.text", F.lit("")).alias("text"), "h.hits")
+
+    def without_hits(lines):  # a lambda's variable, so that the text is split once and not for each line
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("hits"))
+        return F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")
+
+    lines, some = F.split("text", "\n"), F.col("hits").isNotNull()
+    return rows.select(
         "doc_id",
-        F.when(F.col("kept").isNull(), F.coalesce("text", F.lit(""))).otherwise(F.array_join("kept", "\n")).alias("text"),
-        "n_lines",
-        F.when(F.col("kept").isNull(), F.lit(0)).otherwise(F.col("n_lines") - F.size("kept")).cast("long").alias("n_dropped"),
+        F.when(some, F.get(F.transform(F.array(lines), without_hits), F.lit(0))).otherwise(F.col("text")).alias("text"),
+        F.size(lines).cast("long").alias("n_lines"),
+        F.when(some, F.size("hits")).otherwise(F.lit(0)).cast("long").alias("n_dropped"),
     )

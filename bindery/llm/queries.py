@@ -13,8 +13,7 @@ from bindery.llm.common import table
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    batches = lines.file_batches(spark, f"{sf_dir}/documents.parquet")
-    out = lines.drop_frequent_lines(table(spark, sf_dir, "documents"), batches, min_docs=10)
+    out = lines.drop_frequent_lines(table(spark, sf_dir, "documents"), min_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text"), 256).alias("kept_sha256"))
 
 

@@ -42,6 +42,34 @@ def test_lines_match_brute_force(spark, n_batches):
         assert out[i].n_lines - out[i].n_dropped == (len(want[i].split("\n")) if out[i].n_dropped < out[i].n_lines else 0)
 
 
+def test_lines_of_shared_ids_and_long_documents(spark):
+    """A third of the rows with a null id, ids that are repeated with other texts, and a document of many frequent lines."""
+    texts = ["hot\n" + f"own {k}" for k in range(40)] + [None] * 3 + ["a\nhot\n" + "\n".join(["hot", "HOT "] * 30_000) + "\nend"]
+    docs = docs_of(spark, texts).withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("doc_id") % 5))
+    docs = docs.union(docs.where("text like 'hot%'"))
+    out = lines.drop_frequent_lines(docs, min_docs=10)
+    every = [x.text for x in docs.collect()]
+    got = sorted(x.text for x in out.collect())
+    assert got == sorted(dropped_by_hand(every, 10)) and "a\nend" in got
+    assert sorted(x.n_dropped for x in out.collect())[-1] == 60_001
+
+
+def test_registered_query_goes_through_the_runs(spark, sf, monkeypatch):
+    """One file makes five runs and a compaction, and later batches are anti-joined with settled keys."""
+    stored, store = [], lines.LineRuns._store
+
+    def seen(self, df, level):
+        stored.append((level, bool(self.runs())))
+        return store(self, df, level)
+
+    monkeypatch.setattr(lines.LineRuns, "_store", seen)
+    out = {x.doc_id: x.n_dropped for x in queries.op1_line_dedup(spark, sf).collect()}
+    assert [x[0] for x in stored].count(0) == 5 and (1, False) in stored and stored[1] == (0, True)
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    want = dropped_by_hand([x.text for x in docs], 10)
+    assert out == {x.doc_id: len(x.text.split("\n")) - (len(w.split("\n")) if w else 0) for x, w in zip(docs, want)}
+
+
 def test_runs_are_compacted_and_new_lines_are_new(spark):
     runs = lines.LineRuns(settled_at=2, fanout=2)
     for k in range(5):
