@@ -19,7 +19,8 @@ The plan is an aggregation and two joins on keys:
 
 An exploded n-gram is an entry of a packed column and not a row of its own: a group sends a bucket one row with its
 sorted hashes as differences and its counts. Nothing is collected or broadcast but the corpus's size in bytes. An n-gram
-is its 56-bit hash; two n-grams of one hash add their counts, which at a billion distinct n-grams touches about seven.
+is its hash of 48 to 64 bits, as many as keep the share of n-grams that have another one's hash below one in a million;
+two n-grams of one hash add their counts.
 
 Defined cases: null, empty and blank texts have 0 words and a null score; repeated rows are documents of their own, each
 counted for the others; null and repeated doc_id values are passed on; without training documents every word is unseen
@@ -41,7 +42,8 @@ from bindery.llm.wordhash import mixed, word_hashes
 ORDER = 3
 ALPHA = 0.4
 GROUP_BYTES = 8 << 20
-BUCKET_GRAMS = 1 << 19
+BUCKET_GRAMS = 1 << 17
+SPARE_BITS = 20
 EMPTY = np.uint64(0)  # the empty n-gram
 
 _REQUESTS = "bucket bigint, g bigint, first bigint, steps binary, n binary, large binary"
@@ -52,14 +54,19 @@ def _words(text: str | None) -> np.ndarray:
     return word_hashes((text or "").encode("utf-8").lower().split())
 
 
-def document_grams(words: np.ndarray, lengths: np.ndarray, order: int) -> list[np.ndarray]:
+def hash_bits(n_grams: int) -> int:
+    """Bits of an n-gram's hash: SPARE_BITS more than their number has, so that one in a million or fewer share a hash."""
+    return min(64, max(48, int(n_grams).bit_length() + SPARE_BITS))
+
+
+def document_grams(words: np.ndarray, lengths: np.ndarray, order: int, bits: int = 64) -> list[np.ndarray]:
     """For each order from 1, the hash of the n-gram that ends at each word; EMPTY where the document begins later."""
     before = np.arange(len(words)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
     out, last = [], words
     for k in range(1, order + 1):
         if k > 1:  # the n-gram that ends one word before, and this word
             last = mixed(np.append(EMPTY, last[:-1]) * np.uint64(0xD6E8FEB86659FD93) + words)
-        out.append(np.where(before >= k - 1, np.maximum(last >> np.uint64(8), np.uint64(1)), EMPTY))
+        out.append(np.where(before >= k - 1, np.maximum(last >> np.uint64(64 - bits), np.uint64(1)), EMPTY))
     return out
 
 
@@ -103,13 +110,13 @@ def _hashed(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([np.zeros(0, np.uint64), *parts]), np.array([len(p) for p in parts], np.int64)
 
 
-def _requests(order: int, n_buckets: int):
+def _requests(order: int, bits: int, n_buckets: int):
     def run(group: pa.Table) -> pa.Table:
         words, lengths = _hashed(group.column("text"))
         counted = group.column("counted")[0].as_py()
-        found, _, n = _distinct(document_grams(words, lengths, order), len(words))
+        found, _, n = _distinct(document_grams(words, lengths, order, bits), len(words))
         n = n if counted else np.zeros(len(n), np.int64)
-        bucket = ((found >> np.uint64(24)) * np.uint64(n_buckets)) >> np.uint64(32)
+        bucket = ((found >> np.uint64(bits - 32)) * np.uint64(n_buckets)) >> np.uint64(32)
         cuts = np.append(np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])), len(found))
         g, rows = group.column("g")[0].as_py(), []
         for a, b in zip(cuts[:-1], cuts[1:]):
@@ -160,11 +167,11 @@ def word_scores(grams: list[np.ndarray], at: np.ndarray, totals: np.ndarray, n:
     return out
 
 
-def _scores(order: int, alpha: float, own_out: bool):
+def _scores(order: int, bits: int, alpha: float, own_out: bool):
     def run(group: pa.Table, answers: pa.Table) -> pa.Table:
         answers = answers.sort_by("bucket")
         words, lengths = _hashed(group.column("text"))
-        grams = document_grams(words, lengths, order)
+        grams = document_grams(words, lengths, order, bits)
         found, at, n = _distinct(grams, len(words))
         totals = np.concatenate([np.zeros(0, np.int64), *(numbers(c.as_py(), x.as_py()) for c, x in zip(answers.column("c"), answers.column("large")))])
         scored = group.num_rows and group.column("scored")[0].as_py()
@@ -199,8 +206,9 @@ def stupid_backoff(docs: DataFrame, train: DataFrame | None = None, order: int =
     if train is not None:
         more, its_size = _grouped(train.select(F.col("doc_id").cast(kind).alias("doc_id"), "text"), 1, group_bytes, False, True)
         dealt, size = dealt.unionByName(more), size + its_size
-    n_buckets = size // 6 * order // bucket_grams + 1  # a word has some six bytes
-    requests = dealt.groupBy("g").applyInArrow(_requests(order, n_buckets), _REQUESTS)
+    n_grams = size // 6 * order  # a word has some six bytes
+    bits, n_buckets = hash_bits(n_grams), n_grams // bucket_grams + 1
+    requests = dealt.groupBy("g").applyInArrow(_requests(order, bits, n_buckets), _REQUESTS)
     answers = requests.groupBy("bucket").applyInArrow(_answers, _ANSWERS)
     joined = dealt.groupBy("g").cogroup(answers.groupBy("g"))
-    return joined.applyInArrow(_scores(order, alpha, train is None), f"doc_id {kind.simpleString()}, n_words bigint, score double")
+    return joined.applyInArrow(_scores(order, bits, alpha, train is None), f"doc_id {kind.simpleString()}, n_words bigint, score double")
