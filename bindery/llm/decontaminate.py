@@ -12,8 +12,12 @@ themselves, so neither the sketch nor the hashes lose or add a match.
 
 Items come in blocks of about ``block_bytes``; each block is broadcast and meets all documents, whose words never move.
 
+A document is read in pieces of about ``PIECE`` characters that overlap by a shingle less one word, and only shingles
+whose hash a candidate item has are made, so a very long text takes little more memory than itself.
+
 Defined cases: null, empty and wordless texts match nothing; repeated documents and items give a row each; null ids are
-kept; no documents or no items give no rows; columns other than the id and the text are not read.
+kept, and ids of any type; no documents or no items give no rows; a very long text is searched whole; columns other than
+the id and the text are not read, and ``without_contaminated`` passes all columns on as they are.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from bindery.llm.common import each_text
 from bindery.llm.wordhash import ngram_hashes, word_hashes
@@ -33,8 +38,10 @@ from bindery.llm.wordhash import ngram_hashes, word_hashes
 SHINGLE = 5
 THRESHOLD = 0.8
 BLOCK_BYTES = 8 << 20
+PIECE = 1 << 20
 
 _WORD = re.compile(r"\w+")
+_BETWEEN = re.compile(r"\W")
 
 
 def words_of(text: str | None) -> list[str]:
@@ -47,6 +54,21 @@ def shingles(words: list[str], n: int = SHINGLE) -> set[tuple[str, ...]]:
     return set(zip(*(words[k:] for k in range(n))))
 
 
+def pieces(text: str | None, n: int = SHINGLE):
+    """Lists of words that hold every shingle of the text: stretches of the text, each after the last words of the one before."""
+    text, a, words, some = (text or "").lower(), 0, [], False
+    while a < len(text):
+        end = _BETWEEN.search(text, a + PIECE) if a + PIECE < len(text) else None
+        b = end.start() if end else len(text)
+        words += _WORD.findall(text, a, b)
+        a = b
+        if len(words) >= n:
+            yield words
+            words, some = words[len(words) - n + 1 :], True
+    if words and not some:  # a text of fewer words than a shingle
+        yield words
+
+
 def _hashes(words: list[str], n: int) -> np.ndarray:
     return ngram_hashes(word_hashes([w.encode("utf-8", "surrogatepass") for w in words]), n)
 
@@ -77,27 +99,41 @@ class ItemIndex:
 
     def matches(self, text: str | None) -> list[tuple[object, int, int]]:
         """(item_id, shared, shingles of the item) for each item that the text holds."""
-        words = words_of(text)
-        if not words or not self.parts:
+        if not self.parts:
             return []
-        found, own, exact = _hashes(words, self.n), None, []
-        for least, values, owners, needs, numbers in self.parts:
-            if len(found) < least:
-                continue
-            at = np.searchsorted(values, found)
-            hit = found[values[np.minimum(at, len(values) - 1)] == found]
-            if not len(hit):
-                continue
-            hit = np.unique(hit)
-            a, b = np.searchsorted(values, hit), np.searchsorted(values, hit, side="right")
-            score = np.bincount(np.concatenate([owners[i:j] for i, j in zip(a, b)]), minlength=len(needs))
-            for number in numbers[score >= needs]:
-                own = shingles(words, self.n) if own is None else own
-                item_id, item, wanted = self.items[number]
-                theirs = shingles(words_of(item), self.n)
-                if len(theirs & own) >= wanted:
-                    exact.append((item_id, len(theirs & own), len(theirs)))
-        return exact
+        hits, n_shingles = [[] for _ in self.parts], 0
+        for words in pieces(text, self.n):
+            found = _hashes(words, self.n)
+            n_shingles += len(found)
+            for values_hit, (_, values, *_) in zip(hits, self.parts):
+                hit = found[values[np.minimum(np.searchsorted(values, found), len(values) - 1)] == found]
+                if len(hit):
+                    values_hit.append(np.unique(hit))
+        candidates = []
+        for values_hit, (least, values, owners, needs, numbers) in zip(hits, self.parts):
+            if values_hit and n_shingles >= least:
+                hit = np.unique(np.concatenate(values_hit))
+                a, b = np.searchsorted(values, hit), np.searchsorted(values, hit, side="right")
+                score = np.bincount(np.concatenate([owners[i:j] for i, j in zip(a, b)]), minlength=len(needs))
+                candidates += numbers[score >= needs].tolist()
+        return self.verified(text, candidates) if candidates else []
+
+    def verified(self, text: str | None, candidates: list[int]) -> list[tuple[object, int, int]]:
+        """Those of the candidate items whose shingles the text has in fact."""
+        item_words = [words_of(self.items[c][1]) for c in candidates]
+        theirs = [shingles(w, self.n) for w in item_words]
+        wanted = np.unique(np.concatenate([_hashes(w, self.n) for w in item_words]))
+        own = set()
+        for words in pieces(text, self.n):
+            found = _hashes(words, self.n)
+            at = np.flatnonzero(wanted[np.minimum(np.searchsorted(wanted, found), len(wanted) - 1)] == found)
+            own.update(tuple(words[i : i + self.n]) for i in at.tolist())
+        out = []
+        for c, item in zip(candidates, theirs):
+            item_id, _, least = self.items[c]
+            if len(item & own) >= least:
+                out.append((item_id, len(item & own), len(item)))
+        return out
 
 
 def item_blocks(items: DataFrame, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
@@ -118,6 +154,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     """(doc_id, item_id, n_shared, n_item): each document and each item that it holds."""
     kinds = docs.schema["doc_id"].dataType.simpleString(), items.schema["item_id"].dataType.simpleString()
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, n_shared bigint, n_item bigint"
+    item_kind = to_arrow_type(items.schema["item_id"].dataType)
     out = None
     for index in _indexes(items, threshold, block_bytes):
 
@@ -127,7 +164,7 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
                 if rows:
                     at, item, shared, size = zip(*rows)
                     ids = b.column(0).take(pa.array(at, pa.int64()))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(item), pa.array(shared, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "item_id", "n_shared", "n_item"])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(item, item_kind), pa.array(shared, pa.int64()), pa.array(size, pa.int64())], ["doc_id", "item_id", "n_shared", "n_item"])
 
         found = docs.select("doc_id", "text").mapInArrow(run, schema)
         out = found if out is None else out.unionByName(found)

@@ -1,6 +1,8 @@
 import math
 import random
 import re
+import time
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -69,6 +71,33 @@ def test_contamination_matches_brute_force(spark, block_bytes):
     assert decontaminate.contaminated(docs.limit(0), benchmark).count() == 0
 
 
+def test_pieces_hold_every_shingle(monkeypatch):
+    r = random.Random(3)
+    for size in (1, 7, 30, 400):
+        monkeypatch.setattr(decontaminate, "PIECE", size)
+        for n_words in (0, 1, 3, 5, 6, 60):
+            text = "".join(r.choice(["Abc", "é", "x_1", "long" * 9]) + r.choice([" ", ", ", "-\n"]) for _ in range(n_words))
+            words = decontaminate.words_of(text)
+            got = [tuple(p[k : k + 5]) for p in decontaminate.pieces(text) for k in range(max(1, len(p) - 4))]
+            assert sorted(got) == sorted(tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4)) if words)
+    monkeypatch.setattr(decontaminate, "PIECE", 50)
+    item = " ".join(f"w{k}" for k in range(40))
+    index = decontaminate.ItemIndex([(1, item), (2, "just two"), (3, "a b c d e f")])
+    assert index.matches("x " * 300 + item + " y" * 300) == [(1, 36, 36)] and index.matches("so just two here") == []
+    assert index.matches("Just two") == [(2, 1, 1)]
+
+
+@pytest.mark.parametrize("kind", ["int", "string", "long", "date"])
+def test_item_ids_of_any_type(spark, kind):
+    text = "one two three four five six seven"
+    items = spark.createDataFrame([(1, text), (2, text), (None, text)], "item_id long, text string")
+    items = items.withColumn("item_id", F.date_add(F.lit("2020-01-01"), F.col("item_id").cast("int")) if kind == "date" else F.col("item_id").cast(kind))
+    docs = docs_of(spark, [text, None]).withColumn("doc_id", F.col("doc_id").cast("int"))
+    found = decontaminate.contaminated(docs, items)
+    assert found.schema["item_id"].dataType == items.schema["item_id"].dataType
+    assert {x.item_id for x in found.collect()} == {x.item_id for x in items.collect()}
+
+
 # --- HTML ---
 
 PAGE = """<!doctype html><html><head><title>No</title><style>p{}</style><script>var a='<p>no</p>';</script></head><body class="page">
@@ -122,6 +151,46 @@ def test_split_article_is_whole(tag):
     assert html.main_text(f"<body><nav>Home</nav><div>{part(0, 7)}{part(7, 10)}</div><footer>Foot</footer></body>") == want
 
 
+STORY = "".join(f"<p>Paragraph {k} of a story that runs on for a good while and then says something more.</p>" for k in range(6))
+TOLD = "\n".join(f"Paragraph {k} of a story that runs on for a good while and then says something more." for k in range(6))
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<div class='content-sidebar-wrap'><main><article>{}</article></main></div>", "<article class='post no-comments has-share'>{}</article>",
+        "<main class='site-main has-sidebar'>{}</main>", "<div>{}</div><div class='related-posts ad-slot-3'>Buy</div>",
+        "<div><a href=/>Home</a></div><div><a href=/n>News</a></div><div><a href=/s>Sport today</a></div>{}<div><a href=/>Up</a></div><div><a>Top</a></div>",
+        "<div><ul><li><a href=/a>A</a><li><a href=/b>B</a></ul></div><div>{}</div>", "<article>{}<section class=alert>Sign in</section><div id=comments>Hi</div></article>",
+        "<article>{}<div class='post-comments'><p>Nice.</p></div></article><table><tr><td><a>x</a><td><a>y</a></table>",
+    ],
+)
+def test_names_and_unnamed_menus(page):
+    assert html.main_text(f"<body>{page.format(STORY)}</body>") == TOLD
+
+
+def test_anchors_and_links_of_an_article_stay():
+    page = "<article>{}<h2 id='related-work'>Related</h2><section id=alerts><h3 id=share>Alerts</h3>{}</section><ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul></article>"
+    assert html.main_text(page.format(STORY, STORY)) == "\n".join([TOLD, "Related", "Alerts", TOLD, "One", "Two"])
+    one = STORY + "<div><a href=/s>Source</a></div>"  # a single line of links is no menu
+    assert html.main_text(f"<body>{one}</body>") == TOLD + "\nSource"
+
+
+@pytest.mark.parametrize("part", ["<div>x ", "<div class=ad>x ", "<article>x ", "<b>x </i><div>", "<p><i>x</p></b>", "<div>x</section>", "<table><tr><td>x", "<li>x"])
+def test_deep_pages_take_linear_time_and_memory(part):
+    def cost(n):
+        tracemalloc.start()
+        start = time.process_time()
+        html.main_text("<i>" + part * n)
+        took, peak = time.process_time() - start, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return took, peak
+
+    cost(500)
+    (t1, m1), (t8, m8) = cost(4000), cost(32_000)
+    assert m8 < 12 * m1 and m8 < 100e6 and t8 < 20 * t1 + 1
+
+
 def test_extract_keeps_rows(spark):
     rows = [(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (3, "v", "")]
     got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
@@ -392,7 +461,7 @@ def test_a_hot_passage_makes_no_large_bucket(spark):
     passage = " ".join(f"p{k}" for k in range(20))
     docs = docs_of(spark, [passage if k % 2 else f"own{k} text{k} of{k} it{k}" for k in range(3000)])
     dealt, size = lm._grouped(docs, 0, 20_000, True, True)
-    sent = dealt.groupBy("g").applyInArrow(lm._requests(3, 8), lm._REQUESTS)
+    sent = dealt.groupBy("g").applyInArrow(lm._requests(3, 48, 8), lm._REQUESTS)
     groups = dealt.select("g").distinct().count()
     assert groups > 4 and sent.groupBy("bucket").count().agg(F.max("count")).first()[0] <= groups
     entries = sent.select("bucket", F.length("n").alias("n")).groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
