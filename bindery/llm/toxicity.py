@@ -7,12 +7,14 @@ ratios is trained by Adagrad in ``PARTS`` parts of the labelled texts; after eac
 and sent out again. A score is the logistic of the mean weight of the text's n-grams,
 calibrated (Platt scaling) on one more part that teaches nothing else.
 
-Training uses a sample of at most about ``train_rows`` labelled rows (by hash of doc_id, alike at every size), the
-documented bound; it is what the broadcast and the training tasks are sized by. Everything else covers all rows.
+Training uses a sample of at most about ``train_rows`` labelled rows, twice that where ids are repeated (by hash of
+doc_id and text, alike at every size), the documented bound; it is what the broadcast and the training tasks are sized
+by. Everything else covers all rows.
 
 Defined cases: null, empty and blank texts get the score of a text without features; labels of null are not learnt
-from; without labels of both kinds all scores are 0; repeated rows are scored alike and labels of repeated doc_id count
-for each; very long texts are read whole, in pieces; an empty table gives an empty table.
+from; without labels of both kinds all scores are 0; repeated rows are scored alike and teach once, each of the labels of
+a repeated doc_id with each of its texts; very long texts are read whole, in pieces; an empty table gives an empty
+table; columns other than ``doc_id`` and ``text`` are not read, and ``without_toxic`` passes all columns on as they are.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from bindery.llm.common import each_text, stage
 
 BITS = 18
 ORDERS = (4, 5, 6)
-PARTS = 8
+PARTS = 4
 ROUNDS = 3
 EPOCHS = 4
 RATE = 0.4  # of Adagrad
@@ -80,34 +82,39 @@ def scores(weights: np.ndarray, bias: float, texts: Iterable[str | None]) -> np.
 
 
 def _labelled(docs: DataFrame, labels: DataFrame, train_rows: int) -> DataFrame:
-    """(part, toxic, text) of the training sample. The labels' ids are at most about ``train_rows``, so they are
-    broadcast and the texts stay where they are."""
-    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"))
-    share = min(1.0, train_rows / max(1, known.count()))
+    """(part, toxic, text) of the training sample, each different (doc_id, text, toxic) once. The labels' ids are at most
+    about ``train_rows``, so they are broadcast and the texts stay where they are; where ids are repeated in ``docs``,
+    the rows are sampled once more."""
     space = 1 << 30
-    picked = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(space)) < int(share * space))
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
-    return stage(rows.select(F.pmod(F.xxhash64("doc_id", "toxic"), F.lit(PARTS + 1)).cast("int").alias("part"), "toxic", "text"), "toxic-sample")
+    within = lambda share, *cols: F.pmod(F.xxhash64(*cols), F.lit(space)) < int(share * space)
+    known = labels.where("toxic is not null and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
+    picked = known.where(within(min(1.0, train_rows / max(1, known.count())), "doc_id"))
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).join(F.broadcast(picked), "doc_id")
+    found = rows.select("doc_id", "toxic", "h").distinct().count()
+    if found > 2 * train_rows:
+        rows = rows.where(within(train_rows / found, F.lit(5), "doc_id", "h"))
+    once = rows.groupBy("doc_id", "toxic", "h").agg(F.first("text").alias("text"))
+    return stage(once.select(F.pmod(F.xxhash64("doc_id", "toxic", "h"), F.lit(PARTS + 1)).cast("int").alias("part"), "toxic", "text"), "toxic-sample")
 
 
 def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> tuple[np.ndarray, float]:
     """(weight of each feature, bias) learnt from ``labels`` (doc_id, toxic)."""
     spark = docs.sparkSession
     labelled = _labelled(docs, labels, train_rows)
-    sample = labelled.where(F.col("part") < PARTS).repartition(PARTS, "part").sortWithinPartitions("part", "toxic", "text")
+    sample = labelled.where(F.col("part") < PARTS).groupBy("part")
+    order = [("toxic", "ascending"), ("text", "ascending")]  # so that reruns agree
 
-    def count(batches):
+    def count(part: pa.Table) -> pa.Table:
+        part = part.sort_by(order)
         held = np.zeros((2, 1 << BITS), np.float32)
         rows = [0, 0]
-        for b in batches:
-            for y, t in zip(b.column(1).to_pylist(), each_text(b.column(2))):
-                found, share = shares(t)
-                held[int(y > 0)][found] += share
-                rows[int(y > 0)] += 1
-        if sum(rows):
-            yield pa.RecordBatch.from_arrays([pa.array([rows[0]]), pa.array([rows[1]]), pa.array([held.tobytes()])], ["n0", "n1", "counts"])
-
-    parts = sample.mapInArrow(count, "n0 bigint, n1 bigint, counts binary").collect()
+        for y, t in zip(part.column("toxic").to_pylist(), each_text(part.column("text"))):
+            found, share = shares(t)
+            held[int(y > 0)][found] += share
+            rows[int(y > 0)] += 1
+        return pa.Table.from_arrays([pa.array([rows[0]]), pa.array([rows[1]]), pa.array([held.tobytes()])], ["n0", "n1", "counts"])
+
+    parts = sample.applyInArrow(count, "n0 bigint, n1 bigint, counts binary").collect()
     n = np.array([[r.n0, r.n1] for r in parts]).reshape(-1, 2).sum(axis=0)
     if not n.all():
         return np.zeros(1 << BITS, np.float32), -np.inf
@@ -119,13 +126,14 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
     for _ in range(ROUNDS):
         model = spark.sparkContext.broadcast((ratio, weights, bias))
 
-        def learn(batches, model=model):
-            ratio, weights, bias = model.value
+        def learn(part: pa.Table) -> pa.Table:
+            part = part.sort_by(order)
+            ratio, weights, bias = model.value  # run before the loop goes on
             weights, total, own = weights.copy(), np.full(1 << BITS, 1.0, np.float32), np.float64(1.0)
-            rows = [(float(y > 0), *shares(t)) for b in batches for y, t in zip(b.column(1).to_pylist(), each_text(b.column(2)))]
-            order = np.random.default_rng(11)
-            for _ in range(EPOCHS if rows else 0):
-                for i in order.permutation(len(rows)):
+            rows = [(float(y > 0), *shares(t)) for y, t in zip(part.column("toxic").to_pylist(), each_text(part.column("text")))]
+            dealt = np.random.default_rng(11)
+            for _ in range(EPOCHS):
+                for i in dealt.permutation(len(rows)):
                     y, f, x = rows[i]
                     x = x * ratio[f]
                     g = 1 / (1 + np.exp(-np.clip(float(weights[f] @ x) + bias, -60, 60))) - y
@@ -134,10 +142,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> t
                     weights[f] -= RATE * step / np.sqrt(total[f])
                     own += g * g
                     bias -= RATE * g / np.sqrt(own)
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array([len(rows)]), pa.array([bias]), pa.array([weights.tobytes()])], ["n", "bias", "weights"])
+            return pa.Table.from_arrays([pa.array([len(rows)]), pa.array([float(bias)]), pa.array([weights.tobytes()])], ["n", "bias", "weights"])
 
-        learnt = sample.mapInArrow(learn, "n bigint, bias double, weights binary").collect()
+        learnt = sample.applyInArrow(learn, "n bigint, bias double, weights binary").collect()
         model.destroy()
         share = np.array([r.n for r in learnt]) / sum(r.n for r in learnt)
         weights = sum(s * np.frombuffer(r.weights, np.float32) for s, r in zip(share, learnt)).astype(np.float32)

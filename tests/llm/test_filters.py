@@ -248,6 +248,75 @@ def test_toxicity_sample_is_bounded(spark):
     assert 350 < toxicity._labelled(docs, labels, 500).count() < 650
 
 
+def test_repeated_ids_do_not_outgrow_the_sample(spark):
+    docs = docs_of(spark, [f"text {k}" for k in range(3000)]).withColumn("doc_id", F.when(F.col("doc_id") < 2500, 7).otherwise(F.col("doc_id")))
+    docs = docs.union(docs.where("doc_id = 7"))
+    labels = spark.createDataFrame([(k, k % 2) for k in [7, 7, *range(2500, 2700)]], "doc_id long, toxic int")
+    rows = toxicity._labelled(docs, labels, 300).collect()
+    assert 200 < len(rows) < 420 and len({(x.toxic, x.text) for x in rows}) == len(rows)
+    assert max(sum(x.part == k for x in rows) for k in range(5)) < len(rows) / 3
+
+
+def trained_by_hand(parts, bits, judged):
+    """The classifier from its definition, one n-gram after the other, over the given parts of the sample."""
+    space = 1 << bits
+
+    def feature(gram):
+        h = 0
+        for c in gram:
+            h = (h ^ ord(c)) * 0x9E3779B97F4A7C15 % (1 << 64)
+            h ^= h >> 29
+        return h * 0xBF58476D1CE4E5B9 % (1 << 64) >> 64 - bits
+
+    def shared(text):
+        line = " " + " ".join((text or "").lower().split()) + " "
+        grams = [feature(line[k : k + n]) for n in (4, 5, 6) for k in range(len(line) - n + 1)]
+        return {f: n * toxicity.SCALE / max(toxicity.LEAST, len(grams)) for f, n in Counter(grams).items()}
+
+    rows = [[(y, shared(t)) for y, t in part] for part in parts]
+    n = [sum(y == label for part in rows for y, _ in part) for label in (0, 1)]
+    counts = np.full((2, space), toxicity.PRIOR)
+    for part in rows:
+        for y, x in part:
+            for f, v in x.items():
+                counts[y, f] += v * min(n) / n[y]
+    ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
+    weights, bias = np.full(space, 0.1), math.log(n[1] / n[0])
+    for _ in range(toxicity.ROUNDS):
+        learnt = []
+        for part in rows:
+            w, total, b, own = weights.copy(), np.ones(space), bias, 1.0
+            order = np.random.default_rng(11)
+            for _ in range(toxicity.EPOCHS):
+                for i in order.permutation(len(part)):
+                    y, x = part[i]
+                    g = 1 / (1 + math.exp(-(sum(w[f] * v * ratio[f] for f, v in x.items()) + b))) - y
+                    for f, v in x.items():
+                        step = g * v * ratio[f] + 1e-4 * w[f]
+                        total[f] += step * step
+                        w[f] -= toxicity.RATE * step / math.sqrt(total[f])
+                    own += g * g
+                    b -= toxicity.RATE * g / math.sqrt(own)
+            learnt.append((len(part), w, b))
+        size = sum(x[0] for x in learnt)
+        weights, bias = sum(x[0] * x[1] for x in learnt) / size, sum(x[0] * x[2] for x in learnt) / size
+    z = np.array([sum(weights[f] * v * ratio[f] for f, v in shared(t).items()) + bias for _, t in judged])
+    slope, shift = toxicity.platt(z, np.array([y > 0 for y, _ in judged]))
+    return lambda t: 1 / (1 + math.exp(-(slope * (sum(weights[f] * v * ratio[f] for f, v in shared(t).items()) + bias) + shift)))
+
+
+def test_toxicity_matches_the_definition(spark):
+    r = random.Random(21)
+    word = lambda bad: r.choice(["vile", "scum", "rot"]) if bad and r.random() < 0.3 else r.choice(["calm", "sea", "Sun", "é", "tree"])
+    texts = [" ".join(word(k % 3 == 0) for _ in range(r.randint(5, 30))) for k in range(120)] + [None, "", "vile vile"]
+    docs, labels = docs_of(spark, texts), spark.createDataFrame([(k, int(k % 3 == 0)) for k in range(120)], "doc_id long, toxic int")
+    sample = toxicity._labelled(docs, labels, 1000).collect()
+    parts = [sorted((x.toxic, x.text) for x in sample if x.part == k) for k in range(toxicity.PARTS + 1)]
+    by_hand = trained_by_hand([p for p in parts[:-1] if p], toxicity.BITS, parts[-1])
+    for x in toxicity.score(docs, labels).collect():
+        assert math.isclose(x.score, by_hand(texts[x.doc_id]), abs_tol=2e-3)
+
+
 # --- character language models ---
 
 TINY = charlm.Alphabet(bits=6, order=3, letters=True)
