@@ -42,8 +42,8 @@ from bindery.llm.common import discard, stage, word_count
 MOST = 3
 NEAR = 0.001
 UNIT = 1_000_000  # rates are whole numbers of 1 / UNIT
-BINS = 16  # of a histogram, for each doubling of the size
-START_STEPS = 40
+BINS = 8  # of a histogram, for each doubling of the size
+START_STEPS = 16
 
 
 def same(a: Column, b: Column) -> Column:
@@ -74,7 +74,7 @@ def source_targets(cells: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     named = running(sums, [F.col("source").asc_nulls_last()], ["one"]).select("source", "source_size", w.alias("w"))
     named = named.withColumn("cap", F.col("source_size") * most).withColumn("ratio", F.col("cap") / F.col("w"))
     order = [F.col("ratio").asc(), F.col("source").asc_nulls_last()]
-    filled = stage(running(named, order, ["cap", "w"]), "filled")
+    filled = running(named, order, ["cap", "w"])
     total = filled.agg(F.sum("source_size").alias("all_size"), F.sum("w").alias("all_w"))  # one row
     level = (F.col("all_size") - F.col("before_cap")) / (F.col("all_w") - F.col("before_w"))
     rated = filled.crossJoin(F.broadcast(total)).withColumn("level", level)
