@@ -15,6 +15,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -235,9 +236,36 @@ def estimate(counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: Alphabe
     return model
 
 
-def language_counts(docs: DataFrame, alphabet: Alphabet, stored) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """Each language's (n-grams, counts) in the rows of ``docs`` (lang, text): at most 2 ^ (order * bits) for each.
-    ``stored`` writes the count table."""
-    table = stored(count_grams(docs, alphabet)).toArrow()
-    langs, grams, n = table.column("lang").to_pandas(), table.column("gram").to_numpy(), table.column("n").to_numpy()
-    return {lang: (grams[at], n[at]) for lang, at in langs.groupby(langs).indices.items()}
+@dataclass
+class Models:
+    """One model a language, each broadcast by itself: a worker loads those of the languages that it meets."""
+
+    parts: dict[str, Broadcast]
+
+    @property
+    def langs(self) -> list[str]:
+        return sorted(self.parts)
+
+    def cross_entropy(self, texts: list[str], lang: str | None = None) -> np.ndarray:
+        """Nats per character of each text (rows) under each language, or the one that is asked for (columns)."""
+        asked = self.langs if lang is None else [lang]
+        return np.concatenate([self.parts[x].value.cross_entropy(texts) for x in asked], axis=1)
+
+
+def _counts(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    held = table.select("gram", "n").toArrow()
+    return held.column("gram").to_numpy(), held.column("n").to_numpy()
+
+
+def language_models(docs: DataFrame, alphabet: Alphabet, modified: bool, stored, small_text: int = 0) -> Models:
+    """A model of each language in the rows of ``docs`` (lang, text); languages with under ``small_text`` n-grams share one
+    of all languages' text. ``stored`` writes the count table. A language at a time, of at most 2 ^ (order * bits) counts,
+    passes the driver."""
+    spark, table = docs.sparkSession, stored(count_grams(docs, alphabet))
+    sizes = {r.lang: r.size for r in table.groupBy("lang").agg(F.sum("n").alias("size")).collect()}
+    send = lambda counts: spark.sparkContext.broadcast(estimate({"": counts}, alphabet, modified))
+    parts = {lang: send(_counts(table.where(F.col("lang") == lang))) for lang in sorted(sizes) if sizes[lang] >= small_text}
+    small = [lang for lang in sizes if lang not in parts]
+    if small:
+        parts |= dict.fromkeys(small, send(_counts(table.groupBy("gram").agg(F.sum("n").alias("n")))))
+    return Models(parts)

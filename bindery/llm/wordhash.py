@@ -48,6 +48,20 @@ def word_hashes(words: list[bytes]) -> np.ndarray:
     return np.concatenate(out)
 
 
+_SPACES = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+
+
+def text_hashes(raw: bytes) -> np.ndarray:
+    """Hashes of the words of an encoded text, cut at ``[\\x20\\x09-\\x0D]``, without a list of all of them."""
+    raw, out, a = raw.translate(_SPACES), [np.zeros(0, np.uint64)], 0
+    while a < len(raw):
+        b = raw.find(b" ", a + RUN)
+        b = len(raw) if b < 0 else b
+        out.append(word_hashes(raw[a:b].split()))
+        a = b
+    return np.concatenate(out)
+
+
 def ngram_hashes(words: np.ndarray, n: int) -> np.ndarray:
     """Hashes of the n-grams that start at each word but the last n - 1; of the whole sequence if it is shorter."""
     n = min(n, len(words))

@@ -322,8 +322,8 @@ def test_toxicity_matches_the_definition(spark):
 TINY = charlm.Alphabet(bits=6, order=3, letters=True)
 
 
-def kneser_ney_by_hand(texts, alphabet):
-    """Interpolated Kneser-Ney over class sequences, from the definition."""
+def kneser_ney_by_hand(texts, alphabet, modified=False):
+    """Interpolated Kneser-Ney over class sequences, plain or modified, from the definition."""
     n, size = alphabet.order, 1 << alphabet.bits
     grams = Counter()
     for t in texts:
@@ -337,13 +337,17 @@ def kneser_ney_by_hand(texts, alphabet):
         if not g:
             return 1 / size
         level = levels[len(g)]
-        n1, n2 = (max(1, sum(v == x for v in level.values())) for x in (1, 2))
-        d = n1 / (n1 + 2 * n2)
+        n1, n2, n3, n4 = (max(1, sum(v == x for v in level.values())) for x in (1, 2, 3, 4))
+        y = n1 / (n1 + 2 * n2)
+        d = {1: y, 2: y, 3: y}
+        if modified:
+            d = {1: min(max(1 - 2 * y * n2 / n1, 0.1), 0.95), 2: min(max(2 - 3 * y * n3 / n2, 0.1), 1.9), 3: min(max(3 - 4 * y * n4 / n3, 0.1), 2.8)}
         after = {x: v for x, v in level.items() if x[:-1] == g[:-1]}
         if not after:
             return p(g[1:])
-        total = sum(after.values())
-        return max(level.get(g, 0) - d, 0) / total + d * len(after) / total * p(g[1:])
+        total, own = sum(after.values()), level.get(g, 0)
+        left = sum(d[min(v, 3)] for v in after.values())
+        return (own - d[min(own, 3)] if own else 0) / total + left / total * p(g[1:])
 
     return p
 
@@ -351,13 +355,14 @@ def kneser_ney_by_hand(texts, alphabet):
 def test_model_matches_the_definition():
     texts = ["abra kadabra", "abba", "a b", ""]
     grams, _ = TINY.grams(texts)
-    model = charlm.estimate({"x": np.unique(grams, return_counts=True)}, TINY, modified=False)
-    p = kneser_ney_by_hand(texts, TINY)
-    for text in ("abra", "zebra", "q", "ab ba"):
-        codes, _ = TINY.grams([text])
-        for g in codes:
-            parts = tuple(int(g) >> 6 * k & 63 for k in (2, 1, 0))
-            assert math.isclose(math.exp(model.rows(np.array([g], np.uint32))[0, 0]), p(parts), rel_tol=1e-4)
+    for modified in (False, True):
+        model = charlm.estimate({"x": np.unique(grams, return_counts=True)}, TINY, modified)
+        p = kneser_ney_by_hand(texts, TINY, modified)
+        for text in ("abra", "zebra", "q", "ab ba"):
+            codes, _ = TINY.grams([text])
+            for g in codes:
+                parts = tuple(int(g) >> 6 * k & 63 for k in (2, 1, 0))
+                assert math.isclose(math.exp(model.rows(np.array([g], np.uint32))[0, 0]), p(parts), rel_tol=1e-4)
     for modified in (False, True):
         model = charlm.estimate({"x": np.unique(grams, return_counts=True)}, TINY, modified)
         for context in ((0, 1), (1, 2), (9, 9)):
@@ -393,6 +398,50 @@ def test_language_edge_cases(spark):
     assert langid.identify(docs.limit(0), F.lit(True)).count() == 0
 
 
+def entropy_by_hand(text, alphabet, p):
+    """Nats per character of a text."""
+    c = (0,) * (alphabet.order - 2) + tuple(alphabet.codes(text).tolist())
+    logs = [-math.log(p(c[k : k + alphabet.order])) for k in range(len(c) - alphabet.order + 1)]
+    return sum(logs) / len(logs)
+
+
+def test_language_scores_and_rejection_match_the_definition(spark):
+    r = random.Random(31)
+    make = lambda parts, n: " ".join("".join(r.choice(parts) for _ in range(r.randint(1, 3))) for _ in range(n))
+    one, two = ["the", "and", "in", "er", "o"], ["der", "und", "ein", "sch", "o"]
+    texts = [make(one, 12) for _ in range(8)] + [make(two, 12) for _ in range(8)] + [make(one + two, 2) for _ in range(12)]
+    lang = ["en"] * 8 + ["de"] * 8 + ["en", "de"] * 6
+    docs = docs_of(spark, texts).withColumn("lang", F.get(F.array(*[F.lit(x) for x in lang]), F.col("doc_id").cast("int")))
+    got = {x.doc_id: x for x in langid.identify(docs, F.lit(True), reject_share=0.2).collect()}
+    ps = [kneser_ney_by_hand([t for t, x in zip(texts, lang) if x == y], langid.ALPHABET) for y in ("de", "en")]
+    ce = np.array([[entropy_by_hand(t, langid.ALPHABET, p) for p in ps] for t in texts])
+    truth, chars = np.array([("de", "en").index(x) for x in lang]), np.array([len(t) for t in texts])
+
+    def share(factor):
+        z = np.exp(-ce * factor * np.sqrt(chars)[:, None])
+        return z / z.sum(axis=1, keepdims=True)
+
+    factor = min(np.geomspace(0.05, 50, 31), key=lambda f: -np.log(np.maximum(share(f)[np.arange(len(truth)), truth], 1e-300)).mean())
+    best = share(factor).max(axis=1)
+    least = np.quantile(best[ce.argmin(axis=1) == truth], 0.2)
+    for k in range(len(texts)):
+        assert got[k].lang_pred == ("de", "en")[ce[k].argmin()] and math.isclose(got[k].score, best[k], abs_tol=1e-3)
+        assert got[k].accepted == (got[k].score >= least) or abs(best[k] - least) < 1e-3
+    assert 0 < sum(not x.accepted for x in got.values()) < len(texts)
+
+
+def test_languages_of_one_script(spark):
+    """Two languages in Cyrillic letters and two in Han, told apart on texts that taught nothing."""
+    r = random.Random(13)
+    pools = {"ru": "что это как был ые ств ого ени", "uk": "що це як був ії ств ого ння", "zh": "的 是 不 我 一 有 大 在 人 了", "ja": "日 本 国 会 社 時 間 語 学 生"}
+    text = lambda x: " ".join("".join(r.choice(pools[x].split()) for _ in range(r.randint(1, 4))) for _ in range(25))
+    names = [x for x in pools for _ in range(40)]
+    docs = docs_of(spark, [text(x) for x in names]).withColumn("lang", F.get(F.array(*[F.lit(x) for x in names]), F.col("doc_id").cast("int")))
+    got = {x.doc_id: x.lang_pred for x in langid.identify(docs, F.col("doc_id") % 4 != 2).collect()}
+    held = [k for k in range(len(names)) if k % 4 == 2]
+    assert sum(got[k] == names[k] for k in held) >= 0.97 * len(held)
+
+
 def test_letters_above_the_table():
     adlam = "".join(chr(0x1E922 + k % 34) for k in range(40))
     letters = [adlam, "\U00020000\U00020001", "\U0001d400\U0001d401 \U0001d402"]
@@ -408,7 +457,7 @@ def test_letters_above_the_table():
         langs, scores = langid.classify(model, 5.0, rows)
         assert np.isfinite(scores).all() and [x for t, x in zip(rows, langs) if t == adlam] == ["ff"]
         assert {x for t, x in zip(rows, langs) if t.startswith("the")} <= {"en"}
-    uniform = 6 * math.log(2)
+    uniform = langid.ALPHABET.bits * math.log(2)
     for rows in ([""], ["the dog", ""], ["the dog", "1", "the cat"]):
         ce = model.cross_entropy(rows)
         for t, row in zip(rows, ce):
@@ -461,6 +510,48 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert quality.assess(docs.limit(0)).count() == 0
 
 
+def test_bands_match_the_definition(spark):
+    r = random.Random(17)
+    word = lambda parts: "".join(r.choice(parts) for _ in range(r.randint(1, 4)))
+    pools = {"en": ["ta", "re", "mi", "lo"], "": ["ku", "hy", "nen"], None: ["sch", "ein", "und"]}
+    texts, langs = [], []
+    for x, n in (("en", 30), ("", 25), (None, 6)):
+        texts += [" ".join(word(pools[x]) for _ in range(r.randint(50, 90))) for _ in range(n)] + [" ".join(word(pools[x]) + "##" for _ in range(70)) for _ in range(3)]
+        langs += [x] * (n + 3)
+    texts, langs = texts + ["few words", None], langs + ["en", "xx"]
+    docs = docs_of(spark, texts).withColumn("lang", F.get(F.array(*[F.lit(x) for x in langs]), F.col("doc_id").cast("int")))
+    got = {x.doc_id: x for x in quality.assess(docs, width=3.0, small_text=10).collect()}
+    assert all(got[k].lang == x for k, x in enumerate(langs))
+    base = [base_by_hand(t) for t in texts]
+    failed = [b[0] < 50 or 100 * b[4] > 50 * b[0] for b in base]
+    teach = [k for k, b in enumerate(base) if not failed[k] and b[2] <= 0.02 * b[1] and sum("A" <= c <= "Z" for c in texts[k]) <= 0.3 * b[1]]
+    ps = {x: kneser_ney_by_hand([texts[k] for k in teach if langs[k] == x], quality.ALPHABET, True) for x in ("en", "", None)}
+    ppl = {k: entropy_by_hand(t, quality.ALPHABET, ps[langs[k]]) for k, t in enumerate(texts) if base[k][0] and langs[k] in ps}
+    middle = lambda values: sorted(values)[(len(values) - 1) // 2]
+    mids = {x: middle([ppl[k] for k in teach if langs[k] == x]) for x in ps}
+    off = {k: abs(ppl[k] - mids[langs[k]]) for k in teach}
+    for k, x in enumerate(langs):
+        if k not in ppl:
+            assert not got[k].kept and got[k].low is None
+            continue
+        own = [v for i, v in off.items() if langs[i] == x]
+        w = min(1, len(own) / 20)
+        reach = 3.0 * max(0.05, 1.4826 * (w * middle(own) + (1 - w) * middle(list(off.values()))))
+        assert math.isclose(got[k].log_ppl, ppl[k], rel_tol=1e-4)
+        assert math.isclose(got[k].low, mids[x] - reach, rel_tol=1e-3) and math.isclose(got[k].high, mids[x] + reach, rel_tol=1e-3)
+        assert got[k].base_failed == failed[k] and got[k].kept == (not failed[k] and mids[x] - reach <= ppl[k] <= mids[x] + reach)
+    assert not any(got[k].kept for k, t in enumerate(texts) if t and "##" in t)
+
+
+def test_counts_of_a_long_text_take_little_memory():
+    text = "alpha beta gamma delta " * 400_000  # 9 MB
+    tracemalloc.start()
+    assert quality.base_counts(text) == (1_600_000, 7_600_000, 0, 0, 1_600_000)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20 * len(text)
+
+
 @pytest.mark.parametrize("n_good", [1, 5, 19])
 def test_quality_judges_small_languages(spark, n_good):
     r = random.Random(12)
