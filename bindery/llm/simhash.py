@@ -6,14 +6,17 @@ differ in at most ``radius`` bits are linked, and documents are grouped by chain
 
 Two fingerprints within ``radius`` bits agree on at least one of ``radius + 1`` bands, so each band value is a shard
 and every link lies inside some shard. A shard of over ``split_above`` fingerprints is cut again by bands of its other
-bits, which keeps the same promise. Each task builds a BK-tree per shard (children keyed by integer Hamming distance
+bits, which keeps the same promise: once by Spark, so that it is dealt to many tasks, and as often as needed in the task
+that gets a piece of it. Each task builds a BK-tree per shard (children keyed by integer Hamming distance
 to the parent) and follows only edges within the radius, minus subtrees already in the query's component. It keeps a
-star of links per component, never all pairs. Trees are built where their shard was shuffled to: broadcasting trees of
-all fingerprints would send what grows with the corpus through the driver.
+star of links per component, never all pairs. Trees are built and searched where their shard was shuffled to: the trees
+of all shards hold all fingerprints, and to broadcast them would send those through the driver.
 
 Defined cases: null, empty and blank texts have fingerprint 0 and link like others; texts of fewer words than a
 shingle hash as one sequence; repeated rows and equal doc_id values stay separate rows with one fingerprint each; a
-null doc_id never names a component unless all of its members are null; an empty table gives an empty table.
+null doc_id never names a component unless all of its members are null; a very long text is read whole; an empty table
+gives an empty table; columns other than ``doc_id`` and ``text`` are not read, and ``keep_one_per_group`` passes all
+columns on as they are.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import each_text, stage
+from bindery.llm.common import discard, each_text, stage
 
 SHINGLE = 3
 RADIUS = 3
@@ -72,6 +75,7 @@ class BKTree:
         self.keys: list[int] = []
         self.children: list[dict[int, int]] = []
         self.up: list[int] = []  # union-find parents
+        self.visits = 0
         self.whole: list[int] = []  # a member of the only component below this node; -1 if there are more
 
     def find(self, i: int) -> int:
@@ -87,6 +91,7 @@ class BKTree:
         todo = [0] if me else []
         while todo:  # join what is near; skip subtrees that are in this component already
             i = todo.pop()
+            self.visits += 1
             if self.whole[i] >= 0 and self.find(self.whole[i]) == self.find(me):
                 continue
             d = (keys[i] ^ key).bit_count()
@@ -113,11 +118,28 @@ class BKTree:
         return [(self.keys[i], self.keys[r]) for i in range(len(self.keys)) if (r := self.find(i)) != i]
 
 
-def shard_links(keys: list[int], radius: int = RADIUS) -> list[tuple[int, int]]:
+def shard_links(keys: np.ndarray, radius: int = RADIUS, split_above: int = 2048) -> list[tuple[int, int]]:
+    """Links that join the components of ``keys`` (distinct, unsigned). A tree serves a ball of near keys however large it
+    is; where searches have visited over ``split_above`` nodes a key, the keys are cut by bands of the bits they differ in."""
     tree = BKTree(radius)
-    for k in keys:
+    for k in keys.tolist():
         tree.add(k)
-    return tree.links()
+        if tree.visits > split_above * (len(tree.keys) + split_above):
+            break
+    else:
+        return tree.links()
+    differ = int(np.bitwise_or.reduce(keys ^ keys[0]))
+    free = np.array([b for b in range(64) if differ >> b & 1], np.uint64)
+    if len(free) <= radius:  # all are near one another
+        return [(int(k), int(keys[0])) for k in keys[1:]]
+    out = []
+    for band in np.array_split(free, radius + 1):
+        own = keys & np.bitwise_or.reduce(np.uint64(1) << band)
+        order = np.argsort(own, kind="stable")
+        for part in np.split(keys[order], np.flatnonzero(np.diff(own[order])) + 1):
+            if len(part) > 1:
+                out += shard_links(part, radius, split_above)
+    return out
 
 
 def _band(fp: str, bands: list[tuple[int, int]]):
@@ -164,7 +186,7 @@ def near_links(distinct: DataFrame, radius: int = RADIUS, split_above: int = 204
         out = []
         for g in groups:
             if len(g) > 1:
-                out += shard_links(g.view(np.uint64).tolist(), radius)
+                out += shard_links(g.view(np.uint64), radius, split_above)
         pairs = np.array(out, dtype=np.uint64).reshape(-1, 2).view(np.int64)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
 
@@ -210,7 +232,8 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small_star = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = stage(small_star.where("u <> v").distinct(), "links")
+        before_edges, edges = edges, stage(small_star.where("u <> v").distinct(), "links")
+        discard(before_edges)
         after = digest(edges)
         if after == before:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))

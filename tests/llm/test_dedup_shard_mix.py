@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -138,6 +139,28 @@ def test_shards_lose_no_link(spark, split_above):
     assert pairs(got) == pairs(want)
 
 
+@pytest.mark.parametrize("shared_bits, split_above", [(0, 1), (28, 1), (28, 3), (52, 2)])
+def test_crowded_shards_are_cut_again(shared_bits, split_above):
+    """Keys that agree in many bits, apart and in balls, with few visits allowed: no link is lost and none invented."""
+    r = random.Random(shared_bits)
+    keys = {r.getrandbits(64 - shared_bits) for _ in range(300)} | {x >> shared_bits for x in near_fingerprints(r, 15)}
+    keys = np.array(sorted(keys), np.uint64)
+    links = simhash.shard_links(keys, 3, split_above)
+    label = {int(k): int(k) for k in keys}
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for a, b in links:
+        label[root(a)] = root(b)
+    want = components_by_hand([int(k) for k in keys])
+    got = [root(int(k)) for k in keys]
+    groups = lambda x: {frozenset(i for i, v in enumerate(x) if v == w) for w in set(x)}
+    assert groups(got) == groups(want)
+
+
 def test_chain_is_one_component(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(900, 901), (5, 5)], "u long, v long")
     got = {x.node: x.root for x in simhash.components(links).collect()}
