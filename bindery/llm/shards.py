@@ -2,10 +2,12 @@
 
 Records (doc_id, size and CRC of the text) are hashed into ``n_slots`` fixed virtual slots. Equal records are counted
 first; a group of more bytes than an average slot is cut into pieces of about that size, whose numbers are hashed too,
-so no key and no group of copies makes a slot that the map cannot balance. Bytes and rows are summed for each slot, and a map
-from slot to shard is made so that the shards' bytes are near equal: the heaviest slot goes to the lightest shard. The
-map is a table of (version, slot, shard) in the shared folder; ``rebalance`` edits it into a next version that moves
-few slots, to follow new sizes or another number of shards. The law that holds is ``bytes``.
+so no key and no group of copies makes a slot that the map cannot balance. Bytes and rows are summed for each slot.
+
+The map from slot to shard is a table of (version, slot, shard) in the shared folder. Version 1 deals equal ranges of slots,
+before any size is known. ``rebalance`` edits a version into the next one by moving few slots until the shards' bytes are
+near equal, after the slots' bytes are summed or to follow new sizes or another number of shards; rows are dealt by the
+latest version. ``first_map`` makes a map from known sizes instead. The law that holds is ``bytes``.
 
 The driver handles only the map, whose size is ``n_slots`` whatever the input. A row's place in its shard is the start
 of its slot in the shard plus its rank in the slot, so no window spans a shard.
@@ -17,6 +19,7 @@ rows stay and get places of their own; a single text larger than a slot fills it
 
 from __future__ import annotations
 
+import bisect
 import heapq
 
 from pyspark.sql import Column, DataFrame, Window
@@ -67,46 +70,79 @@ def first_map(sizes: list[tuple[int, int, int]], n_shards: int) -> dict[int, int
     return out
 
 
+def even_map(n_slots: int, n_shards: int) -> dict[int, int]:
+    """Slot to shard in equal ranges, for slots whose sizes are not known."""
+    return {s: s * n_shards // n_slots for s in range(n_slots)}
+
+
+def best_exchange(high: list[tuple[int, int]], low: list[tuple[int, int]], gap: int) -> tuple[int, int | None] | None:
+    """The slot to move from the fullest shard, and the one to take back if any, that leave the smallest gap; (size,
+    slot) lists are sorted. None where nothing narrows it."""
+    best = (gap, None)
+    for size, slot in high:
+        wanted = size - gap / 2  # to take back
+        at = bisect.bisect_left(low, (wanted, -1))
+        for back, other in [(0, None), *low[max(0, at - 1) : at + 1]]:
+            left = abs(gap - 2 * (size - back))
+            if left < best[0]:
+                best = (left, (slot, other))
+    return best[1]
+
+
 def rebalance(old: dict[int, int], sizes: list[tuple[int, int, int]], n_shards: int, tolerance: float = 0.01) -> dict[int, int]:
-    """The next version of a map: slots move only from the shard with the most bytes to that with the fewest, the
-    largest slot that narrows their gap first, until all are within ``tolerance`` of the mean or no move helps. Slots of
-    shards beyond ``n_shards`` and new slots are dealt out first."""
+    """The next version of a map: a slot moves from the shard with the most bytes to that with the fewest, or changes
+    places with one of it, whichever leaves the smallest gap, until all are within ``tolerance`` of the mean or nothing
+    helps. Slots of shards beyond ``n_shards`` and new slots are dealt out first."""
     size = {s: b for s, b, _ in sizes}
     out = {s: k for s, k in old.items() if k < n_shards and s in size}
-    load, held = [0] * n_shards, [set() for _ in range(n_shards)]
-    for s, k in out.items():
-        load[k] += size[s]
-        held[k].add(s)
+    load, held = [0] * n_shards, [[] for _ in range(n_shards)]
 
     def put(s: int, k: int) -> None:
         out[s] = k
         load[k] += size[s]
-        held[k].add(s)
+        bisect.insort(held[k], (size[s], s))
 
+    def take(s: int) -> None:
+        load[out[s]] -= size[s]
+        held[out[s]].remove((size[s], s))
+
+    for s, k in list(out.items()):
+        put(s, k)
     for s in sorted(size.keys() - out.keys(), key=lambda s: (-size[s], s)):
         put(s, min(range(n_shards), key=lambda k: (load[k], k)))
     mean = sum(load) / n_shards
     for _ in range(4 * len(size)):
         high, low = max(range(n_shards), key=lambda k: (load[k], -k)), min(range(n_shards), key=lambda k: (load[k], k))
-        gap = load[high] - load[low]
-        fits = [s for s in held[high] if 0 < size[s] < gap]
-        if not fits or max(load[high] - mean, mean - load[low]) <= tolerance * mean:
+        if max(load[high] - mean, mean - load[low]) <= tolerance * mean:
+            break
+        found = best_exchange(held[high], held[low], load[high] - load[low])
+        if not found:
             break
-        s = max(fits, key=lambda s: (min(size[s], gap - size[s]), -s))
-        held[high].remove(s)
-        load[high] -= size[s]
-        put(s, low)
+        for s, to in zip(found, (low, high)):
+            if s is not None:
+                take(s)
+                put(s, to)
     return out
 
 
-def store_map(spark, slots: dict[int, int], sizes: list[tuple[int, int, int]], version: int = 1) -> DataFrame:
-    """The map as a table (version, slot, shard, first): ``first`` is the slot's first place in its shard."""
+def map_rows(slots: dict[int, int], sizes: list[tuple[int, int, int]], version: int) -> list[tuple[int, int, int, int]]:
+    """(version, slot, shard, first) of the slots in use: ``first`` is the slot's first place in its shard."""
     rows, placed = [], {}
     for slot, _, n in sorted(sizes):
         shard = slots[slot]
         rows.append((version, slot, shard, placed.get(shard, 0)))
         placed[shard] = placed.get(shard, 0) + n
-    return stage(spark.createDataFrame(rows, MAP_SCHEMA).coalesce(1), f"slot-map-v{version}")
+    return rows
+
+
+def store_map(spark, versions: list[list[tuple[int, int, int, int]]]) -> DataFrame:
+    """The map's table, with all its versions: a row for each slot and version."""
+    return stage(spark.createDataFrame([r for rows in versions for r in rows], MAP_SCHEMA).coalesce(1), "slot-map")
+
+
+def latest(slot_map: DataFrame) -> DataFrame:
+    newest = slot_map.agg(F.max("version")).first()[0]
+    return slot_map.where(F.col("version") == (newest or 0)).drop("version")
 
 
 def assign(cut: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -119,9 +155,12 @@ def assign(cut: DataFrame, slot_map: DataFrame) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank") + F.col("copy")).alias("place"), "virtual_slot")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS) -> DataFrame:
-    """Shards 0 to ``n_shards`` - 1 under version 1 of a new map; see ``assign`` for the columns."""
+def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, tolerance: float = 0.0005) -> DataFrame:
+    """Shards 0 to ``n_shards`` - 1 under a new map's version 2, which edits version 1 by the slots' bytes; see ``assign``
+    for the columns."""
     cut = pieces(records(docs), n_slots)
     sizes = slot_sizes(cut)
-    slot_map = store_map(docs.sparkSession, first_map(sizes, n_shards), sizes)
-    return assign(cut, slot_map)
+    first = even_map(n_slots, n_shards)
+    second = rebalance(first, sizes, n_shards, tolerance)
+    slot_map = store_map(docs.sparkSession, [map_rows(first, sizes, 1), map_rows(second, sizes, 2)])
+    return assign(cut, latest(slot_map))

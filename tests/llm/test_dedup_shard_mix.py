@@ -223,6 +223,43 @@ def test_rebalance_moves_few_slots():
     assert set(shards.rebalance(new, sizes, 5).values()) == set(range(5))
 
 
+def test_query_edits_the_map(spark, sf, monkeypatch):
+    """Rows go by version 2: slots, sums and places from the definition; most slots stay where version 1 has them."""
+    stored, store = [], shards.store_map
+    monkeypatch.setattr(shards, "store_map", lambda spark, versions: stored.append(versions) or store(spark, versions))
+    out = queries.op8_sharding(spark, sf).collect()
+    first, second = stored[0]
+    assert {r[0] for r in first} == {1} and {r[0] for r in second} == {2}
+    assert all(s * 8 // shards.N_SLOTS == k for _, s, k, _ in first)
+    slot_shard = {s: k for _, s, k, _ in second}
+    size, rows = Counter(), defaultdict(list)
+    for x in out:
+        size[x.virtual_slot] += x["size"]
+        rows[x.virtual_slot].append(x)
+    assert set(size) == set(slot_shard) and all(x.shard == slot_shard[x.virtual_slot] for x in out)
+    moved = sum(a[2] != b[2] for a, b in zip(first, second))
+    assert 0 < moved < len(first) / 2
+    assert shards.rebalance({s: k for _, s, k, _ in first}, [(s, b, len(rows[s])) for s, b in size.items()], 8, 0.0005) == slot_shard
+    placed = Counter()
+    for s in sorted(slot_shard):  # a slot's rows stand together, slot after slot
+        at = sorted(x.slot for x in rows[s])
+        assert at == list(range(placed[slot_shard[s]], placed[slot_shard[s]] + len(at)))
+        placed[slot_shard[s]] += len(at)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 40])
+def test_best_exchange_is_the_best(n):
+    r = random.Random(n)
+    for _ in range(50):
+        high, low = (sorted((r.randint(1, 60), s) for s in range(k, k + n)) for k in (0, 100))
+        gap = r.randint(0, 80)
+        found = shards.best_exchange(high, low, gap)
+        left = lambda a, b: abs(gap - 2 * (a - b))
+        best = min([gap, *(left(a, 0) for a, _ in high), *(left(a, b) for a, _ in high for b, _ in low)])
+        sizes = {s: b for b, s in high + low} | {None: 0}
+        assert (gap if found is None else left(sizes[found[0]], sizes[found[1]])) == best
+
+
 # --- mixing ---
 
 
