@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from bindery.llm.common import each_text
+from bindery.llm.common import each_text, rows_by_text
 from bindery.llm.wordhash import ngram_hashes, word_hashes
 
 SHINGLE = 5
@@ -173,12 +173,6 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
 
 def without_contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
-    at = docs.columns.index("text")
     for index in _indexes(items, threshold, block_bytes):
-
-        def run(batches, index=index):
-            for b in batches:
-                yield b.filter(pa.array([not index.value.matches(t) for t in each_text(b.column(at))], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = rows_by_text(docs, lambda texts, index=index: [not index.value.matches(t) for t in texts])
     return docs

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bindery.llm.common import discard, stage, word_count
+from bindery.llm.common import discard, stage, whole_row, word_count
 
 MOST = 3
 NEAR = 0.001
@@ -248,8 +248,7 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most:
     """The rows of ``docs``, each as often as its copies say, with all their columns. Rows that are equal in every
     column are interchangeable and share the copies given to them; where there are over ``piece`` of them, one stands for
     all and its copies are dealt out in lots of ``piece``."""
-    every = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("all")
-    hashed = docs.select(F.struct(row_hash(docs).alias("row"), "doc_id").alias("ident"), every)
+    hashed = docs.select(F.struct(row_hash(docs).alias("row"), "doc_id").alias("ident"), whole_row(docs).alias("all"))
     copies = mix(hashed.select(F.col("ident").alias("doc_id"), "all.source", "all.text"), weights, most, piece)
     chosen = copies.groupBy(F.col("doc_id").alias("ident")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0")
     crowded = stage(chosen.where(F.col("rows") > piece), "crowded")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import discard, each_text, stage
+from bindery.llm.common import discard, each_text, stage, whole_row
 
 SHINGLE = 3
 RADIUS = 3
@@ -261,5 +261,5 @@ def keep_one_per_group(docs: DataFrame, radius: int = RADIUS, split_above: int =
     groups = near_duplicate_groups(docs.select(ident.alias("doc_id"), "text"), radius, SHINGLE, split_above)
     heads = groups.where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("ident")).distinct()
     # Of the heads' very type, so that one shuffle serves both the join and the dropping of repeats.
-    rows = docs.select(ident.cast(heads.schema["ident"].dataType).alias("ident"), F.struct(*docs.columns).alias("row"))
+    rows = docs.select(ident.cast(heads.schema["ident"].dataType).alias("ident"), whole_row(docs).alias("row"))
     return rows.join(heads, "ident", "left_semi").dropDuplicates(["ident"]).select("row.*")

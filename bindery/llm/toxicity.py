@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bindery.llm.common import each_text, stage
+from bindery.llm.common import each_text, rows_by_text, stage
 
 BITS = 18
 ORDERS = (4, 5, 6)
@@ -196,11 +196,4 @@ def score(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> D
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train_rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``, with all their columns."""
     model = docs.sparkSession.sparkContext.broadcast(train(docs, labels, train_rows))
-    at = docs.columns.index("text")
-
-    def run(batches):
-        for b in batches:
-            yield b.filter(pa.array(scores(*model.value, each_text(b.column(at))) < threshold, pa.bool_()))
-
-    return docs.mapInArrow(run, docs.schema)
-
+    return rows_by_text(docs, lambda texts: scores(*model.value, texts) < threshold)

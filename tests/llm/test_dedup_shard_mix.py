@@ -312,3 +312,56 @@ def test_mixed_documents_repeat_rows(spark):
     tokens = lambda rows: sum(len(x.text.split()) for x in rows)
     assert abs(tokens(mixed.collect()) - tokens(docs.collect())) <= 120
     assert mixing.mixed_documents(docs.limit(0)).count() == 0
+
+
+def rates_by_hand(cells, target, most=3):
+    """Rates of the entropy balance of one source, its dual solved by bisection."""
+    total, docs = sum(s * n for s, n in cells.items()), sum(cells.values())
+    mean, low, high = total / docs, -1e4, 1e4
+    rate = lambda m, s: 1.0 if s == 0 else min(most, math.exp(min(60, m * s / mean)))
+    for _ in range(200):
+        m = (low + high) / 2
+        low, high = (low, m) if sum(s * n * rate(m, s) for s, n in cells.items()) > target else (m, high)
+    return {s: most if target >= most * total and s else rate(low, s) for s in cells}
+
+
+def test_rates_match_a_solver(spark):
+    r = random.Random(41)
+    cells = {x: Counter(r.choice([0, 1, 5, 40, 41, 300, r.randint(1, 9000)]) for _ in range(n)) for x, n in (("a", 500), ("b", 60), (None, 900), ("c", 7), ("empty", 0))}
+    cells["empty"] = Counter({0: 5})
+    table = spark.createDataFrame([(x, s, n) for x, c in cells.items() for s, n in c.items()], "source string, size long, n long")
+    targets = mixing.source_targets(table)
+    want = targets_by_hand({x: sum(s * n for s, n in c.items()) for x, c in cells.items()})
+    found = {t.source: t.target for t in targets.collect()}
+    assert set(found) == set(want) and all(math.isclose(found[x], want[x], rel_tol=1e-9) for x in want)
+    got = mixing.tilted_rates(table, targets).collect()
+    for x, c in cells.items():
+        by_hand = rates_by_hand(c, want[x])
+        for row in (g for g in got if g.source == x):
+            assert abs(row.rate / mixing.UNIT - by_hand[row["size"]]) < 1e-4
+    with pytest.raises(RuntimeError, match="did not settle"):
+        mixing.tilted_rates(table, targets, max_steps=0)
+
+
+def test_targets_of_many_sources(spark):
+    """Running sums go over ranges: hundreds of sources, ties and empty ones included."""
+    r = random.Random(42)
+    sizes = {f"s{k:04}": r.choice([0, 10, 10, 1000, r.randint(1, 10**6)]) for k in range(400)} | {None: 77}
+    cells = spark.createDataFrame([(x, s, 1) for x, s in sizes.items()], "source string, size long, n long").repartition(9)
+    want = targets_by_hand(sizes)
+    got = {t.source: t.target for t in mixing.source_targets(cells).collect()}
+    assert set(got) == set(want) and all(math.isclose(got[x], want[x], rel_tol=1e-9, abs_tol=1e-9) for x in want)
+
+
+@pytest.mark.parametrize("shared", [5, None])
+def test_mix_if_half_share_one_id_or_row(spark, shared):
+    texts = ["same text of six words here" if k % 2 else "w " * (1 + k % 50) for k in range(600)]
+    docs = docs_of(spark, texts, ["a" if k % 3 else "b" for k in range(600)])
+    docs = docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 1, F.lit(shared)).otherwise(F.col("doc_id")))
+    out = mixing.mix(docs, piece=16).collect()
+    assert len(out) == 600 and all(abs(x.error) < 0.02 for x in mixing.mix_report(mixing.mix(docs, piece=16)).collect())
+    again = mixing.mix(docs.repartition(5), piece=16).collect()
+    assert sorted(map(repr, out)) == sorted(map(repr, again))
+    mixed = mixing.mixed_documents(docs, piece=16).collect()  # 200 equal rows and more are dealt out in lots
+    assert len(mixed) == sum(x.copies for x in out)
+    assert Counter(x.source for x in mixed) == sum((Counter({x.source: x.copies}) for x in out), Counter())

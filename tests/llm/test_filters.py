@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from bindery.llm import charlm, decontaminate, html, langid, lm, quality, queries, toxicity, wordhash
+from bindery.llm import charlm, decontaminate, html, langid, lines, lm, mixing, quality, queries, shards, simhash, toxicity, wordhash
 from test_dedup_shard_mix import docs_of
 
 # --- word hashes ---
@@ -679,3 +679,55 @@ def test_pipeline(spark, sf):
     assert abs(sum(size[k] * n for k, n in times.items()) - sum(size.values())) <= 0.2 * sum(size.values())
     assert docs.count() == len(mixed)
     assert spark.read.parquet(f"{sf}/documents.parquet").count() == source.count()
+
+
+def awkward_documents(spark):
+    """Nulls in every column, empty and long texts, repeated rows, and columns named as the operators name theirs."""
+    names = "ident row all h of copies rows piece size target source_size part bucket g shard component_id fp root".split()
+    texts = [None, "", " \n ", "one", "same words here again", "same words here again", "word " * 60_000, "x\x00y \U0001e922"]
+    texts += [f"clean text number {k} with words w{k} v{k * 7} u{k * 13} and an ending" for k in range(40)]
+    rows = [(None if k % 7 == 3 else k // 2, t, None if k % 5 == 0 else "en", None if k % 3 == 0 else f"s{k % 2}", k) for k, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows + rows[:12], "doc_id long, text string, lang string, source string, n_chars long")
+    pairs = F.create_map(F.lit("k"), F.when(F.col("n_chars") % 2 == 0, F.col("n_chars")))
+    docs = docs.select("*", *[F.lit(None if k % 2 else "x").cast("string").alias(c) for k, c in enumerate(names)], pairs.alias("m"), F.lit(1).alias("a.b"))
+    return docs.select("m", *[f"`{c}`" for c in docs.columns if c != "m"])
+
+
+def test_pipeline_of_awkward_documents(spark, sf):
+    import corpus_pipeline
+    from bindery.llm.common import stage
+
+    source = stage(awkward_documents(spark), "awkward")
+    docs = source
+    for name, function in corpus_pipeline.STAGES:
+        before = docs.count()
+        docs = stage(function(spark, docs, sf), name)
+        if name != "sharding":
+            assert docs.schema == source.schema and docs.count() > 0
+        if name in ("toxicity", "decontamination"):
+            assert docs.count() == before  # all are clean
+    assert sorted(x.slot for x in docs.where("shard = 0").collect()) == list(range(docs.where("shard = 0").count()))
+
+
+def test_pipeline_of_no_documents(spark, sf):
+    import corpus_pipeline
+    from bindery.llm.common import stage
+
+    docs = source = stage(awkward_documents(spark).limit(0), "none")
+    for name, function in corpus_pipeline.STAGES:
+        docs = stage(function(spark, docs, sf), name)
+        assert docs.count() == 0 and (name == "sharding" or docs.schema == source.schema)
+
+
+def test_operators_on_awkward_documents(spark):
+    """Each operator gives a row for each document, or its own pairs, whatever the columns hold and are called."""
+    docs = awkward_documents(spark)
+    n = docs.count()
+    labels = spark.createDataFrame([(0, 1), (1, 0), (2, 1), (3, 0)] * 3 + [(None, 1), (4, None)], "doc_id long, toxic int")
+    for out in (
+        lines.drop_frequent_lines(docs), lm.stupid_backoff(docs), toxicity.score(docs, labels), quality.assess(docs), simhash.near_duplicate_groups(docs),
+        shards.shard_documents(docs), mixing.mix(docs), langid.identify(docs, F.lit(True)),
+    ):
+        assert out.count() == n
+    items = spark.createDataFrame([(None, None), ("i", ""), ("j", "same words here again")], "item_id string, text string")
+    assert {x.item_id for x in decontaminate.contaminated(docs, items).collect()} == {"j"}
