@@ -16,6 +16,7 @@ EMOTIONS = ("anger", "disgust", "fear", "joy", "neutral", "sadness", "surprise")
 LETTERS = {"anger": "a", "disgust": "d", "fear": "f", "joy": "e", "neutral": "n", "sadness": "s", "surprise": "u"}
 CLASSES = {"Fiction": "e", "Nonfiction": "i"}
 DIMENSIONS = 64
+KNOWN_WORDS = 1 << 18  # whose buckets a task remembers
 
 
 def letter_share(text: Column, letter: str) -> Column:
@@ -39,19 +40,29 @@ def letter_scorer(letters: dict[str, str]):
 
 
 def token_bucket(word: Column, dimensions: int = DIMENSIONS) -> Column:
-    return F.pmod(F.conv(F.substring(F.md5(word), 1, 8), 16, 10).cast("long"), F.lit(dimensions))
+    """The first 32 bits of the word's MD5 modulo the dimensions, of which two digits decide if they divide 256."""
+    at, digits = (7, 2) if 256 % dimensions == 0 else (1, 8)
+    return F.pmod(F.conv(F.substring(F.md5(word), at, digits), 16, 10).cast("long"), F.lit(dimensions))
 
 
 def hash_embedder(dimensions: int = DIMENSIONS):
     """Factory of an embedder: texts to unit vectors of hashed counts of lower-cased words."""
 
+    class Buckets(dict):
+        def __missing__(self, word: str) -> int:
+            if len(self) >= KNOWN_WORDS:
+                self.clear()
+            bucket = self[word] = int(hashlib.md5(word.encode()).hexdigest()[:8], 16) % dimensions
+            return bucket
+
     def make():
+        bucket_of = Buckets().__getitem__
+
         def embed(texts: pd.Series) -> list[np.ndarray]:
             out = []
             for t in texts:
-                v = np.zeros(dimensions)
-                for w in t.lower().split():
-                    v[int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimensions] += 1
+                words = t.lower().split()
+                v = np.bincount(np.fromiter(map(bucket_of, words), np.int64, len(words)), minlength=dimensions)
                 out.append(v / (math.sqrt((v * v).sum()) or 1.0))
             return out
 

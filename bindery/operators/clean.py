@@ -39,6 +39,14 @@ def length_band_rows(df: DataFrame, low: int, high: int, col: str = "description
     return df.where(X.word_count(F.col(col)).between(low, high))
 
 
+def length_bands(df: DataFrame, bands: tuple[tuple[int, int], ...] = BANDS, col: str = "description") -> DataFrame:
+    """The rows in any of the bands, with their ``band``, in one pass."""
+    n, band = X.word_count(F.col(col)), F.lit(None).cast("string")
+    for low, high in bands:
+        band = F.when(n.between(low, high), f"{low}-{high}").otherwise(band)
+    return df.withColumn("band", band).where(F.col("band").isNotNull())
+
+
 def clean_catalogue(df: DataFrame, words: int = 25) -> DataFrame:
     """Complete rows with long enough descriptions, plus title_and_subtitle and description_with_id, minus subtitle."""
     kept = min_words(drop_incomplete(df), words)

@@ -67,16 +67,28 @@ def average_ranks(df: DataFrame, col: str, cuts: list[float]) -> DataFrame:
 
 
 def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
-    """(col_a, col_b, r): Spearman's rho of each pair over rows where both are known, ties at their average rank."""
+    """(col_a, col_b, r): Spearman's rho of each pair over rows where both are known, ties at their average rank.
+
+    Pairs with the same columns that have nulls are taken over the same rows, so their ranks are made once for all of
+    them and one aggregation gives all their coefficients.
+    """
     narrow = landed(df.select(*[F.col(c).cast("double").alias(c) for c in cols]), "ranked")
-    cuts, out = range_cuts(narrow, cols), None
-    for a, b in combinations_with_replacement(cols, 2):
-        both = narrow.select(F.col(a).alias("a"), F.col(b).alias("b")).dropna()
-        ra = average_ranks(both, "a", cuts[a]).select(F.col("value").alias("a"), F.col("rank").alias("ra"))
-        rb = average_ranks(both, "b", cuts[b]).select(F.col("value").alias("b"), F.col("rank").alias("rb"))
-        r = both.join(ra, "a").join(rb, "b").agg(F.round(pearson(F.col("ra"), F.col("rb")), 6).alias("r"))
-        row = r.select(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), "r")
-        out = row if out is None else out.unionByName(row)
+    cuts = range_cuts(narrow, cols)
+    nulls = narrow.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
+    together: dict[tuple[str, ...], list[tuple[str, str]]] = {}
+    for pair in combinations_with_replacement(cols, 2):
+        together.setdefault(tuple(sorted({c for c in pair if nulls[c]})), []).append(pair)
+    out = None
+    for known, pairs in together.items():
+        used = sorted({c for pair in pairs for c in pair})
+        both = ranked = narrow.select(*used).dropna(subset=list(known)) if known else narrow.select(*used)
+        for c in used:
+            ranks = average_ranks(both, c, cuts[c]).select(F.col("value").alias(c), F.col("rank").alias(f"rank_{c}"))
+            ranked = ranked.join(ranks, c)
+        wide = ranked.agg(*[pearson(F.col(f"rank_{a}"), F.col(f"rank_{b}")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
+        rows = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.round(f"r{i}", 6).alias("r")) for i, (a, b) in enumerate(pairs)])
+        part = wide.select(F.inline(rows))
+        out = part if out is None else out.unionByName(part)
     return out
 
 

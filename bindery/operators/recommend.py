@@ -7,12 +7,18 @@ and changes no membership. A category of None or 'All' does not filter.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.functions import text as X
+from bindery.functions.scorers import hash_embedder
 from bindery.operators.emotion import tone_score, tone_sort
-from bindery.operators.vectors import nearest, nearest_batch
+from bindery.operators.vectors import embed, nearest, nearest_batch
+from bindery.sources.scratch import landed
 
 ALL = "All"
 
@@ -28,8 +34,15 @@ def semantic_lookup(index: DataFrame, catalogue: DataFrame, query: list[float],
     return semi_join_ids(catalogue, near, key).orderBy(key)
 
 
-def recommend(index: DataFrame, catalogue: DataFrame, query: list[float], category: str | None = None, tone: str | None = None, initial_k: int = 50, final_k: int = 10, order: str = "catalogue", key: str = "isbn13") -> DataFrame:
-    near = nearest(index, query, initial_k).withColumnRenamed("vec_id", key)
+def found_ids(index: DataFrame, query: list[float], k: int = 50, key: str = "isbn13") -> DataFrame:
+    """(key, d) of the ``k`` nearest items, searched once: at most ``k`` rows, which go through the driver."""
+    near = nearest(index, query, k).withColumnRenamed("vec_id", key)
+    return index.sparkSession.createDataFrame(near.collect(), near.schema)
+
+
+def recommend(index: DataFrame, catalogue: DataFrame, query: list[float] | None, category: str | None = None, tone: str | None = None, initial_k: int = 50, final_k: int = 10, order: str = "catalogue", key: str = "isbn13", near: DataFrame | None = None) -> DataFrame:
+    """Recommendations for one vector. ``near`` are the ids found for it (see ``found_ids``), where they are known already."""
+    near = found_ids(index, query, initial_k, key) if near is None else near
     rows = catalogue.join(F.broadcast(near), key)
     by = ["d", key] if order == "distance" else [key]
     rows = rows.orderBy(*by).limit(initial_k)
@@ -39,6 +52,14 @@ def recommend(index: DataFrame, catalogue: DataFrame, query: list[float], catego
     return tone_sort(rows, tone, key)
 
 
+def ask(index: DataFrame, catalogue: DataFrame, text: str, embedder: Callable | None = None, **limits) -> DataFrame:
+    """Recommendations for a text: embedded by the embedder that built the index, then searched. A blank text finds nothing."""
+    if not text.strip():
+        return catalogue.limit(0)
+    vector = (embedder or hash_embedder())()(pd.Series([text]))[0]
+    return recommend(index, catalogue, [float(np.float32(x)) for x in vector], **limits)
+
+
 def gallery(recommended: DataFrame, *keep: str) -> DataFrame:
     """(large_thumbnail, caption) for display, after the columns in ``keep``."""
     return recommended.select(
@@ -48,15 +69,17 @@ def gallery(recommended: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def recommend_batch(index: DataFrame, catalogue: DataFrame, requests: DataFrame, initial_k: int = 50, final_k: int = 10, order: str = "catalogue", key: str = "isbn13") -> DataFrame:
+def recommend_batch(index: DataFrame, catalogue: DataFrame, requests: DataFrame, initial_k: int = 50, final_k: int = 10, order: str = "catalogue", key: str = "isbn13", prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, pos, catalogue columns) for a table of requests (query_id, query, embedding, category, tone).
 
-    Blank queries give nothing. Ranks within a request replace global limits, so requests run side by side.
+    Blank queries give nothing. Ranks within a request replace global limits, so requests run side by side. ``prepare``
+    makes the columns that recommending needs (categories, emotions) for the items that were found, and for no others.
     """
     asked = requests.where(F.length(F.trim("query")) > 0)
-    near = nearest_batch(index, asked.select("query_id", "embedding"), initial_k).withColumnRenamed("vec_id", key)
+    near = landed(nearest_batch(index, asked.select("query_id", "embedding"), initial_k).withColumnRenamed("vec_id", key), "near")
     wanted = asked.select("query_id", F.col("category").alias("wanted_category"), F.col("tone").alias("wanted_tone"))
-    rows = catalogue.join(near, key).join(wanted, "query_id")
+    items = catalogue.join(near.select(key).distinct(), key, "left_semi")
+    rows = (prepare(items) if prepare else items).join(near, key).join(wanted, "query_id")
     by = [F.col("d"), F.col(key)] if order == "distance" else [F.col(key)]
     request = Window.partitionBy("query_id")
     rows = rows.withColumn("pos", F.row_number().over(request.orderBy(*by))).where(F.col("pos") <= initial_k)
@@ -66,3 +89,11 @@ def recommend_batch(index: DataFrame, catalogue: DataFrame, requests: DataFrame,
     rows = rows.withColumn("tone_score", tone_score(F.col("wanted_tone")))
     final = request.orderBy(F.desc_nulls_last("tone_score"), *(by if order == "distance" else [F.col(key)]))
     return rows.withColumn("pos", F.row_number().over(final)).drop("d", "wanted_category", "wanted_tone", "tone_score")
+
+
+def ask_batch(index: DataFrame, catalogue: DataFrame, requests: DataFrame, embedder: Callable | None = None, **limits) -> DataFrame:
+    """As ``recommend_batch``, for requests without vectors (query_id, query, category, tone): their texts are embedded by the
+    embedder that built the index."""
+    asked = requests.where(F.length(F.trim("query")) > 0)
+    vectors = embed(asked.select("query_id", "query"), "query_id", "query", embedder)
+    return recommend_batch(index, catalogue, asked.join(vectors, "query_id"), **limits)

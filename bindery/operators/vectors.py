@@ -114,18 +114,3 @@ def build_index(df: DataFrame, path: str, key: str, text: str, embedder: Callabl
     """Embed once and keep as Parquet; readers scan it."""
     embed(df, key, text, embedder).write.mode("overwrite").parquet(path)
     return df.sparkSession.read.parquet(path)
-
-
-def nearest_lsh(index: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", vec: str = "embedding", query_key: str = "query_id", bucket_length: float = 1.0, tables: int = 3, radius: float = 2.0) -> DataFrame:
-    """The approximate form, for indexes too large to scan for every block: random projections into buckets, an
-    equi-join on buckets within ``radius``, then the ``k`` nearest of what met."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
-
-    model = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=1)
-    left = index.select(key, array_to_vector(vec).alias("v"))
-    right = queries.select(query_key, array_to_vector(vec).alias("v"))
-    met = model.fit(left).approxSimilarityJoin(left, right, radius, "distance")
-    pairs = met.select(F.col(f"datasetB.{query_key}").alias(query_key), F.col(f"datasetA.{key}").alias(key), (F.col("distance") * F.col("distance")).alias("d"))
-    rank = F.row_number().over(Window.partitionBy(query_key).orderBy("d", key))
-    return pairs.withColumn("pos", rank).where(F.col("pos") <= k).drop("pos")

@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from bindery.functions import scorers
 from bindery.functions import text as X
 from bindery.operators import category, clean, emotion, profile, recommend, vectors
+from bindery.plans import enrich
 from bindery.sources import files
 from bindery.sources import fixtures as fx
 from bindery.sources.fixtures import catalogue, items, table
-from bindery.sources.scratch import new_path
+from bindery.sources.scratch import landed, new_path
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -109,12 +110,12 @@ def corpus_lines(spark, sf_dir):
 
 @query(f"WITH {CATALOGUE} SELECT isbn13, (average_rating IS NULL)::INTEGER AS missing_rating, (thumbnail IS NULL)::INTEGER AS missing_thumbnail FROM catalogue")
 def missing_flag(spark, sf_dir):
-    return catalogue(spark, sf_dir).select("isbn13", X.missing_flag(F.col("average_rating")).alias("missing_rating"), X.missing_flag(F.col("thumbnail")).alias("missing_thumbnail"))
+    return catalogue(spark, sf_dir, parts=("average_rating", "thumbnail")).select("isbn13", X.missing_flag(F.col("average_rating")).alias("missing_rating"), X.missing_flag(F.col("thumbnail")).alias("missing_thumbnail"))
 
 
 @query(f"WITH {CATALOGUE} SELECT isbn13, 2025 - published_year AS age_of_item FROM catalogue")
 def age_of_item(spark, sf_dir):
-    return catalogue(spark, sf_dir).select("isbn13", X.age(F.col("published_year")).alias("age_of_item"))
+    return catalogue(spark, sf_dir, parts=()).select("isbn13", X.age(F.col("published_year")).alias("age_of_item"))
 
 
 @query(f"SELECT doc_id AS isbn13, len({WORDS.format('text')})::BIGINT AS words FROM documents")
@@ -124,7 +125,7 @@ def word_count(spark, sf_dir):
 
 @query(f"WITH {CATALOGUE} SELECT isbn13, CASE WHEN subtitle IS NULL THEN title ELSE title || ': ' || subtitle END AS title_and_subtitle FROM catalogue")
 def title_and_subtitle(spark, sf_dir):
-    return catalogue(spark, sf_dir).select("isbn13", X.title_and_subtitle(F.col("title"), F.col("subtitle")).alias("title_and_subtitle"))
+    return catalogue(spark, sf_dir, parts=()).select("isbn13", X.title_and_subtitle(F.col("title"), F.col("subtitle")).alias("title_and_subtitle"))
 
 
 @query("SELECT doc_id AS isbn13, doc_id || ' ' || text AS text_with_id FROM documents")
@@ -143,18 +144,18 @@ def clean_catalogue(spark, sf_dir):
 
 @query(f"WITH {CATALOGUE} SELECT isbn13, average_rating FROM catalogue WHERE {_COMPLETE}")
 def drop_incomplete(spark, sf_dir):
-    return clean.drop_incomplete(catalogue(spark, sf_dir)).select("isbn13", "average_rating")
+    return clean.drop_incomplete(catalogue(spark, sf_dir, parts=("average_rating",))).select("isbn13", "average_rating")
 
 
 @query(f"WITH {CATALOGUE} SELECT isbn13, average_rating FROM catalogue WHERE NOT ({_COMPLETE})")
 def incomplete_rows(spark, sf_dir):
-    return clean.incomplete_rows(catalogue(spark, sf_dir)).select("isbn13", "average_rating")
+    return clean.incomplete_rows(catalogue(spark, sf_dir, parts=("average_rating",))).select("isbn13", "average_rating")
 
 
 @query(f"""WITH {CATALOGUE} SELECT count(*) AS rows, count(*) FILTER (NOT ({_COMPLETE})) AS incomplete,
   round(1 - count(*) FILTER (NOT ({_COMPLETE})) / count(*), 6) AS retained_share FROM catalogue""")
 def retention(spark, sf_dir):
-    return clean.retention(catalogue(spark, sf_dir))
+    return clean.retention(catalogue(spark, sf_dir, parts=("average_rating",)))
 
 
 @query(f"SELECT doc_id AS isbn13, text AS description FROM documents WHERE len({WORDS.format('text')}) >= 25")
@@ -162,9 +163,10 @@ def min_words(spark, sf_dir):
     return clean.min_words(items(spark, sf_dir)).select("isbn13", "description")
 
 
-@query(f"SELECT doc_id AS isbn13, text AS description FROM documents WHERE len({WORDS.format('text')}) BETWEEN 5 AND 14")
+@query(f"""SELECT isbn13, description, CASE WHEN n <= 4 THEN '1-4' WHEN n <= 14 THEN '5-14' WHEN n <= 24 THEN '15-24' ELSE '25-34' END AS band
+  FROM (SELECT doc_id AS isbn13, text AS description, len({WORDS.format('text')}) AS n FROM documents) WHERE n BETWEEN 1 AND 34""")
 def length_band_rows(spark, sf_dir):
-    return clean.length_band_rows(items(spark, sf_dir), 5, 14).select("isbn13", "description")
+    return clean.length_bands(items(spark, sf_dir)).select("isbn13", "description", "band")
 
 
 # --- profiling ---
@@ -172,12 +174,12 @@ def length_band_rows(spark, sf_dir):
 
 @query(f"WITH {CATALOGUE} SELECT isbn13, " + ", ".join(f"({c} IS NULL)::INTEGER AS {c}" for c in PROFILED) + " FROM catalogue")
 def missing_matrix(spark, sf_dir):
-    return profile.missing_matrix(catalogue(spark, sf_dir), "isbn13", PROFILED)
+    return profile.missing_matrix(catalogue(spark, sf_dir, parts=("average_rating", "thumbnail")), "isbn13", PROFILED)
 
 
 @query(f"WITH {CATALOGUE} " + " UNION ALL ".join(f"SELECT '{c}' AS col, count(*) FILTER ({c} IS NULL) AS nulls FROM catalogue" for c in PROFILED))
 def null_counts(spark, sf_dir):
-    return profile.null_counts(catalogue(spark, sf_dir), PROFILED)
+    return profile.null_counts(catalogue(spark, sf_dir, parts=("average_rating", "thumbnail")), PROFILED)
 
 
 _SOME_NULLS = ["subtitle", "thumbnail", "average_rating"]
@@ -187,22 +189,27 @@ _SOME_NULLS = ["subtitle", "thumbnail", "average_rating"]
     f"SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr(({a} IS NULL)::DOUBLE, ({b} IS NULL)::DOUBLE), 6) AS r FROM catalogue"
     for i, a in enumerate(_SOME_NULLS) for b in _SOME_NULLS[i:]))
 def missing_corr(spark, sf_dir):
-    return profile.missing_corr(catalogue(spark, sf_dir), PROFILED)
+    return profile.missing_corr(catalogue(spark, sf_dir, parts=("average_rating", "thumbnail")), PROFILED)
 
 
-_RANKED = ["num_pages", "published_year", "average_rating"]
+_RANKED = ["num_pages", "age_of_item", "missing_subtitle", "average_rating"]
 
 
 def _spearman_sql(a: str, b: str) -> str:
     return f"""SELECT '{a}' AS col_a, '{b}' AS col_b, round(corr(ra, rb), 6) AS r FROM (
       SELECT rank() OVER (ORDER BY {a}) + (count(*) OVER (PARTITION BY {a}) - 1) / 2.0 AS ra,
              rank() OVER (ORDER BY {b}) + (count(*) OVER (PARTITION BY {b}) - 1) / 2.0 AS rb
-      FROM catalogue WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
+      FROM ranked WHERE {a} IS NOT NULL AND {b} IS NOT NULL)"""
 
 
-@query(f"WITH {CATALOGUE} " + " UNION ALL ".join(_spearman_sql(a, b) for i, a in enumerate(_RANKED) for b in _RANKED[i:]))
+_OF_RANKED = "ranked AS (SELECT num_pages, 2025 - published_year AS age_of_item, (subtitle IS NULL)::INTEGER AS missing_subtitle, average_rating FROM catalogue)"
+
+
+@query(f"WITH {CATALOGUE}, {_OF_RANKED} " + " UNION ALL ".join(_spearman_sql(a, b) for i, a in enumerate(_RANKED) for b in _RANKED[i:]))
 def spearman(spark, sf_dir):
-    return profile.spearman(catalogue(spark, sf_dir).select(*_RANKED), _RANKED)
+    books = catalogue(spark, sf_dir, parts=("average_rating",))
+    flags = {"age_of_item": X.age(F.col("published_year")), "missing_subtitle": X.missing_flag(F.col("subtitle"))}
+    return profile.spearman(books.withColumns(flags).select(*_RANKED), _RANKED)
 
 
 @query("SELECT lang AS categories, count(*) AS count FROM documents WHERE lang IS NOT NULL GROUP BY lang")
@@ -280,9 +287,11 @@ def sample_per_class(spark, sf_dir):
 
 
 def _evaluated(spark, sf_dir) -> DataFrame:
+    """The sample with the classifier job's predictions: a bounded table, so that it is landed and evaluated once."""
     sample = category.sample_per_class(_rated(spark, sf_dir), "quality", "doc_id", 300)
-    predicted = category.letter_class(F.col("description"))
-    return sample.select("doc_id", F.when(F.col("quality") == 1, "Fiction").otherwise("Nonfiction").alias("actual"), predicted.alias("predicted"))
+    predicted = category.classify(sample, key="doc_id").withColumnRenamed("predicted_categories", "predicted")
+    actual = F.when(F.col("quality") == 1, "Fiction").otherwise("Nonfiction").alias("actual")
+    return landed(sample.select("doc_id", actual).join(predicted, "doc_id"), "evaluated")
 
 
 _EVALUATED = f"{_SAMPLE}, e AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'Fiction' ELSE 'Nonfiction' END AS actual, {LETTER_CLASS} AS predicted FROM s WHERE r <= 300)"
@@ -344,12 +353,17 @@ def tone_sort(spark, sf_dir):
     return top.select(F.row_number().over(Window.orderBy(F.desc_nulls_last("joy"), "isbn13")).alias("pos"), "isbn13", "joy")
 
 
-@query("SELECT doc_id AS isbn13, '" + ";".join(sorted(scorers.EMOTIONS)) + "' AS labels FROM documents")
+_LABELLED = " UNION ALL ".join(
+    f"SELECT doc_id AS isbn13, {i} AS pos, '{e}' AS label, round({SHARE.format(s='text', x=scorers.LETTERS[e])}, 6) AS score FROM documents" for i, e in enumerate(sorted(scorers.EMOTIONS)))
+
+
+@query(_LABELLED)
 def sort_labels(spark, sf_dir):
-    n = F.length("description")
-    unsorted = F.array(*[F.struct(F.lit(e).alias("label"), (n * 0).cast("double").alias("score")) for e in reversed(scorers.EMOTIONS)])
-    ordered = emotion.sorted_predictions(unsorted)
-    return items(spark, sf_dir).select("isbn13", F.array_join(F.transform(ordered, lambda p: p["label"]), ";").alias("labels"))
+    """A scorer's predictions come by falling score; each row's are put in the order of their labels."""
+    scored = [F.struct(F.round(scorers.letter_share(F.col("description"), x), 6).alias("score"), F.lit(e).alias("label")) for e, x in scorers.LETTERS.items()]
+    predicted = F.transform(F.sort_array(F.array(*scored), asc=False), lambda p: F.struct(p["label"].alias("label"), p["score"].alias("score")))
+    ordered = items(spark, sf_dir).select("isbn13", F.posexplode(emotion.sorted_predictions(predicted)).alias("pos", "p"))
+    return ordered.select("isbn13", "pos", "p.label", "p.score")
 
 
 # --- presentation ---
@@ -357,7 +371,7 @@ def sort_labels(spark, sf_dir):
 
 @query(f"WITH {CATALOGUE} SELECT isbn13, coalesce(thumbnail || '&fife=w800', 'cover-not-found.jpg') AS large_thumbnail FROM catalogue")
 def large_thumbnail(spark, sf_dir):
-    return catalogue(spark, sf_dir).select("isbn13", X.large_thumbnail(F.col("thumbnail")).alias("large_thumbnail"))
+    return catalogue(spark, sf_dir, parts=("thumbnail",)).select("isbn13", X.large_thumbnail(F.col("thumbnail")).alias("large_thumbnail"))
 
 
 @query("SELECT doc_id AS isbn13, doc_id AS parsed FROM documents")
@@ -373,12 +387,12 @@ def truncate_words(spark, sf_dir):
 
 @query(f"WITH {CATALOGUE} SELECT isbn13, {AUTHORS} AS authors FROM catalogue")
 def format_authors(spark, sf_dir):
-    return catalogue(spark, sf_dir).select("isbn13", X.author_list(F.col("authors")).alias("authors"))
+    return catalogue(spark, sf_dir, parts=("authors",)).select("isbn13", X.author_list(F.col("authors")).alias("authors"))
 
 
 @query(f"WITH {CATALOGUE} SELECT isbn13, {CAPTION} AS caption FROM catalogue")
 def caption(spark, sf_dir):
-    return catalogue(spark, sf_dir).select("isbn13", X.caption(F.col("title"), F.col("authors"), F.col("description")).alias("caption"))
+    return catalogue(spark, sf_dir, parts=("authors",)).select("isbn13", X.caption(F.col("title"), F.col("authors"), F.col("description")).alias("caption"))
 
 
 # --- vectors and search ---
@@ -406,7 +420,7 @@ def knn_exact(spark, sf_dir):
 
 
 _BATCH = f"""near AS (SELECT query_id, vec_id, d FROM (
-  SELECT q.vec_id AS query_id, x.vec_id, {DISTANCE} AS d FROM embeddings x, (SELECT vec_id, embedding FROM embeddings WHERE vec_id < 20) q
+  SELECT q.vec_id AS query_id, x.vec_id, {DISTANCE} AS d FROM embeddings x, (SELECT vec_id, embedding FROM embeddings WHERE vec_id % 50 = 0) q
 ) QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= 50)"""
 
 
@@ -426,11 +440,15 @@ def point_lookup(spark, sf_dir):
     return items(spark, sf_dir).where("isbn13 = 42").select("isbn13", "description")
 
 
+def _found(spark, sf_dir) -> tuple[DataFrame, list[int]]:
+    near = recommend.found_ids(table(spark, sf_dir, "embeddings"), fx.query_vector(spark, sf_dir))
+    return near, [r.isbn13 for r in near.collect()]
+
+
 @query(f"WITH {CATALOGUE}, {NEAR_ONE} SELECT isbn13, title, categories FROM catalogue WHERE isbn13 IN (SELECT vec_id FROM near)")
 def semantic_lookup(spark, sf_dir):
-    index, vec = table(spark, sf_dir, "embeddings"), fx.query_vector(spark, sf_dir)
-    near = vectors.nearest(index, vec).select(F.col("vec_id").alias("isbn13"))
-    return recommend.semantic_lookup(index, catalogue(spark, sf_dir, near), vec).select("isbn13", "title", "categories")
+    near, ids = _found(spark, sf_dir)
+    return recommend.semi_join_ids(catalogue(spark, sf_dir, ids, parts=()), near).orderBy("isbn13").select("isbn13", "title", "categories")
 
 
 def _emotional(df: DataFrame) -> DataFrame:
@@ -443,10 +461,10 @@ _PICKED = f"""picked AS (
   WHERE isbn13 IN (SELECT vec_id FROM near) AND {MAPPED} = 'Fiction' ORDER BY isbn13 LIMIT 10)"""
 
 
-def _recommended(spark, sf_dir) -> DataFrame:
-    index, vec = table(spark, sf_dir, "embeddings"), fx.query_vector(spark, sf_dir)
-    near = vectors.nearest(index, vec).select(F.col("vec_id").alias("isbn13"))
-    return recommend.recommend(index, _emotional(catalogue(spark, sf_dir, near)), vec, "Fiction", "Happy")
+def _recommended(spark, sf_dir, *parts: str) -> DataFrame:
+    near, ids = _found(spark, sf_dir)
+    books = _emotional(catalogue(spark, sf_dir, ids, parts))
+    return recommend.recommend(None, books, None, "Fiction", "Happy", near=near)
 
 
 @query(f"WITH {CATALOGUE}, {EMOTION_MAX}, {NEAR_ONE}, {_PICKED} SELECT isbn13, title, joy FROM picked")
@@ -460,21 +478,66 @@ ORACLE_SQL["recommend"] = ORACLE_SQL.pop("recommend_one")
 
 @query(f"WITH {CATALOGUE}, {EMOTION_MAX}, {NEAR_ONE}, {_PICKED} SELECT coalesce(thumbnail || '&fife=w800', 'cover-not-found.jpg') AS large_thumbnail, {CAPTION} AS caption FROM picked")
 def recommend_gallery(spark, sf_dir):
-    return recommend.gallery(_recommended(spark, sf_dir))
+    return recommend.gallery(_recommended(spark, sf_dir, "authors", "thumbnail"))
 
 
 _TONE = "CASE r.tone " + " ".join(f"WHEN '{t}' THEN round({e}, 6)" for t, e in emotion.TONES.items()) + " END"
 
 
-@query(f"""WITH {EMOTION_MAX}, {_BATCH}, r AS (
-  SELECT vec_id AS query_id, ['All', 'Fiction', 'Nonfiction'][vec_id % 3 + 1] AS category, ['All', 'Happy', 'Surprising', 'Angry', 'Suspenseful', 'Sad'][vec_id % 6 + 1] AS tone
-  FROM embeddings WHERE vec_id < 20 AND vec_id % 5 <> 4
-), c AS (
-  SELECT r.query_id, r.tone, {_TONE} AS tone_score, x.doc_id AS isbn13, row_number() OVER (PARTITION BY r.query_id ORDER BY x.doc_id) AS n
+
+_TONED = """c AS (
+  SELECT r.query_id, r.tone, {tone} AS tone_score, x.doc_id AS isbn13, row_number() OVER (PARTITION BY r.query_id ORDER BY x.doc_id) AS n
   FROM r JOIN near USING (query_id) JOIN (SELECT doc_id, lang AS categories FROM documents) x ON x.doc_id = near.vec_id JOIN emotions e ON e.isbn13 = x.doc_id
-  WHERE r.category = 'All' OR r.category = {MAPPED}
+  WHERE r.category = 'All' OR r.category = {mapped}
 )
-SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY tone_score DESC NULLS LAST, isbn13)::INTEGER AS pos, isbn13 FROM c WHERE n <= 10""")
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY tone_score DESC NULLS LAST, isbn13)::INTEGER AS pos, isbn13 FROM c WHERE n <= 10""".format(tone=_TONE, mapped=MAPPED)
+
+
+@query(f"""WITH {EMOTION_MAX}, {_BATCH}, r AS (
+  SELECT vec_id AS query_id, ['All', 'Fiction', 'Nonfiction'][vec_id // 50 % 3 + 1] AS category, ['All', 'Happy', 'Surprising', 'Angry', 'Suspenseful', 'Sad'][vec_id // 50 % 6 + 1] AS tone
+  FROM embeddings WHERE vec_id % 50 = 0 AND vec_id // 50 % 5 <> 4
+), {_TONED}""")
 def recommend_batch(spark, sf_dir):
-    found = recommend.recommend_batch(table(spark, sf_dir, "embeddings"), _emotional(items(spark, sf_dir)), fx.requests(spark, sf_dir))
+    found = recommend.recommend_batch(table(spark, sf_dir, "embeddings"), items(spark, sf_dir), fx.requests(spark, sf_dir), prepare=_emotional)
+    return found.select("query_id", "pos", "isbn13")
+
+
+def _vectors_sql(name: str, key: str, rows: str) -> str:
+    """CTEs for the embedder's vectors of (key, text) rows, as floats."""
+    return f"""{name}_w AS (SELECT {key}, unnest({WORDS.format('lower(text)')}) AS w FROM ({rows})
+), {name}_c AS (SELECT {key}, (('0x' || substr(md5(w), 1, 8))::BIGINT % 64)::INTEGER AS bucket, count(*) AS n FROM {name}_w GROUP BY ALL
+), {name}_n AS (SELECT {key}, sqrt(sum(n * n)) AS norm FROM {name}_c GROUP BY {key}
+), {name} AS (
+  SELECT k.{key}, list(coalesce(c.n / x.norm, 0)::FLOAT ORDER BY b.bucket) AS embedding
+  FROM ({rows}) k CROSS JOIN (SELECT unnest(range(64))::INTEGER AS bucket) b LEFT JOIN {name}_c c ON c.{key} = k.{key} AND c.bucket = b.bucket
+  LEFT JOIN {name}_n x ON x.{key} = k.{key} GROUP BY k.{key})"""
+
+
+_ASKED = "SELECT conv_id AS query_id, text FROM conversations WHERE conv_id % 50 = 0 AND turn = 0"
+_BY_TEXT = f"""{_vectors_sql('x', 'vec_id', 'SELECT doc_id AS vec_id, text FROM documents')}, {_vectors_sql('q', 'query_id', _ASKED)},
+near AS (SELECT query_id, vec_id, d FROM (SELECT q.query_id, x.vec_id, {DISTANCE} AS d FROM x, q)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY d, vec_id) <= 50)"""
+
+
+@query(f"""WITH {EMOTION_MAX}, {_BY_TEXT}, r AS (
+  SELECT query_id, ['All', 'Fiction', 'Nonfiction'][query_id // 50 % 3 + 1] AS category, ['Happy', 'All', 'Sad'][query_id // 50 % 3 + 1] AS tone FROM q
+), {_TONED}""")
+def recommend_text(spark, sf_dir):
+    """The whole way of a request: the catalogue's texts are embedded and indexed, the asked texts are embedded by the same
+    embedder and searched in that index, and what is found is cut by category and sorted by tone."""
+    books = items(spark, sf_dir)
+    index = vectors.build_index(books, new_path(spark, "index"), "isbn13", "description").withColumnRenamed("isbn13", "vec_id")
+    found = recommend.ask_batch(index, books, fx.text_requests(spark, sf_dir), prepare=_emotional)
     return found.select("query_id", "pos", "isbn13")
+
+
+# --- the whole chain ---
+
+
+@query(f"""WITH {CATALOGUE}, {EMOTION_MAX} SELECT isbn13, coalesce({MAPPED}, {LETTER_CLASS}) AS simple_categories,
+  CASE WHEN subtitle IS NULL THEN title ELSE title || ': ' || subtitle END AS title_and_subtitle, isbn13 || ' ' || description AS description_with_id, {SIX}
+  FROM catalogue JOIN emotions USING (isbn13) WHERE {_COMPLETE} AND len({WORDS.format('description')}) >= 25""")
+def enrich_catalogue(spark, sf_dir):
+    """Clean, categorise, score emotions, land: each step's table is the next one's."""
+    out = landed(enrich.enrich(catalogue(spark, sf_dir, parts=("average_rating",)), mapping=fx.LANGUAGE_MAP), "enriched")
+    return rounded(out.select("isbn13", "simple_categories", "title_and_subtitle", "description_with_id", *scorers.EMOTIONS))

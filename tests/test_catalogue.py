@@ -1,3 +1,4 @@
+import hashlib
 import math
 
 import pytest
@@ -152,8 +153,6 @@ def test_nearest_forms_agree(spark):
             assert sorted((r.d, r.vec_id) for r in batch if r.query_id == q.query_id) == [(d, i) for i, d in alone]
     assert vectors.nearest(index, [0.0] * 4, k=500).count() == 40
     assert vectors.nearest_batch(index, queries.limit(0)).count() == 0
-    near = vectors.nearest_lsh(index, queries, k=1, bucket_length=4.0, radius=50.0).collect()
-    assert {(r.query_id, r.d) for r in near} == {(i, 0.0) for i in range(5)}
 
 
 @pytest.mark.parametrize("parts", [1, 4])
@@ -178,6 +177,20 @@ def test_nearest_among_copies(spark, parts):
     assert sorted(r.vec_id for r in first) == ["00000", "00003", "00006"]
 
 
+@pytest.mark.parametrize("dimensions", [64, 10])
+def test_hashed_vectors(spark, dimensions):
+    words = ["a", "b", "a", "née", "longer"]
+    want = {w: int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimensions for w in words}
+    rows = spark.createDataFrame([(w,) for w in words], "w string").select("w", scorers.token_bucket(F.col("w"), dimensions).alias("b")).collect()
+    assert {r.w: r.b for r in rows} == want
+    df = spark.createDataFrame([(1, "A b a née"), (2, ""), (3, None), (4, "x " * 500)], "isbn13 long, description string")
+    by_row = {(r.isbn13, r.bucket): r.value for r in vectors.hash_embed(df, "isbn13", "description").collect()}
+    dense = {r.isbn13: r.embedding for r in vectors.embed(df, "isbn13", "description").collect()}
+    assert {k for k, _ in by_row} == {1, 4}
+    for i, v in dense.items():
+        assert all(math.isclose(x, by_row.get((i, b), 0.0), rel_tol=1e-6) for b, x in enumerate(v))
+
+
 def shelf(spark):
     rows = [book(i, categories=["Fiction", "History"][i % 2], description=("e" * (i % 5)) + ".x") for i in range(40)]
     df = books(spark, rows).withColumn("simple_categories", category.simple_category(F.col("categories")))
@@ -199,6 +212,25 @@ def test_recommend(spark):
     assert recommend.gallery(recommend.recommend(index, catalogue, vec)).columns == ["large_thumbnail", "caption"]
 
 
+def test_asking_by_text(spark):
+    """A text is embedded by the index's own embedder: it finds itself, and one request equals a batch of one."""
+    texts = ["red fish swims", "blue bird flies high", "red bird", "", "old stone house", "a red fish swims far"]
+    books = shelf(spark).where(F.col("isbn13") < len(texts)).drop("description")
+    books = books.join(spark.createDataFrame(list(enumerate(texts)), "isbn13 long, description string"), "isbn13")
+    index = vectors.embed(books, "isbn13", "description").withColumnRenamed("isbn13", "vec_id")
+    asked = [(0, "Red fish SWIMS", "All", None), (1, "  ", "All", None), (2, "stone house", "Fiction", "Happy"), (3, "bird", None, None)]
+    requests = spark.createDataFrame(asked, "query_id long, query string, category string, tone string")
+    got = recommend.ask_batch(index, books, requests, initial_k=3, final_k=2, order="distance").collect()
+    for number, text, category, tone in asked:
+        mine = [r.isbn13 for r in sorted((r for r in got if r.query_id == number), key=lambda r: r.pos)]
+        alone = recommend.ask(index, books, text, category=category, tone=tone, initial_k=3, final_k=2, order="distance").collect()
+        assert sorted(mine) == sorted(r.isbn13 for r in alone) and bool(mine) == bool(text.strip())
+    assert {r.isbn13 for r in got if r.query_id == 0} == {0, 5} and 4 in {r.isbn13 for r in got if r.query_id == 2}
+    seen = []
+    prepared = recommend.ask_batch(index, books, requests, initial_k=1, prepare=lambda df: seen.append(df.count()) or df)
+    assert prepared.count() > 0 and seen[0] <= 3  # of the items that were found
+
+
 def requests_of(spark, index):
     asked = [(0, "q", "All", "Happy"), (1, "q", None, None), (2, "  ", "All", None), (3, "q", "Nonfiction", "Sad")]
     df = spark.createDataFrame(asked, "query_id long, query string, category string, tone string")
