@@ -195,18 +195,24 @@ class Model:
     def cross_entropy(self, texts: list[str]) -> np.ndarray:
         """Nats per character of each text (rows) under each language (columns). A text without n-grams has that of
         characters of equal chance under every language."""
-        out = np.full((len(texts), len(self.langs)), self.alphabet.bits * np.log(2))
-        for i, j in runs_of(texts):
-            grams, lengths = self.alphabet.grams(texts[i:j])
-            some = np.flatnonzero(lengths)
-            if not len(some):
-                continue
-            distinct, back = np.unique(grams, return_inverse=True)
-            values = self.rows(distinct).astype(np.float64)
-            starts = (np.cumsum(lengths) - lengths)[some]  # reduceat takes no empty stretch
-            for c in range(len(self.langs)):
-                out[i + some, c] = -np.add.reduceat(values[:, c][back], starts) / lengths[some]
-        return out
+        return cross_entropies([self], texts)
+
+
+def cross_entropies(models: list[Model], texts: list[str]) -> np.ndarray:
+    """The models' cross-entropies side by side; n-grams are made once for all of them."""
+    alphabet = models[0].alphabet
+    out = np.full((len(texts), sum(len(m.langs) for m in models)), alphabet.bits * np.log(2))
+    for i, j in runs_of(texts):
+        grams, lengths = alphabet.grams(texts[i:j])
+        some = np.flatnonzero(lengths)
+        if not len(some):
+            continue
+        distinct, back = np.unique(grams, return_inverse=True)
+        starts = (np.cumsum(lengths) - lengths)[some]  # reduceat takes no empty stretch
+        values = (column for m in models for column in m.rows(distinct).astype(np.float64).T)
+        for c, column in enumerate(values):
+            out[i + some, c] = -np.add.reduceat(column[back], starts) / lengths[some]
+    return out
 
 
 def estimate(counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: Alphabet, modified: bool) -> Model:
@@ -249,7 +255,7 @@ class Models:
     def cross_entropy(self, texts: list[str], lang: str | None = None) -> np.ndarray:
         """Nats per character of each text (rows) under each language, or the one that is asked for (columns)."""
         asked = self.langs if lang is None else [lang]
-        return np.concatenate([self.parts[x].value.cross_entropy(texts) for x in asked], axis=1)
+        return cross_entropies([self.parts[x].value for x in asked], texts)
 
 
 def _counts(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
