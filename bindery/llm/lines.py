@@ -82,7 +82,8 @@ class LineRuns:
         self._store(own, 0)
 
     def new_lines(self, batch: DataFrame) -> DataFrame:
-        """(doc_id, h1, h2) of the batch whose key no run holds yet."""
+        """(doc_id, h1, h2) of the batch whose key no run holds yet; to be used before the next ``add``, which may compact
+        the runs that this reads."""
         lines = _keys_of(batch)
         if not self.runs():
             return lines
