@@ -40,8 +40,9 @@ def found_ids(index: DataFrame, query: list[float], k: int = 50, key: str = "isb
     return index.sparkSession.createDataFrame(near.collect(), near.schema)
 
 
-def recommend(index: DataFrame, catalogue: DataFrame, query: list[float] | None, category: str | None = None, tone: str | None = None, initial_k: int = 50, final_k: int = 10, order: str = "catalogue", key: str = "isbn13", near: DataFrame | None = None) -> DataFrame:
-    """Recommendations for one vector. ``near`` are the ids found for it (see ``found_ids``), where they are known already."""
+def recommend(index: DataFrame, catalogue: DataFrame, query: list[float] | None, category: str | None = None, tone: str | None = None, initial_k: int = 50, final_k: int = 10, order: str = "catalogue", key: str = "isbn13", near: DataFrame | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Recommendations for one vector. ``near`` are the ids found for it (see ``found_ids``), where they are known already;
+    ``prepare`` makes the columns that tones need for the ``final_k`` items that are left, and for no others."""
     near = found_ids(index, query, initial_k, key) if near is None else near
     rows = catalogue.join(F.broadcast(near), key)
     by = ["d", key] if order == "distance" else [key]
@@ -49,7 +50,7 @@ def recommend(index: DataFrame, catalogue: DataFrame, query: list[float] | None,
     if category not in (None, ALL):
         rows = rows.where(F.col("simple_categories") == category)
     rows = rows.orderBy(*by).limit(final_k).drop("d")
-    return tone_sort(rows, tone, key)
+    return tone_sort(prepare(rows) if prepare else rows, tone, key)
 
 
 def ask(index: DataFrame, catalogue: DataFrame, text: str, embedder: Callable | None = None, **limits) -> DataFrame:

@@ -451,9 +451,12 @@ def semantic_lookup(spark, sf_dir):
     return recommend.semi_join_ids(catalogue(spark, sf_dir, ids, parts=()), near).orderBy("isbn13").select("isbn13", "title", "categories")
 
 
+def _with_emotions(df: DataFrame) -> DataFrame:
+    return df.select("*", *[F.round(c, 6).alias(e) for e, c in emotion.letter_emotions(F.col("description")).items()])
+
+
 def _emotional(df: DataFrame) -> DataFrame:
-    scores = {e: F.round(c, 6).alias(e) for e, c in emotion.letter_emotions(F.col("description")).items()}
-    return fx.with_simple_category(df).select("*", *scores.values())
+    return _with_emotions(fx.with_simple_category(df))
 
 
 _PICKED = f"""picked AS (
@@ -463,8 +466,8 @@ _PICKED = f"""picked AS (
 
 def _recommended(spark, sf_dir, *parts: str) -> DataFrame:
     near, ids = _found(spark, sf_dir)
-    books = _emotional(catalogue(spark, sf_dir, ids, parts))
-    return recommend.recommend(None, books, None, "Fiction", "Happy", near=near)
+    books = fx.with_simple_category(catalogue(spark, sf_dir, ids, parts))
+    return recommend.recommend(None, books, None, "Fiction", "Happy", near=near, prepare=_with_emotions)
 
 
 @query(f"WITH {CATALOGUE}, {EMOTION_MAX}, {NEAR_ONE}, {_PICKED} SELECT isbn13, title, joy FROM picked")
