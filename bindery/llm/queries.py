@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import decontaminate, html, langid, lines, lm, mixing, quality, shards, simhash, toxicity
+from bindery.llm import collocations, decontaminate, html, langid, lines, lm, mixing, pieces, quality, shards, simhash, toxicity
 from bindery.llm.common import table
 
 
@@ -83,6 +83,23 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
+    """Where the installed vocabularies have a file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pieces.tokenise(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary_path())
+    ids = F.concat_ws(",", F.col("ids").cast("array<string>"))
+    return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(ids, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"), "agrees")
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_lm_scoring": op2_lm_scoring,
@@ -94,6 +111,8 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL = {
@@ -175,5 +194,41 @@ WITH dw AS (
 SELECT dw.doc_id, iw.item_id, n_shared, n_item, n_shared / n_item AS containment
 FROM hits JOIN q USING (item_row) JOIN dw USING (row_id) JOIN iw USING (item_row)
 WHERE n_shared >= 0.8 * n_item
+""",
+    "op13_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS s
+  FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(s, '[^\x20\x09]+') AS ws FROM p
+), t AS (
+  SELECT lang, unnest(ws) AS w0, unnest(ws[2:]) AS w1, unnest(ws[3:]) AS w2 FROM w
+), g AS (
+  SELECT lang, w0 AS phrase, 1 AS m FROM t WHERE w0 IS NOT NULL
+  UNION ALL SELECT lang, w0 || ' ' || w1, 2 FROM t WHERE w1 IS NOT NULL
+  UNION ALL SELECT lang, w0 || ' ' || w1 || ' ' || w2, 3 FROM t WHERE w2 IS NOT NULL
+), f AS (
+  SELECT lang, phrase, m, count(*) AS f FROM g GROUP BY ALL
+), c AS (
+  SELECT lang, phrase, f AS a, string_split(phrase, ' ') AS ws FROM f WHERE m > 1 AND f >= 10
+), k AS (
+  SELECT lang, phrase, a, ws, unnest(range(1, len(ws))) AS k FROM c
+), s AS (
+  SELECT k.lang, k.phrase, k.a, k.k, x.f AS l, y.f AS r, ((1000000::HUGEINT * k.a * k.a) // (x.f::HUGEINT * y.f)) AS score
+  FROM k JOIN f x ON x.lang = k.lang AND x.phrase = array_to_string(k.ws[: k.k], ' ')
+  JOIN f y ON y.lang = k.lang AND y.phrase = array_to_string(k.ws[k.k + 1 :], ' ')
+), least AS (
+  SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), held AS (
+  SELECT lang, phrase, max(a) AS longer FROM (
+    SELECT lang, a, unnest([array_to_string(ws[1:2], ' '), array_to_string(ws[2:3], ' ')]) AS phrase FROM c WHERE len(ws) = 3
+  ) GROUP BY ALL
+), n AS (
+  SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang
+), ranked AS (
+  SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score::BIGINT AS score
+  FROM least JOIN n USING (lang) LEFT JOIN held USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 50 * a
+)
+SELECT * FROM ranked WHERE rank <= 2000
 """,
 }
