@@ -41,7 +41,6 @@ KNOWN_CHARS = 1 << 22  # characters in all
 CHECKED = 256  # words that the library gets at once
 SLICE = 1 << 22  # bytes of text whose ids are held at once
 
-_PIECE = proto.ModelProto.SentencePiece
 _FREE = np.int64(1 << 62)  # no merge; above every place in an agenda
 _OTHER = 1 << 24  # from here on, characters of no piece by their code points
 
@@ -64,22 +63,22 @@ class PieceModel:
     """A merge-type vocabulary, from the bytes of a model file."""
 
     def __init__(self, model: bytes):
-        spec = proto.ModelProto()
+        spec, kind = proto.ModelProto(), proto.ModelProto.SentencePiece
         spec.ParseFromString(model)
         if spec.trainer_spec.model_type != proto.TrainerSpec.BPE:
             raise ValueError("the vocabulary is not of the merge type")
-        if any(p.type == _PIECE.USER_DEFINED for p in spec.pieces):
+        if any(p.type == kind.USER_DEFINED for p in spec.pieces):
             raise ValueError("pieces defined by the user are not read")
         self.library = sentencepiece.SentencePieceProcessor(model_proto=model)
         self.score, self.unused, self.id_of, byte_id, unknown = {}, set(), {}, {}, 0
         for k, p in enumerate(spec.pieces):
-            if p.type == _PIECE.UNKNOWN:
+            if p.type == kind.UNKNOWN:
                 unknown = k
-            elif p.type == _PIECE.BYTE:
+            elif p.type == kind.BYTE:
                 byte_id[int(p.piece[1:-1], 16)] = k
-            elif p.type in (_PIECE.NORMAL, _PIECE.UNUSED):
+            elif p.type in (kind.NORMAL, kind.UNUSED):
                 self.score[p.piece], self.id_of[p.piece] = p.score, k
-                if p.type == _PIECE.UNUSED:
+                if p.type == kind.UNUSED:
                     self.unused.add(p.piece)
         fallback = spec.trainer_spec.byte_fallback
         self.spelt = lambda c: [byte_id[b] for b in c.encode()] if fallback else [unknown]
