@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bindery.llm import collocations, decontaminate, html, langid, lines, lm, mixing, pieces, quality, shards, simhash, toxicity
+from bindery.llm import collocations, decontaminate, html, langid, lines, lm, maxscore, mixing, pieces, quality, shards, simhash, toxicity
 from bindery.llm.common import table
 
 
@@ -83,6 +83,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", "accepted")
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxscore.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 def vocabulary_path(name: str = "piece_bpe_32k.model") -> str:
     """Where the installed vocabularies have a file."""
     import public_tokenizers
@@ -111,6 +115,7 @@ QUERIES = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_language_id": op10_language_id,
+    "op11_ranked_search": op11_ranked_search,
     "op12_sentencepiece": op12_sentencepiece,
     "op13_collocations": op13_collocations,
 }
@@ -194,6 +199,34 @@ WITH dw AS (
 SELECT dw.doc_id, iw.item_id, n_shared, n_item, n_shared / n_item AS containment
 FROM hits JOIN q USING (item_row) JOIN dw USING (row_id) JOIN iw USING (item_row)
 WHERE n_shared >= 0.8 * n_item
+""",
+    "op11_ranked_search": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS row_id, doc_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM documents
+), b AS (
+  SELECT row_number() OVER () AS item, item_id,
+         regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts
+  FROM benchmark
+), q AS (
+  SELECT item, item_id, t, count(*) AS times FROM (SELECT item, item_id, unnest(ts) AS t FROM b) GROUP BY ALL
+), figures AS (
+  SELECT count(*) AS n_docs, sum(len(ts))::BIGINT AS n_terms FROM d WHERE len(ts) > 0
+), m AS (
+  SELECT row_id, doc_id, ts, 75 + (25 * len(ts) * n_docs) // n_terms AS m FROM d, figures WHERE len(ts) > 0
+), tf AS (
+  SELECT row_id, doc_id, m, t, count(*) AS tf FROM (SELECT row_id, doc_id, m, unnest(ts) AS t FROM m) WHERE t IN (SELECT t FROM q) GROUP BY ALL
+), w AS (
+  SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, figures GROUP BY t, n_docs
+), i AS (
+  SELECT row_id, doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 12 * m)) AS impact FROM tf JOIN w USING (t)
+), s AS (
+  SELECT item, item_id, doc_id, row_id, sum(times * impact)::BIGINT AS score FROM q JOIN i USING (t) GROUP BY ALL
+), r AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score FROM s WHERE score > 0
+)
+SELECT * FROM r WHERE rank <= 20
 """,
     "op13_collocations": r"""
 WITH p AS (
