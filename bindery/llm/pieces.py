@@ -2,7 +2,8 @@
 
 A text is normalised as its model says and cut into single characters. An agenda, ordered by score and then by place,
 holds the pairs of neighbours that the vocabulary can merge; the best pair is merged and the pairs that the new symbol
-makes with its neighbours are added, until the agenda is empty. Symbols that are no pieces fall back to their bytes.
+makes with its neighbours are added, until the agenda is empty. Symbols that are no pieces fall back to their bytes, or, with
+a vocabulary without bytes, to one unknown id a run.
 
 A merge can only cross the line between two characters that stand side by side in some piece. Where no piece has anything
 but the space mark before a space mark, or a line feed beside anything, a text falls into words that are merged one by one,
@@ -16,7 +17,7 @@ by the driver from the path that it is given and sent out (a vocabulary is some
 
 Defined cases: a null or empty text has no ids and decodes to the empty text; rows of equal texts are rows like others; an
 empty table gives an empty table; very long texts and words are encoded whole; all columns but the text pass, whatever
-their names.
+their names, before the new ones.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from sentencepiece import sentencepiece_model_pb2 as proto
 
 from bindery.llm.common import each_text
@@ -81,9 +83,10 @@ class PieceModel:
                 if p.type == kind.UNUSED:
                     self.unused.add(p.piece)
         fallback = spec.trainer_spec.byte_fallback
+        self.unknown = None if fallback else unknown
         self.spelt = lambda c: [byte_id[b] for b in c.encode()] if fallback else [unknown]
         beside = {p[k : k + 2] for p in self.score for k in range(len(p) - 1)}
-        self.apart = not any((b == SPACE != a) or "\n" in (a, b) for a, b in beside)
+        self.apart = fallback and not any((b == SPACE != a) or "\n" in (a, b) for a, b in beside)
         self.words = re.compile(rf"\n|{SPACE}*[^{SPACE}\n]+|{SPACE}+" if self.apart else r"(?s:.+)").findall
         self._pairs(len(spec.pieces))
         self._forget()
@@ -246,7 +249,10 @@ class PieceModel:
             self._learn(list(self.known)[old:])
         out = []
         for words in asked:
-            out.append(self.values[_ranges(self.ends[words], self.ends[words + 1] - self.ends[words])])
+            ids = self.values[_ranges(self.ends[words], self.ends[words + 1] - self.ends[words])]
+            if self.unknown is not None:  # a run of unknown symbols is one
+                ids = ids[np.append(True, (ids[1:] != self.unknown) | (ids[:-1] != self.unknown))[: len(ids)]]
+            out.append(ids)
         if self.apart:
             return out, [not self.differ[words].any() for words in asked]
         return out, [self.library.encode(t or "") == ids.tolist() for t, ids in zip(texts, out)]
@@ -274,7 +280,7 @@ def tokenise(docs: DataFrame, model_path: str, text: str = "text", decoded: bool
     at, plain = docs.columns.index(text), docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
     kept = [k for k in range(len(docs.columns)) if k != at]
     new = ["ids", "agrees", "decoded"][: 2 + decoded]
-    schema = ", ".join([f"c{k} {plain.schema[k].dataType.simpleString()}" for k in kept] + ["ids array<int>", "agrees boolean", "decoded string"][: 2 + decoded])
+    schema = plain.select(*[f"c{k}" for k in kept], *[F.lit(None).cast(t).alias(c) for c, t in zip(new, ("array<int>", "boolean", "string"))]).schema
 
     def run(batches):
         pieces = PieceModel(model.value)
