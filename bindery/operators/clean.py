@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindery.functions import text as X
+from bindery.sources.files import observed
 
 CRITICAL = ("description", "num_pages", "average_rating", "published_year")
 BANDS = ((1, 4), (5, 14), (15, 24), (25, 34))
@@ -54,3 +55,14 @@ def clean_catalogue(df: DataFrame, words: int = 25) -> DataFrame:
         "title_and_subtitle": X.title_and_subtitle(F.col("title"), F.col("subtitle")),
         "description_with_id": X.text_with_id(F.col("isbn13"), F.col("description")),
     }).drop("subtitle")
+
+
+def write_cleaned(df: DataFrame, path: str, words: int = 25, critical: tuple[str, ...] = CRITICAL) -> dict[str, int]:
+    """Write the cleaned catalogue under ``path`` and tell, from the same pass, how many rows were read, had no id, were
+    incomplete, were complete but too short, and were written."""
+    incomplete = reduce(or_, [F.col(c).isNull() for c in critical])
+    short = ~incomplete & (X.word_count(F.col("description")) < words)
+    rows, seen = observed(df, "cleaning", no_id=F.col("isbn13").isNull(), incomplete=incomplete, short=short)
+    rows, kept = observed(clean_catalogue(rows, words), "cleaned")
+    rows.write.parquet(path)
+    return seen.get | {"written": kept.get["read"]}

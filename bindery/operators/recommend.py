@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions import text as X
 from bindery.functions.scorers import hash_embedder
+from bindery.operators import cells
 from bindery.operators.emotion import tone_score, tone_sort
 from bindery.operators.vectors import embed, nearest, nearest_batch
 from bindery.sources.scratch import landed
@@ -24,8 +25,8 @@ ALL = "All"
 
 
 def semi_join_ids(catalogue: DataFrame, ids: DataFrame, key: str = "isbn13") -> DataFrame:
-    """Catalogue rows whose key is among ``ids``. Ids of a search are at most k, so they are small enough to send."""
-    return catalogue.join(F.broadcast(ids.select(key)), key, "left_semi")
+    """Catalogue rows whose key is among ``ids``, which Spark sends out if they are few, as those of a search are."""
+    return catalogue.join(ids.select(key), key, "left_semi")
 
 
 def semantic_lookup(index: DataFrame, catalogue: DataFrame, query: list[float], k: int = 50, key: str = "isbn13") -> DataFrame:
@@ -70,14 +71,17 @@ def gallery(recommended: DataFrame, *keep: str) -> DataFrame:
     )
 
 
-def recommend_batch(index: DataFrame, catalogue: DataFrame, requests: DataFrame, initial_k: int = 50, final_k: int = 10, order: str = "catalogue", key: str = "isbn13", prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def recommend_batch(index: DataFrame | str, catalogue: DataFrame, requests: DataFrame, initial_k: int = 50, final_k: int = 10, order: str = "catalogue", key: str = "isbn13", prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(query_id, pos, catalogue columns) for a table of requests (query_id, query, embedding, category, tone).
 
-    Blank queries give nothing. Ranks within a request replace global limits, so requests run side by side. ``prepare``
+    ``index`` is a table of vectors, or the path of one that is stored in cells. Blank queries give nothing. Ranks within a request replace
+    global limits, so requests run side by side. ``prepare``
     makes the columns that recommending needs (categories, emotions) for the items that were found, and for no others.
     """
     asked = requests.where(F.length(F.trim("query")) > 0)
-    near = landed(nearest_batch(index, asked.select("query_id", "embedding"), initial_k).withColumnRenamed("vec_id", key), "near")
+    vectors = asked.select("query_id", "embedding")
+    found = cells.search(asked.sparkSession, index, vectors, initial_k) if isinstance(index, str) else nearest_batch(index, vectors, initial_k)
+    near = landed(found.withColumnRenamed("vec_id", key), "near")
     wanted = asked.select("query_id", F.col("category").alias("wanted_category"), F.col("tone").alias("wanted_tone"))
     items = catalogue.join(near.select(key).distinct(), key, "left_semi")
     rows = (prepare(items) if prepare else items).join(near, key).join(wanted, "query_id")
@@ -92,7 +96,7 @@ def recommend_batch(index: DataFrame, catalogue: DataFrame, requests: DataFrame,
     return rows.withColumn("pos", F.row_number().over(final)).drop("d", "wanted_category", "wanted_tone", "tone_score")
 
 
-def ask_batch(index: DataFrame, catalogue: DataFrame, requests: DataFrame, embedder: Callable | None = None, **limits) -> DataFrame:
+def ask_batch(index: DataFrame | str, catalogue: DataFrame, requests: DataFrame, embedder: Callable | None = None, **limits) -> DataFrame:
     """As ``recommend_batch``, for requests without vectors (query_id, query, category, tone): their texts are embedded by the
     embedder that built the index."""
     asked = requests.where(F.length(F.trim("query")) > 0)

@@ -52,10 +52,39 @@ def nearest(index: DataFrame, query: list[float], k: int = 50, key: str = "vec_i
     return scored.orderBy("d", key).limit(k)
 
 
+def nearest_rows(keys: pa.Array, x: np.ndarray, ids: pa.Array, q: np.ndarray, k: int, names: list[str]):
+    """Batches (id, key, d) of the ``k`` rows of ``x`` that are nearest to each row of ``q`` by (d, key).
+
+    Products say which rows rounding could place among the ``k`` nearest, and those get the plain expression's distance.
+    """
+    norms, squares = (q * q).sum(axis=1), (x * x).sum(axis=1)
+    # What product and plain expression may round differently, four times: at the k-th row and at any other.
+    slack = 16 * (x.shape[1] + 4) * np.finfo(np.float64).eps * (np.sqrt(norms) + np.sqrt(squares.max())) ** 2
+    for a in range(0, len(q), QUERY_STEP):
+        part = slice(a, a + QUERY_STEP)
+        near = norms[part, None] + squares[None, :] - 2 * q[part] @ x.T
+        kth = np.partition(near, min(k, len(x)) - 1, axis=1)[:, min(k, len(x)) - 1]
+        which, at = np.nonzero(~(near > (kth + slack[part])[:, None]))  # NaN stays
+        which += a
+        d = np.zeros(len(which))
+        for c in range(x.shape[1]):  # summed in the order of the plain expression
+            step = x[at, c] - q[which, c]
+            d += step * step
+        rows = pa.table([pa.array(which), pa.array(np.isnan(d)), pa.array(d), keys.take(pa.array(at))], ["which", "nan", "d", "key"])
+        order = pc.sort_indices(rows, [(c, "ascending") for c in rows.column_names], null_placement="at_start").to_numpy()
+        which = which[order]  # the k best of each query by (d, key)
+        rank = np.arange(len(which)) - np.searchsorted(which, which)
+        best = order[rank < k]
+        rows = rows.take(pa.array(best)).combine_chunks()
+        if len(best):
+            yield pa.RecordBatch.from_arrays([ids.take(rows["which"].combine_chunks()), rows["key"].combine_chunks(), rows["d"].combine_chunks()], names)
+
+
 def nearest_batch(index: DataFrame, queries: DataFrame, k: int = 50, key: str = "vec_id", vec: str = "embedding", query_key: str = "query_id", block: int = QUERY_BLOCK) -> DataFrame:
-    """(query_key, key, d): the ``k`` nearest rows for each of many query vectors.
+    """(query_key, key, d): the ``k`` nearest rows for each of many query vectors. Each block of queries is a pass over the
+    index; for more than a few, ``cells.search`` asks an index that is stored in cells.
 
-    Queries come in blocks of at most ``block`` vectors; a block is broadcast and the index stays where it is. Each Arrow
+    Queries come in blocks of about ``block`` vectors; a block is broadcast and the index stays where it is. Each Arrow
     batch meets the block in matrix products. Every row that rounding could place among a query's ``k`` nearest gets its
     exact distance, and the ``k`` best by (d, key) are passed on, however many rows are equally near;
     a rank over the queries merges them, so at most ``k`` rows a query and batch are shuffled.
@@ -74,33 +103,11 @@ def nearest_batch(index: DataFrame, queries: DataFrame, k: int = 50, key: str =
 
         def run(batches, shared=shared):
             ids, q = shared.value
-            norms = (q * q).sum(axis=1)
             for b in batches:
                 b = b.filter(b.column(1).is_valid())
-                if not b.num_rows:
-                    continue
-                x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
-                squares = (x * x).sum(axis=1)
-                # What product and plain expression may round differently, four times: at the k-th row and at any other.
-                slack = 16 * (x.shape[1] + 4) * np.finfo(np.float64).eps * (np.sqrt(norms) + np.sqrt(squares.max())) ** 2
-                for a in range(0, len(q), QUERY_STEP):
-                    part = slice(a, a + QUERY_STEP)
-                    near = norms[part, None] + squares[None, :] - 2 * q[part] @ x.T
-                    kth = np.partition(near, min(k, b.num_rows) - 1, axis=1)[:, min(k, b.num_rows) - 1]
-                    which, at = np.nonzero(~(near > (kth + slack[part])[:, None]))  # NaN stays
-                    which += a
-                    d = np.zeros(len(which))
-                    for c in range(x.shape[1]):  # summed in the order of the plain expression
-                        step = x[at, c] - q[which, c]
-                        d += step * step
-                    rows = pa.table([pa.array(which), pa.array(np.isnan(d)), pa.array(d), b.column(0).take(pa.array(at))], ["which", "nan", "d", "key"])
-                    order = pc.sort_indices(rows, [(c, "ascending") for c in rows.column_names], null_placement="at_start").to_numpy()
-                    which = which[order]  # the k best of each query by (d, key)
-                    rank = np.arange(len(which)) - np.searchsorted(which, which)
-                    best = order[rank < k]
-                    rows = rows.take(pa.array(best)).combine_chunks()
-                    if len(best):
-                        yield pa.RecordBatch.from_arrays([ids.take(rows["which"].combine_chunks()), rows["key"].combine_chunks(), rows["d"].combine_chunks()], [query_key, key, "d"])
+                if b.num_rows:
+                    x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+                    yield from nearest_rows(b.column(0), x, ids, q, k, [query_key, key, "d"])
 
         found = index.select(key, vec).mapInArrow(run, f"{query_key} {kinds[1]}, {key} {kinds[0]}, d double")
         out = found if out is None else out.unionByName(found)

@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from bindery.functions import scorers
 from bindery.functions import text as X
-from bindery.operators import category, clean, emotion, profile, recommend, vectors
+from bindery.operators import category, cells, clean, emotion, profile, recommend, upkeep, vectors
 from bindery.plans import enrich
 from bindery.sources import files
 from bindery.sources import fixtures as fx
 from bindery.sources.fixtures import catalogue, items, table
 from bindery.sources.scratch import landed, new_path
+from bindery.streaming import requests as streaming
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -105,6 +106,42 @@ def corpus_lines(spark, sf_dir):
     return files.corpus_lines(lines)
 
 
+_BAD_NUMBER, _EXTRA_FIELD, _FEW_FIELDS = "isbn13 % 11 = 3", "isbn13 % 13 = 5", "isbn13 % 17 = 7"
+_FAULTY = "isbn13 string, title string, categories string, description string, num_pages string, average_rating string"
+
+
+def _checked_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue as CSV with words for some numbers, records of seven fields and records of five; read back and checked."""
+    df = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("isbn13"), F.get(F.split("text", "\n"), F.lit(0)).alias("title"), F.col("lang").alias("categories"), F.col("text").alias("description"), "n_chars")
+    quoted = [F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"')) for c in ("isbn13", "title", "categories", "description")]
+    pages = F.when(F.expr(_BAD_NUMBER), F.concat(F.lit("about "), F.col("n_chars"))).otherwise(F.col("n_chars").cast("string"))
+    end = F.when(F.expr(_EXTRA_FIELD), F.lit(",4.5,more")).when(F.expr(_FEW_FIELDS), F.lit("")).otherwise(F.lit(",4.5"))
+    df.select(F.concat(F.concat_ws(",", *quoted, pages), end).alias("value")).write.text(path := new_path(spark, "faulty-csv"))
+    schema = files.T.StructType([f for f in files.CATALOGUE if f.name in ("isbn13", "title", "categories", "description", "num_pages", "average_rating")])
+    return files.check_csv(spark, path, schema, header=False)
+
+
+_GOOD = "NOT (doc_id % 11 = 3 OR doc_id % 13 = 5 OR doc_id % 17 = 7)"
+
+
+@query(f"""SELECT doc_id AS isbn13, string_split(text, chr(10))[1] AS title, lang AS categories, text AS description, n_chars::INTEGER AS num_pages, 4.5::DOUBLE AS average_rating
+FROM documents WHERE {_GOOD}""")
+def csv_good_rows(spark, sf_dir):
+    good, _ = files.quarantine(_checked_csv(spark, sf_dir), new_path(spark, "checked"))
+    return good
+
+
+@query("""SELECT CASE WHEN doc_id % 13 = 5 OR doc_id % 17 = 7 THEN NULL ELSE 'num_pages' END AS "column",
+  CASE WHEN doc_id % 13 = 5 OR doc_id % 17 = 7 THEN 'malformed record' ELSE 'not int' END AS reason,
+  CASE WHEN doc_id % 13 = 5 OR doc_id % 17 = 7 THEN NULL ELSE 'about ' || n_chars END AS value, count(*) AS rows
+FROM documents WHERE doc_id % 11 = 3 OR doc_id % 13 = 5 OR doc_id % 17 = 7 GROUP BY ALL""")
+def csv_quarantine(spark, sf_dir):
+    """Rejects by column, reason and value; the values of malformed records are the whole records and left out here."""
+    _, rejected = files.quarantine(_checked_csv(spark, sf_dir), new_path(spark, "checked"))
+    found = rejected.select(F.inline("rejects")).withColumn("value", F.when(F.col("column").isNotNull(), F.col("value")))
+    return found.groupBy("column", "reason", "value").agg(F.count("*").alias("rows"))
+
+
 # --- cleaning ---
 
 
@@ -158,6 +195,27 @@ def retention(spark, sf_dir):
     return clean.retention(catalogue(spark, sf_dir, parts=("average_rating",)))
 
 
+_SHORT = f"len({WORDS.format('description')}) < 25"
+
+
+@query(f"""WITH {CATALOGUE} SELECT count(*) AS read, count(*) FILTER (isbn13 IS NULL) AS no_id, count(*) FILTER (NOT ({_COMPLETE})) AS incomplete,
+  count(*) FILTER ({_COMPLETE} AND {_SHORT}) AS short, count(*) FILTER ({_COMPLETE} AND NOT {_SHORT}) AS written FROM catalogue""")
+def clean_counts(spark, sf_dir):
+    """What the write of the cleaned catalogue counted on its way."""
+    counts = clean.write_cleaned(catalogue(spark, sf_dir, parts=("average_rating",)), new_path(spark, "cleaned"))
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} bigint" for c in counts))
+
+
+@query("""WITH l AS (SELECT trim(unnest(string_split(doc_id || ' ' || text, chr(10))), ' ') AS text FROM documents)
+SELECT count(*) AS read, count(*) FILTER (text = '') AS blank,
+  count(*) FILTER (text <> '' AND try_cast(regexp_extract(text, '^"*\\s*([^ \\t]+)', 1) AS BIGINT) IS NULL) AS bad_id, count(*) FILTER (text <> '') AS written FROM l""")
+def corpus_counts(spark, sf_dir):
+    """What the write of a corpus' parsed lines counted on its way: lines, blank ones, lines that begin with no id."""
+    lines = items(spark, sf_dir).select(F.explode(F.split(X.text_with_id(F.col("isbn13"), F.col("description")), "\n")).alias("value"))
+    counts = files.write_parsed_corpus(lines, new_path(spark, "parsed"))
+    return spark.createDataFrame([tuple(counts.values())], ", ".join(f"{c} bigint" for c in counts))
+
+
 @query(f"SELECT doc_id AS isbn13, text AS description FROM documents WHERE len({WORDS.format('text')}) >= 25")
 def min_words(spark, sf_dir):
     return clean.min_words(items(spark, sf_dir)).select("isbn13", "description")
@@ -429,6 +487,26 @@ def knn_batch(spark, sf_dir):
     return rounded(vectors.nearest_batch(table(spark, sf_dir, "embeddings"), fx.requests(spark, sf_dir)))
 
 
+@query(f"WITH {_BATCH} SELECT query_id, vec_id, round(d, 6) AS d FROM near")
+def knn_cells(spark, sf_dir):
+    """As ``knn_batch``, over an index that is stored in cells."""
+    cells.build(table(spark, sf_dir, "embeddings"), path := new_path(spark, "cells"))
+    return rounded(cells.search(spark, path, fx.requests(spark, sf_dir)))
+
+
+@query(f"WITH {_HASHED} SELECT doc_id, bucket, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 4) AS value FROM c")
+def index_upkeep(spark, sf_dir):
+    """An index of an older state (a tenth of the documents not there yet, a seventh with another text, some that have gone since)
+    brought up to date: what is read is what ``vector_index`` builds anew."""
+    docs, path = table(spark, sf_dir, "documents").select("doc_id", "text"), new_path(spark, "kept-index")
+    older = docs.where("doc_id % 10 <> 3").withColumn("text", F.when(F.expr("doc_id % 7 = 2"), F.lit("another text")).otherwise(F.col("text")))
+    left = docs.where("doc_id % 9 = 4").select((-1 - F.col("doc_id")).alias("doc_id"), "text")
+    upkeep.update(older.unionByName(left), path, "doc_id", "text")
+    upkeep.update(docs, path, "doc_id", "text")
+    entries = upkeep.read(spark, path, "doc_id").select("doc_id", F.posexplode("embedding").alias("bucket", "value")).where("value <> 0")
+    return entries.select("doc_id", "bucket", F.round(F.col("value").cast("double"), 4).alias("value"))
+
+
 @query(f"WITH {NEAR_ONE} SELECT doc_id AS isbn13, lang AS categories FROM documents WHERE doc_id IN (SELECT vec_id FROM near)")
 def semi_join_ids(spark, sf_dir):
     near = vectors.nearest(table(spark, sf_dir, "embeddings"), fx.query_vector(spark, sf_dir)).select(F.col("vec_id").alias("isbn13"))
@@ -505,6 +583,33 @@ def recommend_batch(spark, sf_dir):
     return found.select("query_id", "pos", "isbn13")
 
 
+QUERIES["recommend_cells"] = lambda spark, sf_dir: _recommended_from_cells(spark, sf_dir)
+ORACLE_SQL["recommend_cells"] = ORACLE_SQL["recommend_batch"]
+
+
+def _recommended_from_cells(spark, sf_dir) -> DataFrame:
+    """As ``recommend_batch``, over an index that is stored in cells."""
+    cells.build(table(spark, sf_dir, "embeddings"), path := new_path(spark, "cells"))
+    found = recommend.recommend_batch(path, items(spark, sf_dir), fx.requests(spark, sf_dir), prepare=_emotional)
+    return found.select("query_id", "pos", "isbn13")
+
+
+def recommend_stream(spark, sf_dir):
+    """As ``recommend_batch``, with the requests as a stream of files that is answered to its end."""
+    requests = fx.requests(spark, sf_dir)
+    requests.repartition(4).write.parquet(asked := new_path(spark, "requests"))
+    stream = spark.readStream.schema(requests.schema).option("maxFilesPerTrigger", 2).parquet(asked)
+    out = new_path(spark, "answers")
+    streaming.answer_stream(
+        stream, table(spark, sf_dir, "embeddings"), items(spark, sf_dir), out, new_path(spark, "stream-checkpoint"),
+        present=lambda found: found.select("query_id", "pos", "isbn13"), prepare=_emotional).awaitTermination()
+    return spark.read.parquet(out).select("query_id", "pos", "isbn13")
+
+
+QUERIES["recommend_stream"] = recommend_stream
+ORACLE_SQL["recommend_stream"] = ORACLE_SQL["recommend_batch"]
+
+
 def _vectors_sql(name: str, key: str, rows: str) -> str:
     """CTEs for the embedder's vectors of (key, text) rows, as floats."""
     return f"""{name}_w AS (SELECT {key}, unnest({WORDS.format('lower(text)')}) AS w FROM ({rows})

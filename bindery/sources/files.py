@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,12 +30,51 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = CATALOGUE) -
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
     rows = spark.read.schema(raw).csv(path, header=True, multiLine=True, escape='"')
     known = {f.name: F.when(~F.col(f.name).isin(*NA_TOKENS), F.col(f.name)) for f in schema}
-    typed = [
-        (c if isinstance(f.dataType, T.StringType) else (c.try_cast("double").try_cast(f.dataType) if isinstance(f.dataType, T.IntegerType) else c.try_cast(f.dataType))).alias(f.name)
+    typed = [_typed(known[f.name], f.dataType).alias(f.name) for f in schema]
+    return rows.select(*typed)
+
+
+RECORD = "_record"
+
+
+def _typed(raw: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.StringType):
+        return raw
+    return raw.try_cast("double").try_cast(kind) if isinstance(kind, T.IntegerType) else raw.try_cast(kind)
+
+
+def check_csv(spark: SparkSession, path: str, schema: T.StructType = CATALOGUE, header: bool = True) -> DataFrame:
+    """The columns of ``schema`` as ``read_csv`` gives them, and ``rejects``: an array of (column, value, reason), empty for a good row.
+
+    A record with too many or too few fields, or whose quotes do not close, is one reject of no column, whose value is the whole
+    record. A field that is not missing and has not its column's type is a reject; missing fields are none.
+    """
+    raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema] + [T.StructField(RECORD, T.StringType())])
+    rows = spark.read.schema(raw).csv(path, header=header, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD)
+    known = {f.name: F.when(~F.col(f.name).isin(*NA_TOKENS), F.col(f.name)) for f in schema}
+    typed = {f.name: _typed(known[f.name], f.dataType) for f in schema}
+    whole = F.struct(F.lit(None).cast("string").alias("column"), F.col(RECORD).alias("value"), F.lit("malformed record").alias("reason"))
+    fields = [
+        F.when(known[f.name].isNotNull() & typed[f.name].isNull(), F.struct(F.lit(f.name).alias("column"), known[f.name].alias("value"), F.lit(f"not {f.dataType.simpleString()}").alias("reason")))
         for f in schema
-        for c in [known[f.name]]
+        if not isinstance(f.dataType, T.StringType)
     ]
-    return rows.select(*typed)
+    rejects = F.when(F.col(RECORD).isNotNull(), F.array(whole)).otherwise(F.array_compact(F.array(*fields)) if fields else F.array().cast("array<struct<column:string,value:string,reason:string>>"))
+    return rows.select(*[c.alias(n) for n, c in typed.items()], rejects.alias("rejects"))
+
+
+def quarantine(checked: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """(good rows, rejected ones): ``checked`` written once, the rejected rows, with their rejects, apart from the good."""
+    checked.withColumn("rejected", F.size("rejects") > 0).write.partitionBy("rejected").parquet(path)
+    stored = checked.sparkSession.read.schema(checked.schema.add("rejected", "boolean")).parquet(path)
+    return stored.where("not rejected").drop("rejected", "rejects"), stored.where("rejected").drop("rejected")
+
+
+def observed(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Observation]:
+    """``df``, and the numbers of its rows (``read``) and of those that fulfil each condition, known once an action has gone
+    through all of it; no scan or job of their own."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("read"), *[F.count_if(F.coalesce(c, F.lit(False))).alias(k) for k, c in counts.items()]), seen
 
 
 def write_csv(df: DataFrame, path: str, drop: tuple[str, ...] = ()) -> None:
@@ -57,3 +96,13 @@ def corpus_lines(lines: DataFrame) -> DataFrame:
     """(isbn13, text) from lines in ``value``."""
     text = F.trim("value").alias("text")
     return lines.select(text).where("text <> ''").select(item_id(F.col("text")).alias("isbn13"), "text")
+
+
+def write_parsed_corpus(lines: DataFrame, path: str) -> dict[str, int]:
+    """Write the parsed lines in ``value`` as Parquet and tell, from the same pass, how many were read, were blank, had no id and
+    were written."""
+    text = F.trim("value")
+    rows, seen = observed(lines, "corpus", blank=text == "", bad_id=(text != "") & item_id(text).isNull())
+    rows, kept = observed(corpus_lines(rows), "parsed")
+    rows.write.parquet(path)
+    return seen.get | {"written": kept.get["read"]}

@@ -1,12 +1,13 @@
 import hashlib
 import math
+import os
 
 import pytest
 from pyspark.sql import functions as F
 
 from bindery.functions import scorers
 from bindery.functions import text as X
-from bindery.operators import category, clean, emotion, profile, recommend, vectors
+from bindery.operators import category, cells, clean, emotion, profile, recommend, upkeep, vectors
 from bindery.plans import enrich
 from bindery.sources import files
 
@@ -265,3 +266,152 @@ def test_enrichment_chain(spark):
     out = enrich.enrich(books(spark, [book(1), book(2, categories="Odd"), book(3, description=None)]))
     assert {r.isbn13 for r in out.collect()} == {1, 2}
     assert set(scorers.EMOTIONS) <= set(out.columns)
+
+
+# --- the index in cells ---
+
+
+def blobs(n_blobs=12, each=40, width=6, seed=3):
+    """Vectors in well parted groups, with exact copies, a null and rows that are not finite."""
+    import random
+
+    r = random.Random(seed)
+    at = [[r.uniform(-50, 50) for _ in range(width)] for _ in range(n_blobs)]
+    rows = [[c + r.gauss(0, 0.3) for c in at[k % n_blobs]] for k in range(n_blobs * each)]
+    rows += [rows[7]] * 30 + [None, [math.nan] * width, [math.inf] + [0.0] * (width - 1)]
+    return list(enumerate(rows))
+
+
+@pytest.mark.parametrize("k, n_cells", [(5, None), (60, 12), (1000, 3)])
+def test_cells_find_what_a_full_search_finds(spark, tmp_path, monkeypatch, k, n_cells):
+    monkeypatch.setattr(cells, "PACK", 16)
+    index = spark.createDataFrame(blobs(), "vec_id long, embedding array<double>")
+    cells.build(index, str(tmp_path), n_cells, sample=200)
+    queries = index.where("vec_id % 37 = 0 or vec_id >= 505").withColumnRenamed("vec_id", "query_id")
+    finite = queries.where("query_id < 511")
+    asked = sorted(map(tuple, cells.search(spark, str(tmp_path), finite, k).collect()), key=repr)
+    want = vectors.nearest_batch(index, finite, k).select("query_id", "vec_id", "d").collect()
+    assert repr(asked) == repr(sorted(map(tuple, want), key=repr))  # NaN too
+    odd = cells.search(spark, str(tmp_path), queries.where("query_id >= 510"), 3).collect()
+    assert {r.query_id for r in odd} == {511, 512} and len(odd) == 6  # a null query finds nothing
+
+
+def test_cells_far_away_are_not_read(spark, tmp_path):
+    index = spark.createDataFrame(blobs()[:480], "vec_id long, embedding array<double>")
+    cells.build(index, str(tmp_path), 12)
+    n_cells = spark.read.parquet(f"{tmp_path}/cells").count()
+    one = index.where("vec_id = 0").withColumnRenamed("vec_id", "query_id")
+    found = cells.search(spark, str(tmp_path), one, 10)
+    read = {f.split("cell=")[1].split("/")[0] for f in found.inputFiles() if "cell=" in f}
+    assert found.count() == 10 and len(read) < n_cells / 2
+
+
+def test_probing_misses_little_among_groups(spark, tmp_path):
+    index = spark.createDataFrame(blobs()[:480], "vec_id long, embedding array<double>")
+    cells.build(index, str(tmp_path), 30)
+    queries = index.where("vec_id % 10 = 0").withColumnRenamed("vec_id", "query_id")
+    whole = set(map(tuple, vectors.nearest_batch(index, queries, 10).select("query_id", "vec_id").collect()))
+    some = set(map(tuple, cells.search(spark, str(tmp_path), queries, 10, probes=6).select("query_id", "vec_id").collect()))
+    assert len(some & whole) >= 0.9 * len(whole)
+
+
+def test_an_empty_index_finds_nothing(spark, tmp_path):
+    none = spark.createDataFrame([], "vec_id string, embedding array<float>")
+    cells.build(none, str(tmp_path))
+    queries = spark.createDataFrame([(1, [1.0, 2.0])], "query_id long, embedding array<float>")
+    found = cells.search(spark, str(tmp_path), queries)
+    assert found.count() == 0 and dict(found.dtypes)["vec_id"] == "string"
+
+
+# --- keeping an index up to date ---
+
+
+def counting_embedder(path):
+    """Embeds a text as its length and writes down what it was given, whatever process it runs in."""
+
+    def make():
+        def embed(texts):
+            with open(path, "a") as seen:
+                seen.writelines(f"{t}\n" for t in texts)
+            return [[float(len(t)), 1.0] for t in texts]
+
+        return embed
+
+    return make
+
+
+def test_only_changed_texts_are_embedded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(upkeep, "FANOUT", 3)
+    path, log = str(tmp_path / "index"), tmp_path / "seen"
+
+    def state(rows):
+        return spark.createDataFrame(rows, "k long, t string")
+
+    def entries(version=None):
+        return sorted(map(repr, upkeep.read(spark, path, "k", version).collect()))
+
+    def given():
+        out = sorted(log.read_text().split("\n")[:-1]) if log.exists() else []
+        log.write_text("")
+        return out
+
+    first = [(1, "a"), (2, "bb"), (None, "ccc"), (4, None), (4, ""), (1, "a")]
+    assert upkeep.update(state(first), path, "k", "t", counting_embedder(str(log))) == {"version": 1, "added": 5, "gone": 0}
+    assert given() == ["", "", "a", "bb", "ccc"]
+    was = entries()
+    assert upkeep.update(state(first), path, "k", "t", counting_embedder(str(log))) == {"version": 1, "added": 0, "gone": 0}
+    assert given() == [] and upkeep.versions(spark, path) == [1]
+    second = [(1, "a"), (2, "new"), (None, "ccc"), (5, "a")]
+    assert upkeep.update(state(second), path, "k", "t", counting_embedder(str(log))) == {"version": 2, "added": 2, "gone": 3}
+    assert given() == ["a", "new"]
+    assert entries(1) == was and len(entries()) == 4
+    assert upkeep.update(state(first), path, "k", "t", counting_embedder(str(log)))["version"] == 3
+    assert given() == ["", "", "bb"]
+    assert entries() == was and os.path.exists(f"{path}/whole-3")
+    assert upkeep.update(state([]), path, "k", "t", counting_embedder(str(log))) == {"version": 4, "added": 0, "gone": 5}
+    assert entries() == [] and given() == []
+
+
+def test_an_update_that_fails_leaves_the_index_as_it_was(spark, tmp_path):
+    path = str(tmp_path / "index")
+    rows = spark.createDataFrame([(1, "a")], "k long, t string")
+    upkeep.update(rows, path, "k", "t")
+    was = upkeep.read(spark, path, "k").collect()
+
+    def broken():
+        raise OSError("no model")
+
+    with pytest.raises(Exception, match="no model"):
+        upkeep.update(spark.createDataFrame([(1, "b")], "k long, t string"), path, "k", "t", broken)
+    assert upkeep.versions(spark, path) == [1] and upkeep.read(spark, path, "k").collect() == was
+
+
+# --- counts on the way, and bad records ---
+
+
+def test_counts_come_from_the_pass_that_writes(spark, tmp_path, monkeypatch):
+    rows = [book(1), book(2, description=None), book(3, average_rating=None), book(4, description="short"), book(None), book(6, description=" ")]
+    books(spark, rows).write.parquet(str(tmp_path / "in"))
+    source = spark.read.parquet(str(tmp_path / "in"))
+    tracker, group = spark.sparkContext.statusTracker(), "counts"
+    spark.sparkContext.setJobGroup(group, group)
+    counts = clean.write_cleaned(source, str(tmp_path / "out"))
+    jobs = tracker.getJobIdsForGroup(group)
+    spark.sparkContext.setJobGroup("other", "other")
+    assert counts == {"read": 6, "no_id": 1, "incomplete": 2, "short": 2, "written": 2}
+    assert len(jobs) == 1 and spark.read.parquet(str(tmp_path / "out")).count() == 2
+    lines = spark.createDataFrame([("1 a",), ("",), ("  ",), ("no id",), (None,)], "value string")
+    assert files.write_parsed_corpus(lines, str(tmp_path / "lines")) == {"read": 5, "blank": 2, "bad_id": 1, "written": 2}
+
+
+def test_bad_records_are_kept_apart(spark, tmp_path):
+    schema = files.T.StructType([f for f in files.CATALOGUE if f.name in ("isbn13", "title", "num_pages")])
+    lines = ["isbn13,title,num_pages", '1,"a\n""b""",10', "2,N/A,", "x3,c,ten", "4,d", "5,e,6,7", "6,f,12.0", ",,nan"]
+    (tmp_path / "in.csv").write_text("\n".join(lines) + "\n")
+    checked = files.check_csv(spark, str(tmp_path / "in.csv"), schema)
+    good, rejected = files.quarantine(checked, str(tmp_path / "out"))
+    assert sorted(map(tuple, good.collect()), key=repr) == sorted([(1, 'a\n"b"', 10), (2, None, None), (6, "f", 12), (None, None, None)], key=repr)
+    assert good.dtypes == [("isbn13", "bigint"), ("title", "string"), ("num_pages", "int")]
+    found = {r.title: [tuple(x) for x in r.rejects] for r in rejected.collect()}
+    assert found == {"c": [("isbn13", "x3", "not bigint"), ("num_pages", "ten", "not int")], "d": [(None, "4,d", "malformed record")], "e": [(None, "5,e,6,7", "malformed record")]}
+    assert files.quarantine(checked.limit(0), str(tmp_path / "none"))[1].count() == 0
