@@ -5,11 +5,12 @@ with empty words beyond the piece's end. Only these windows are counted. ROLLUP
 counts over successively shorter prefixes, which gives the counts of all shorter phrases, of single words and of all
 words of a language; no shorter n-grams are ever made from the texts.
 
-Most windows are unlike all others, so a window is cut short, by more padding, where what follows cannot matter: a pair
-of neighbours found less than ``least`` times is part of no candidate. Which pairs those are is first counted by hash slots: the
-count of a slot is that of all pairs that fall into it, so that no pair found often enough is ever cut and all counts that
-are used are exact. There are about four slots a pair of the corpus, and at most 2^``slot_bits`` (a broadcast of that many
-bits); with many more pairs than slots fewer windows are cut, and results are the same.
+Most windows are unlike all others, so a window is cut short, by more padding, where what follows cannot matter: a phrase
+found less than ``least`` times is part of no candidate. Which words, then which pairs of those, and so on, are found that
+often is first counted by hash slots, one level after the other. The count of a slot is that of all phrases that fall into
+it, so no phrase found often enough is ever cut, and all counts that are used are exact. A level has 2^``slot_bits`` slots at
+every size, of which one bit each is sent out (16 MB); the more phrases of a corpus there are to a slot, the fewer windows
+are cut, and results are the same.
 
 Windows are added up in each Arrow batch and each task before they are shuffled, so a hot phrase or language is some
 rows of a partial sum. Scores are whole numbers: the products are decimals of 38 digits, right for counts under 10^15.
@@ -28,10 +29,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.llm.common import each_text, stage
-from bindery.llm.wordhash import mixed, word_hashes
+from bindery.llm.wordhash import mixed, text_hashes, word_hashes
 
-SLOT_BITS = 28
-PART = 1 << 22  # bytes of text whose words are held at once
+SLOT_BITS = 27
+PART = 1 << 21  # bytes of text whose words are held at once
 
 #: A-Z in lower case, tabs as spaces, and the contract's ends of pieces as full stops, which are then in no word.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz .........")
@@ -57,35 +58,41 @@ def _parts(batch: pa.RecordBatch):
         yield lang, b".".join(some)
 
 
-def _words(raw: bytes) -> tuple[list[bytes], np.ndarray]:
-    """The words of a part and the stops between pieces, with their hashes."""
-    words = raw.replace(b".", b" . ").split()
-    return words, word_hashes(words)
+def _spaced(raw: bytes) -> bytes:
+    return raw.replace(b".", b" . ")
 
 
-def _pair_slots(hashes: np.ndarray, lang: str, bits: int) -> np.ndarray:
-    """The slot of each word and its neighbour, and -1 where one of them is a stop."""
-    if len(hashes) < 2:
-        return np.zeros(0, np.int64)
-    seed = word_hashes([lang.encode()])[0]
-    pair = mixed(mixed(hashes[:-1] * np.uint64(0xD6E8FEB86659FD93) + seed) + hashes[1:])
-    whole = (hashes[:-1] != _STOP) & (hashes[1:] != _STOP)
-    return np.where(whole, (pair >> np.uint64(64 - bits)).astype(np.int64), -1)
+def _levels(hashes: np.ndarray, lang: str, full: list[np.ndarray], bits: int, levels: int):
+    """For each level m in turn: which words begin a phrase of m words whose parts all are in full slots, and its slot. Past
+    the levels of ``full`` the phrase's own slot is not asked."""
+    keys = mixed(hashes ^ word_hashes([lang.encode()])[0])
+    goes = hashes != _STOP
+    for m in range(1, levels + 1):
+        if m > 1:
+            keys = mixed(keys[:-1] * np.uint64(0xD6E8FEB86659FD93) + hashes[m - 1 :])
+            goes = goes[:-1] & goes[1:]
+        slots = (keys >> np.uint64(64 - bits)).astype(np.int64)
+        if m <= len(full):
+            goes = goes & ((full[m - 1][slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1)
+        yield goes, slots
 
 
 def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
 
 
-def full_slots(texts: DataFrame, least: int, bits: int) -> np.ndarray:
-    """A bit for each slot, set where at least ``least`` pairs fall into it."""
+def full_slots(texts: DataFrame, below: list[np.ndarray], least: int, bits: int) -> np.ndarray:
+    """A bit for each slot of the level above ``below``, set where at least ``least`` phrases fall into it."""
+    held, level = texts.sparkSession.sparkContext.broadcast(below), len(below) + 1
 
     def run(batches):
         for b in batches:
-            slots = [np.zeros(0, np.int64)] + [_pair_slots(_words(raw)[1], lang, bits) for lang, raw in _parts(b)]
-            slot, n = np.unique(np.concatenate(slots), return_counts=True)
-            some = slot >= 0
-            yield pa.RecordBatch.from_arrays([pa.array(slot[some]), pa.array(n[some])], ["slot", "n"])
+            for lang, raw in _parts(b):
+                hashes = text_hashes(_spaced(raw))
+                if len(hashes) >= level:
+                    *_, (goes, slots) = _levels(hashes, lang, held.value, bits, level)
+                    slot, n = np.unique(slots[goes], return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
 
     counts = texts.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
     full = counts.where(F.col("n") >= least).select((F.col("slot") + 1).alias("slot"))  # bitmaps count from one
@@ -98,51 +105,51 @@ def full_slots(texts: DataFrame, least: int, bits: int) -> np.ndarray:
     return out
 
 
-def windows(texts: DataFrame, full: np.ndarray | None, longest: int, bits: int) -> DataFrame:
-    """(lang, w0, w1, ..., n): how often each window stands in the texts, added up by parts of batches. Pads are empty."""
+def windows(texts: DataFrame, full: list[np.ndarray], longest: int, bits: int) -> DataFrame:
+    """(lang, window, n): how often each window stands in the texts, added up by parts of batches. Its words are joined by
+    spaces, which no word holds, and its pads left out; a window whose first word is found too seldom is empty."""
     held = texts.sparkSession.sparkContext.broadcast(full)
-    names = ["lang", *[f"w{k}" for k in range(longest)], "n"]
 
     def of_part(lang: str, raw: bytes) -> pa.RecordBatch:
-        words, hashes = _words(raw)
-        slots = _pair_slots(hashes, lang, bits)
-        goes_on = slots >= 0
-        if held.value is not None:
-            goes_on &= (held.value[slots >> 3] >> (slots & 7).astype(np.uint8)) & 1 == 1
-        goes_on = np.append(goes_on, False)[: len(words)]
-        key, length, on = hashes, np.ones(len(words), np.int64), goes_on
-        for k in range(1, longest):
-            length += on
-            key = mixed(key * np.uint64(0xD6E8FEB86659FD93) + np.where(on, np.append(hashes[k:], np.zeros(min(k, len(words)), np.uint64)), np.uint64(k)))
-            on = on & np.append(goes_on[k:], np.zeros(min(k, len(words)), bool))
-        _, first, n = np.unique(np.where(hashes == _STOP, np.uint64(0), key), return_index=True, return_counts=True)
-        some = hashes[first] != _STOP
-        first, n = first[some], n[some]
-        own = pa.array(words, pa.binary())
-        columns = [pa.array([lang]).take(pa.array(np.zeros(len(first), np.int64)))]
+        words = _spaced(raw).split()
+        hashes = word_hashes(words)
+        length, key = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint64)
+        for goes, _ in _levels(hashes, lang, held.value, bits, longest if len(words) >= longest else len(words)):
+            at = np.flatnonzero(goes)
+            key[at] = mixed(key[at] * np.uint64(0xD6E8FEB86659FD93) + hashes[at + length[at]] + np.uint64(1))
+            length[at] += 1
+        some = np.flatnonzero(hashes != _STOP)
+        _, first, n = np.unique(key[some], return_index=True, return_counts=True)
+        first, own = some[first], pa.array(words, pa.binary())
+        columns = []
         for k in range(longest):
             column = own.take(pa.array(np.minimum(first + k, max(len(words) - 1, 0)))).cast(pa.string())
-            columns.append(pc.if_else(pa.array(length[first] > k), column, ""))
-        return pa.RecordBatch.from_arrays([*columns, pa.array(n)], names)
+            columns.append(pc.if_else(pa.array(length[first] > k), column, pa.scalar(None if k else "", pa.string())))
+        joined = pc.binary_join_element_wise(*columns, " ", null_handling="skip")
+        return pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), joined, pa.array(n)], ["lang", "window", "n"])
 
     def run(batches):
         for b in batches:
             for lang, raw in _parts(b):
                 yield of_part(lang, raw)
 
-    return texts.mapInArrow(run, ", ".join(f"{c} {'bigint' if c == 'n' else 'string'}" for c in names))
+    return texts.mapInArrow(run, "lang string, window string, n bigint")
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, lang: str = "lang", text: str = "text", slot_bits: int = SLOT_BITS) -> DataFrame:
     """(lang, words, f): the occurrences of each phrase of up to ``longest`` words that is found ``least`` times or more, and,
     with no words, of all words of each language."""
     texts = _texts(docs, lang, text)
-    full = full_slots(texts, least, slot_bits) if longest > 1 else None
+    full: list[np.ndarray] = []
+    for _ in range(longest):
+        full.append(full_slots(texts, full, least, slot_bits))
     columns = [f"w{k}" for k in range(longest)]
-    top = windows(texts, full, longest, slot_bits).groupBy("lang", *columns).agg(F.sum("n").alias("n"))
-    sums = top.rollup("lang", *columns).agg(F.sum("n").alias("f"))
-    words = F.filter(F.array(*columns), lambda w: w.isNotNull())  # the others are summed over
-    sums = sums.where("lang is not null").select("lang", words.alias("words"), "f")
+    top = stage(windows(texts, full, longest, slot_bits).groupBy("lang", "window").agg(F.sum("n").alias("n")), "windows")
+    words = F.split("window", " ")
+    top = top.select("lang", "n", *[F.coalesce(F.get(words, F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(columns)])
+    sums = top.rollup("lang", *columns[:-1]).agg(F.sum("n").alias("f")).where("lang is not null")
+    sums = sums.select("lang", F.filter(F.array(*columns[:-1]), lambda w: w.isNotNull()).alias("words"), "f")  # nulls are summed over
+    sums = top.select("lang", F.array(*columns).alias("words"), F.col("n").alias("f")).unionByName(sums)
     return sums.where((F.size("words") == 0) | ((F.col("f") >= least) & ~F.array_contains("words", "")))
 
 
