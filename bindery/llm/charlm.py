@@ -244,9 +244,13 @@ def estimate(counts: dict[str, tuple[np.ndarray, np.ndarray]], alphabet: Alphabe
 
 @dataclass
 class Models:
-    """One model a language, each broadcast by itself: a worker loads those of the languages that it meets."""
+    """One model a language, each broadcast by itself: a worker loads those of the languages that it meets. With a
+    ``pooled`` model of all languages' text, a language's probabilities are mixed with that model's, its own with the
+    share ``own`` of the language."""
 
     parts: dict[str, Broadcast]
+    pooled: Broadcast | None = None
+    own: dict[str, float] = field(default_factory=dict)
 
     @property
     def langs(self) -> list[str]:
@@ -255,7 +259,21 @@ class Models:
     def cross_entropy(self, texts: list[str], lang: str | None = None) -> np.ndarray:
         """Nats per character of each text (rows) under each language, or the one that is asked for (columns)."""
         asked = self.langs if lang is None else [lang]
-        return cross_entropies([self.parts[x].value for x in asked], texts)
+        if self.pooled is None:
+            return cross_entropies([self.parts[x].value for x in asked], texts)
+        mixed = [_Mixed(self.parts[x].value, self.pooled.value, self.own[x]) for x in asked]
+        return cross_entropies(mixed, texts)
+
+
+class _Mixed:
+    """Two models of one language each, the first with the given share."""
+
+    def __init__(self, one: Model, other: Model, share: float):
+        self.alphabet, self.langs, self.models, self.share = one.alphabet, one.langs, (one, other), share
+
+    def rows(self, grams: np.ndarray) -> np.ndarray:
+        own, all_text = (np.exp(m.rows(grams).astype(np.float64)) for m in self.models)
+        return np.log(self.share * own + (1 - self.share) * all_text)
 
 
 def _counts(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -263,15 +281,15 @@ def _counts(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return held.column("gram").to_numpy(), held.column("n").to_numpy()
 
 
-def language_models(docs: DataFrame, alphabet: Alphabet, modified: bool, stored, small_text: int = 0) -> Models:
-    """A model of each language in the rows of ``docs`` (lang, text); languages with under ``small_text`` n-grams share one
-    of all languages' text. ``stored`` writes the count table. A language at a time, of at most 2 ^ (order * bits) counts,
-    passes the driver."""
+def language_models(docs: DataFrame, alphabet: Alphabet, modified: bool, stored, pooled_chars: int = 0) -> Models:
+    """A model of each language in the rows of ``docs`` (lang, text). With ``pooled_chars``, a language of n n-grams has the share
+    n / (n + pooled_chars) in its mixture with a model of all languages' text, at every size. ``stored`` writes the count table. A
+    language at a time, of at most 2 ^ (order * bits) counts, passes the driver."""
     spark, table = docs.sparkSession, stored(count_grams(docs, alphabet))
     sizes = {r.lang: r.size for r in table.groupBy("lang").agg(F.sum("n").alias("size")).collect()}
     send = lambda counts: spark.sparkContext.broadcast(estimate({"": counts}, alphabet, modified))
-    parts = {lang: send(_counts(table.where(F.col("lang") == lang))) for lang in sorted(sizes) if sizes[lang] >= small_text}
-    small = [lang for lang in sizes if lang not in parts]
-    if small:
-        parts |= dict.fromkeys(small, send(_counts(table.groupBy("gram").agg(F.sum("n").alias("n")))))
-    return Models(parts)
+    parts = {lang: send(_counts(table.where(F.col("lang") == lang))) for lang in sorted(sizes)}
+    if not pooled_chars or not parts:
+        return Models(parts)
+    pooled = send(_counts(table.groupBy("gram").agg(F.sum("n").alias("n"))))
+    return Models(parts, pooled, {lang: n / (n + pooled_chars) for lang, n in sizes.items()})

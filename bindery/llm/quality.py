@@ -6,8 +6,8 @@ words, or if over ``most_repeated`` of its words lie in 3-word windows that occu
 Well-formed documents (passing the base rules, with under ``most_symbols`` symbols and ``most_capitals`` capitals for
 each word character) teach a character 3-gram model for each language: Spark counts the n-grams of all of them, and the
 models are sorted hash arrays (see ``charlm``; at most 2 ^ 21 entries a language). Every document is then scored by its
-language's model; a language with under ``small_text`` characters to learn from shares a model of all languages' text,
-its own included. The band of a language is the median log perplexity of its well-formed documents plus and minus
+language's model mixed with a model of all languages' text, its own included: a language of n characters to learn from
+has the share n / (n + ``pooled_chars``) of the mixture, so that the others' text fades as it grows. The band of a language is the median log perplexity of its well-formed documents plus and minus
 ``width`` times their spread (1.4826 times the median absolute deviation, at least ``least_spread``); a document
 outside its band is rejected. With fewer than ``least_docs`` well-formed documents, a language's median absolute
 deviation is shrunk to that of all languages in proportion; its median is its own, since languages differ by more than
@@ -75,7 +75,7 @@ def fails_base(n_words: int, n_repeat_words: int, min_words: int = MIN_WORDS, mo
     return n_words < min_words or 100 * n_repeat_words > most_repeated * n_words
 
 
-def assess(docs: DataFrame, width: float = 8.0, least_spread: float = 0.05, least_docs: int = 20, small_text: int = 1 << 16,
+def assess(docs: DataFrame, width: float = 8.0, least_spread: float = 0.05, least_docs: int = 20, pooled_chars: int = 1 << 16,
            most_symbols: float = 0.02, most_capitals: float = 0.3) -> DataFrame:
     """(doc_id, lang, the five base counts, base_failed, log_ppl, low, high, kept) for each row of ``docs``."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -91,7 +91,7 @@ def assess(docs: DataFrame, width: float = 8.0, least_spread: float = 0.05, leas
             yield b.filter(pa.array([well_formed(t, base_counts(t)) for t in b.column(1).to_pylist()], pa.bool_()))
 
     good = rows.select("lang", "text").mapInArrow(teachers, "lang string, text string")
-    models = language_models(good, ALPHABET, True, lambda df: stage(df, "quality-grams"), small_text)
+    models = language_models(good, ALPHABET, True, lambda df: stage(df, "quality-grams"), pooled_chars)
     names = ["doc_id", "lang", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "teaches", "log_ppl"]
 
     def score(batches):
