@@ -8,19 +8,24 @@ if they are no layout around the article: one that holds most of the page's text
 beside it, or most of the text of the article it stands in, is left to the ratios. A name counts only if each of its
 parts is such a word or a container's (``related-posts``, not ``related-work``); ``article``, ``main``, ``html`` and ``body`` are
 not judged by names, headings, paragraphs and sections not by anchors such as ``id="alerts"``, and modifiers such as
-``has-sidebar`` are no names. If nothing else has text, all is read.
+``has-sidebar`` are no names. What holds most of a page's text is a layout only if that text reads like an article's: at
+least two lines of it have ``PROSE`` characters or more outside links. A page of boilerplate only gives the empty text.
 
 Each line's text-to-tag ratio is its characters over its tags. The ratios are smoothed by a Gaussian, and lines whose
 smoothed ratio exceeds the threshold (a share of the standard deviation) form the content cluster. The content region
 is the innermost element that holds nearly all of the cluster's text, raised to the article or main element around it
 if there is one. If that is wider than an article or main element which holds most of the cluster, that element is
-taken, unless another one holds a part too. Within the region, runs of at least two lines that lie outside articles,
+taken, unless another one holds a part too. Where the region is no article or main element, the lines beside it are looked at
+too: those before it that are headings or as dense as its own lines, with what stands between them, are its title and
+lead; up to ``CLOSING`` dense lines that follow it are its end, and more are a text of their own. Within the region, runs of at least two lines that lie outside articles,
 consist of links and have a ratio below the threshold are menus without a name and go; every other line stays, short ones too,
 since a low ratio alone does not tell a short paragraph from a menu.
 
 Time and memory are linear in the page, however deep its elements nest: elements have parent pointers and numbers in
 page order, so counts roll up in one sweep and the lines of an element are an interval.
 
+Text that a page hides (``hidden``, ``display:none``) is left out as markup; ``aria-hidden`` text is seen and stays.
+
 Defined cases: null and empty pages give an empty text; unclosed elements and pages cut off anywhere are read as far as
 they go; very long and very deep pages are read whole; repeated rows stay; null ids and urls are passed on; an empty
 table gives an empty table; columns other than page_id, url and html are not read.
@@ -75,6 +80,11 @@ ARTICLE = frozenset(("article", "main"))
 LAYOUT = 0.6  # share of the text
 NEARLY = 0.9
 LINKED = 0.9  # share of a line's characters
+PROSE = 40  # characters outside links
+DENSE = 0.5  # of the median ratio of the region's cluster
+BYLINES = 3  # lines between a title and its article
+CLOSING = 3
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 MENU_LINES = 2
 
 
@@ -134,8 +144,11 @@ class Page(HTMLParser):
     def boilerplate(self) -> list[bool]:
         """For each doubtful element, whether it or one around it is no layout."""
         own, held, in_article = [0] * len(self.names), [0] * len(self.doubts), [0] * len(self.doubts)
+        prose = [0] * len(self.doubts)
         total = in_articles = 0
         for parts, _, element in self.read:
+            if len(" ".join("".join(t for t, _, linked in parts if not linked).split())) >= PROSE:
+                prose[parts[0][1]] += 1
             for text, doubt, _ in parts:
                 n = len("".join(text.split()))
                 total += n
@@ -148,25 +161,23 @@ class Page(HTMLParser):
         for i in range(len(held) - 1, 0, -1):
             held[self.doubts[i][0]] += held[i]
             in_article[self.doubts[i][0]] += in_article[i]
+            prose[self.doubts[i][0]] += prose[i]
         out = [False] * len(self.doubts)
         for i in range(1, len(out)):
             around, article, share = self.doubts[i]
             beside = not article and in_articles - in_article[i] > (0.1 * total if share < NEARLY else 0)
-            out[i] = out[around] or beside or held[i] < share * (chars[article] if article else total)
+            out[i] = out[around] or beside or prose[i] < 2 or held[i] < share * (chars[article] if article else total)
         return out
 
     def lines(self) -> list[tuple[str, int, int, float]]:
         """(text, tags, element, share in links) of the lines with text, without the doubtful elements that are no layout."""
-        for out in (self.boilerplate(), [False] * len(self.doubts)):
-            lines = []
-            for parts, tags, element in self.read:
-                kept = [(t, linked) for t, doubt, linked in parts if not out[doubt]]
-                text = " ".join("".join(t for t, _ in kept).split())
-                if text:
-                    linked = sum(len("".join(t.split())) for t, linked in kept if linked)
-                    lines.append((text, tags, element, linked / len(text.replace(" ", ""))))
-            if lines:
-                break
+        out, lines = self.boilerplate(), []
+        for parts, tags, element in self.read:
+            kept = [(t, linked) for t, doubt, linked in parts if not out[doubt]]
+            text = " ".join("".join(t for t, _ in kept).split())
+            if text:
+                linked = sum(len("".join(t.split())) for t, linked in kept if linked)
+                lines.append((text, tags, element, linked / len(text.replace(" ", ""))))
         return lines
 
     def pop(self, to: int) -> None:
@@ -184,7 +195,7 @@ class Page(HTMLParser):
     def unwanted(self, tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if tag in DROP:
             return True
-        return any(k == "hidden" or (k == "aria-hidden" and v == "true") or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
+        return any(k == "hidden" or (k == "style" and v and "display:none" in v.replace(" ", "").lower()) for k, v in attrs)
 
     def doubtful(self, tag: str, attrs: list[tuple[str, str | None]]) -> float:
         """The share of the text that makes a layout of an element that looks like boilerplate; 0 if it doesn't."""
@@ -269,6 +280,29 @@ def unnamed_menus(lines: list[tuple[str, int, int, float]], low: np.ndarray, in_
     return menu
 
 
+def take_beside(inside: list[bool], lines: list[tuple[str, int, int, float]], ratios: np.ndarray, content: np.ndarray, page: Page) -> None:
+    """Add the lines of a title and lead before the region, and of an end after it, to those that are ``inside``."""
+    at = [k for k, here in enumerate(inside) if here]
+    if not at:
+        return
+    own = [ratios[k] for k in at if content[k]]
+    dense = ratios >= DENSE * np.median(own if own else ratios)
+    linked = [share >= LINKED for *_, share in lines]
+    k = first = at[0]
+    while k > 0 and first - k < BYLINES + 1:
+        k -= 1
+        if linked[k]:
+            break
+        if dense[k] or page.names[lines[k][2]] in HEADINGS:
+            inside[k:first] = [True] * (first - k)
+            first = k
+    end = at[-1] + 1
+    while end < len(lines) and dense[end] and not linked[end]:
+        end += 1
+    if end - at[-1] - 1 <= CLOSING:
+        inside[at[-1] + 1 : end] = [True] * (end - at[-1] - 1)
+
+
 def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, most: float = 0.6, nearly: float = NEARLY) -> str:
     """Main text of one page: its blocks in page order, joined by newlines."""
     if not html:
@@ -310,7 +344,10 @@ def main_text(html: str | None, sigma: float = 1.0, share: float = 0.5, most: fl
     else:  # one paragraph is no region
         region = outer(region, ("body", "html", "div", "section", "td"))
     menu = unnamed_menus(lines, ratios < threshold, page.articles)
-    kept = [(t, m) for (t, _, e, _), m in zip(lines, menu) if not region or region <= e <= last[region]]
+    inside = [not region or region <= e <= last[region] for _, _, e, _ in lines]
+    if region and page.names[region] not in ARTICLE:
+        take_beside(inside, lines, ratios, content, page)
+    kept = [(t, m) for (t, *_), m, here in zip(lines, menu, inside) if here]
     return "\n".join(t for t, m in kept if not m) or "\n".join(t for t, _ in kept)
 
 

@@ -169,6 +169,35 @@ def test_names_and_unnamed_menus(page):
     assert html.main_text(f"<body>{page.format(STORY)}</body>") == TOLD
 
 
+@pytest.mark.parametrize(
+    "page, before, after",
+    [
+        ("<div class=top><h1>Title</h1><p>Lead of the story, which is about as long as a paragraph.</p></div><div class=story>{}{}</div>", ["Title", "Lead of the story, which is about as long as a paragraph."], []),
+        ("<div><h1>Title</h1></div><div>By A. Writer</div><div class=text>{}{}</div><div>The end of the story, which comes in a box of its own.</div>", ["Title", "By A. Writer"], ["The end of the story, which comes in a box of its own."]),
+        ("<div><a href=/>Home</a></div><div><a href=/n>News</a></div><div class=text>{}{}</div><div>Imprint</div>", [], []),
+        ("<div class=text>{}{}</div><div class=kommentare>" + "<p>A reader has this to say.</p>" * 4 + "</div>", [], []),
+        ("<p>Kurz.</p><div aria-hidden=true><h2>Shown</h2></div><div>{}{}</div>", ["Shown"], []),
+    ],
+)
+def test_parts_beside_the_story_s_element(page, before, after):
+    told = TOLD + "\n" + TOLD
+    got = html.main_text(f"<body>{page.format(STORY, STORY)}</body>").removeprefix("Kurz.\n")
+    assert got == "\n".join([*before, told, *after])
+
+
+@pytest.mark.parametrize(
+    "page", ["<nav>Home</nav><div class=sidebar><p>Most read</p><p>Sign up for our letter, it comes every day of the week</p></div>", "<div class=cookie>We use cookies.</div>",
+             "<header><h1>Site</h1></header><footer>End</footer>", "<form><input>Search</form>", "<script>x</script><p hidden>no</p>"])
+def test_a_page_of_boilerplate_is_empty(page):
+    assert html.main_text(f"<body>{page}</body>") == ""
+
+
+def test_pages_of_no_rows_and_other_columns(spark):
+    rows = spark.createDataFrame([(1, "u", PAGE, "x", 2), (None, None, None, None, None)], "page_id long, url string, html string, text string, n_chars int")
+    assert sorted((x.page_id or 0, x.url, x.text) for x in html.extract(rows).collect()) == [(0, None, ""), (1, "u", TEXT)]
+    assert html.extract(rows.limit(0)).count() == 0
+
+
 def test_anchors_and_links_of_an_article_stay():
     page = "<article>{}<h2 id='related-work'>Related</h2><section id=alerts><h3 id=share>Alerts</h3>{}</section><ul><li><a href=/1>One</a><li><a href=/2>Two</a></ul></article>"
     assert html.main_text(page.format(STORY, STORY)) == "\n".join([TOLD, "Related", "Alerts", TOLD, "One", "Two"])
@@ -520,12 +549,17 @@ def test_bands_match_the_definition(spark):
         langs += [x] * (n + 3)
     texts, langs = texts + ["few words", None], langs + ["en", "xx"]
     docs = docs_of(spark, texts).withColumn("lang", F.get(F.array(*[F.lit(x) for x in langs]), F.col("doc_id").cast("int")))
-    got = {x.doc_id: x for x in quality.assess(docs, width=3.0, small_text=10).collect()}
+    got = {x.doc_id: x for x in quality.assess(docs, width=3.0, pooled_chars=2000).collect()}
     assert all(got[k].lang == x for k, x in enumerate(langs))
     base = [base_by_hand(t) for t in texts]
     failed = [b[0] < 50 or 100 * b[4] > 50 * b[0] for b in base]
     teach = [k for k, b in enumerate(base) if not failed[k] and b[2] <= 0.02 * b[1] and sum("A" <= c <= "Z" for c in texts[k]) <= 0.3 * b[1]]
-    ps = {x: kneser_ney_by_hand([texts[k] for k in teach if langs[k] == x], quality.ALPHABET, True) for x in ("en", "", None)}
+    taught = {x: [texts[k] for k in teach if langs[k] == x] for x in ("en", "", None)}
+    pooled = kneser_ney_by_hand([texts[k] for k in teach], quality.ALPHABET, True)
+    ps = {}
+    for x, own in taught.items():
+        n = sum(len(quality.ALPHABET.grams([t])[0]) for t in own)
+        ps[x] = lambda g, p=kneser_ney_by_hand(own, quality.ALPHABET, True), w=n / (n + 2000): w * p(g) + (1 - w) * pooled(g)
     ppl = {k: entropy_by_hand(t, quality.ALPHABET, ps[langs[k]]) for k, t in enumerate(texts) if base[k][0] and langs[k] in ps}
     middle = lambda values: sorted(values)[(len(values) - 1) // 2]
     mids = {x: middle([ppl[k] for k in teach if langs[k] == x]) for x in ps}
@@ -565,6 +599,27 @@ def test_quality_judges_small_languages(spark, n_good):
     assert not any(got[k].base_failed or got[k].kept for k in range(60 + n_good, len(texts)))
 
 
+def test_verdicts_do_not_jump_as_a_language_grows(spark):
+    """The same documents, good and junk, with a little less and a little more than 2^16 characters of their language."""
+    r = random.Random(21)
+    word = lambda parts: "".join(r.choice(parts) for _ in range(r.randint(1, 4)))
+    text = lambda parts, tail="": " ".join(word(parts) + tail for _ in range(150))
+    common, own = ["ta", "re", "mi", "lo", "sen", "ter", "po"], ["ku", "vä", "hy", "jok", "nen", "lla"]
+    en, fi = [text(common) for _ in range(200)], [text(own) for _ in range(90)]
+    probes = [text(own) for _ in range(3)] + [text(own, r.choice(["#", "$$"])) for _ in range(3)] + [text(common)]
+    found, chars = [], []
+    for least in (62_000, 65_000, 66_500, 70_000):
+        n = next(n for n in range(len(fi)) if sum(map(len, fi[:n])) >= least)
+        texts = probes + en + fi[:n]
+        docs = docs_of(spark, texts).withColumn("lang", F.when(F.col("doc_id").between(len(probes), len(probes) + len(en) - 1), "en").otherwise("fi"))
+        found.append({x.doc_id: x for x in quality.assess(docs).where(F.col("doc_id") < len(probes)).collect()})
+        chars.append(sum(len(t) + 1 for t in fi[:n]))
+    assert chars[0] < 1 << 16 < chars[-1]
+    for a, b in zip(found, found[1:]):
+        assert all(abs(a[k].log_ppl - b[k].log_ppl) < 0.02 and a[k].kept == b[k].kept for k in a)
+    assert [found[0][k].kept for k in range(6)] == [True] * 3 + [False] * 3
+
+
 # --- stupid backoff ---
 
 
