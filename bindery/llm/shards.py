@@ -4,10 +4,15 @@ Records (doc_id, size and CRC of the text) are hashed into ``n_slots`` fixed vir
 first; a group of more bytes than an average slot is cut into pieces of about that size, whose numbers are hashed too,
 so no key and no group of copies makes a slot that the map cannot balance. Bytes and rows are summed for each slot.
 
-The map from slot to shard is a table of (version, slot, shard) in the shared folder. Version 1 deals equal ranges of slots,
-before any size is known. ``rebalance`` edits a version into the next one by moving few slots until the shards' bytes are
-near equal, after the slots' bytes are summed or to follow new sizes or another number of shards; rows are dealt by the
-latest version. ``first_map`` makes a map from known sizes instead. The law that holds is ``bytes``.
+The map from slot to shard is a table of (version, slot, shard, first) at a path of the caller's, a folder for each version,
+which later runs load and edit; without a path it lives in the shared folder as long as the driver. Version 1 deals equal ranges
+of slots, before any size is known. ``rebalance`` edits the latest version into the next one by moving few slots until
+the shards' bytes are near equal, after the slots' bytes are summed or to follow new sizes or another number of shards;
+rows are dealt by the latest version, and older ones stay as they are. ``first_map`` makes a map from known sizes
+instead. The law that holds is ``bytes``.
+
+Groups of equal texts are not kept together: their rows hash apart by doc_id, because a group may hold a third of all
+bytes and no law but the even one could then hold. Equal texts have equal ``size`` and ``text_crc32``, by which they can be found.
 
 The driver handles only the map, whose size is ``n_slots`` whatever the input. A row's place in its shard is the start
 of its slot in the shard plus its rank in the slot, so no window spans a shard.
@@ -26,6 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bindery.llm.common import stage
+from bindery.sources.scratch import new_path
 
 N_SLOTS = 4096
 MAP_SCHEMA = "version int, slot int, shard int, first long"
@@ -135,14 +141,27 @@ def map_rows(slots: dict[int, int], sizes: list[tuple[int, int, int]], version:
     return rows
 
 
-def store_map(spark, versions: list[list[tuple[int, int, int, int]]]) -> DataFrame:
-    """The map's table, with all its versions: a row for each slot and version."""
-    return stage(spark.createDataFrame([r for rows in versions for r in rows], MAP_SCHEMA).coalesce(1), "slot-map")
+def store_map(spark, versions: list[list[tuple[int, int, int, int]]], path: str | None = None) -> DataFrame:
+    """Append versions, rows as ``map_rows`` makes them, to the map at ``path``, and give all that it holds: a row for each slot
+    and version. A version is one folder, which is there as a whole or not at all."""
+    path = path or new_path(spark, "slot-map")
+    for rows in versions:
+        if rows:
+            spark.createDataFrame(rows, MAP_SCHEMA).drop("version").coalesce(1).write.parquet(f"{path}/version={rows[0][0]}")
+    return read_map(spark, path)
+
+
+def read_map(spark, path: str) -> DataFrame:
+    """All versions of the map at ``path``; no rows where there is none."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], MAP_SCHEMA)
+    return spark.read.schema(MAP_SCHEMA).parquet(path)
 
 
 def latest(slot_map: DataFrame) -> DataFrame:
     newest = slot_map.agg(F.max("version")).first()[0]
-    return slot_map.where(F.col("version") == (newest or 0)).drop("version")
+    return slot_map.where(F.col("version") == (newest or 0))
 
 
 def assign(cut: DataFrame, slot_map: DataFrame) -> DataFrame:
@@ -155,12 +174,23 @@ def assign(cut: DataFrame, slot_map: DataFrame) -> DataFrame:
     return rows.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("rank") + F.col("copy")).alias("place"), "virtual_slot")
 
 
-def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, tolerance: float = 0.0005) -> DataFrame:
-    """Shards 0 to ``n_shards`` - 1 under a new map's version 2, which edits version 1 by the slots' bytes; see ``assign``
+def next_versions(slot_map: DataFrame, sizes: list[tuple[int, int, int]], n_shards: int, n_slots: int, tolerance: float) -> list[list[tuple[int, int, int, int]]]:
+    """The versions to add: one that edits the latest by the slots' bytes, after version 1 where there is none yet."""
+    held = latest(slot_map).collect()  # a row for each slot
+    if held:
+        old, number, out = {r["slot"]: r["shard"] for r in held}, held[0]["version"], []
+    else:
+        old, number = even_map(n_slots, n_shards), 1
+        out = [map_rows(old, sizes, 1)]
+    return [*out, map_rows(rebalance(old, sizes, n_shards, tolerance), sizes, number + 1)]
+
+
+def shard_documents(docs: DataFrame, n_shards: int = 8, n_slots: int = N_SLOTS, tolerance: float = 0.0005, map_path: str | None = None) -> DataFrame:
+    """Shards 0 to ``n_shards`` - 1 under the next version of the map at ``map_path``, or under version 2 of a new map; see ``assign``
     for the columns."""
+    spark = docs.sparkSession
     cut = pieces(records(docs), n_slots)
     sizes = slot_sizes(cut)
-    first = even_map(n_slots, n_shards)
-    second = rebalance(first, sizes, n_shards, tolerance)
-    slot_map = store_map(docs.sparkSession, [map_rows(first, sizes, 1), map_rows(second, sizes, 2)])
+    stored = read_map(spark, map_path) if map_path else spark.createDataFrame([], MAP_SCHEMA)
+    slot_map = store_map(spark, next_versions(stored, sizes, n_shards, n_slots, tolerance), map_path)
     return assign(cut, latest(slot_map))

@@ -226,7 +226,7 @@ def test_rebalance_moves_few_slots():
 def test_query_edits_the_map(spark, sf, monkeypatch):
     """Rows go by version 2: slots, sums and places from the definition; most slots stay where version 1 has them."""
     stored, store = [], shards.store_map
-    monkeypatch.setattr(shards, "store_map", lambda spark, versions: stored.append(versions) or store(spark, versions))
+    monkeypatch.setattr(shards, "store_map", lambda spark, versions, path: stored.append(versions) or store(spark, versions, path))
     out = queries.op8_sharding(spark, sf).collect()
     first, second = stored[0]
     assert {r[0] for r in first} == {1} and {r[0] for r in second} == {2}
@@ -247,6 +247,40 @@ def test_query_edits_the_map(spark, sf, monkeypatch):
         placed[slot_shard[s]] += len(at)
 
 
+def test_a_later_run_edits_the_stored_map(spark, tmp_path):
+    """Over a grown table the next version moves few slots; versions before it stay readable as they were."""
+    path = str(tmp_path / "map")
+    r = random.Random(5)
+    texts = ["x" * r.randint(1, 400) for _ in range(3000)]
+    found = []
+    for n, n_shards in ((2000, 4), (2400, 4), (3000, 5)):
+        out = shards.shard_documents(docs_of(spark, texts[:n]), n_shards, 512, 0.01, path).toPandas()
+        load = out.groupby("shard")["size"].sum()
+        assert len(out) == n and len(load) == n_shards and load.max() <= 1.02 * load.mean()
+        for _, part in out.groupby("shard"):
+            assert sorted(part["place"]) == list(range(len(part)))
+        found.append({x.version: {} for x in shards.read_map(spark, path).select("version").distinct().collect()})
+        for x in shards.read_map(spark, path).collect():
+            found[-1][x.version][x.slot] = (x.shard, x.first)
+        newest = found[-1][max(found[-1])]
+        assert all(newest[s][0] == k for s, k in zip(out["virtual_slot"], out["shard"]))
+    assert [sorted(f) for f in found] == [[1, 2], [1, 2, 3], [1, 2, 3, 4]]
+    assert all(found[2][v] == found[k][v] for k in (0, 1) for v in found[k])
+    moved = lambda a, b: sum(a[s][0] != b[s][0] for s in a if s in b)
+    assert moved(found[2][2], found[2][3]) < 512 / 10 and moved(found[2][3], found[2][4]) < 512 / 3
+
+
+def test_sizes_and_sums_of_all_texts(spark, sf):
+    import zlib
+
+    texts = {x.doc_id: x.text or "" for x in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    out = queries.op8_sharding(spark, sf).collect()
+    assert len(out) == len(texts)
+    for x in out:
+        raw = texts[x.doc_id].encode()
+        assert (x["size"], x.text_crc32, x.law, x.grown_shard) == (len(raw) + 1, zlib.crc32(raw), "bytes", None)
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 40])
 def test_best_exchange_is_the_best(n):
     r = random.Random(n)
