@@ -69,3 +69,30 @@ def hash_embedder(dimensions: int = DIMENSIONS):
         return embed
 
     return make
+
+
+def budgeted(scorer, tokens: int = 1 << 14, length=lambda text: text.str.split().str.len()):
+    """Factory of ``scorer`` that gets its texts in batches of about one length.
+
+    A model pads the texts of a batch to the longest, so a batch costs its longest text's length times its texts. Texts are put in order
+    of length and cut where that product would pass ``tokens``; one longer text is a batch of its own. Scores come back
+    in the order of the texts.
+    """
+
+    def make():
+        score = scorer()
+
+        def scored(batch: pd.DataFrame) -> pd.DataFrame:
+            n = length(batch["text"].fillna("")).clip(lower=1).to_numpy()
+            order = np.argsort(n, kind="stable")
+            parts, start = [], 0
+            for k in range(len(order) + 1):
+                if k == len(order) or (k > start and n[order[k]] * (k + 1 - start) > tokens):
+                    if k > start:
+                        parts.append(score(batch.iloc[order[start:k]]))
+                    start = k
+            return pd.concat(parts).loc[batch.index] if parts else score(batch)
+
+        return scored
+
+    return make

@@ -105,3 +105,23 @@ def length_profile(df: DataFrame, col: str = "description") -> DataFrame:
         band = band.when(n.between(low, high), f"{low}-{high}")
     named = df.where(F.col(col).isNotNull()).select(band.otherwise(f"{BANDS[-1][1] + 1}+").alias("band"))
     return named.groupBy("band").agg(F.count("*").alias("rows"))
+
+
+RANK_ERROR = 0.0133  # of a KLL sketch of the default size, at 99 %
+
+
+def length_sketches(df: DataFrame, by: str, col: str = "description") -> DataFrame:
+    """(by, rows, sketch): a KLL sketch of the word counts of each group's items, some kilobytes that can be stored and merged."""
+    n = word_count(F.col(col))
+    return df.where(F.col(col).isNotNull()).groupBy(by).agg(F.count("*").alias("rows"), F.kll_sketch_agg_bigint(n).alias("sketch"))
+
+
+def merged_sketches(sketches: DataFrame, *by: str) -> DataFrame:
+    """Stored sketches merged, over all or by coarser groups."""
+    return sketches.groupBy(*by).agg(F.sum("rows").alias("rows"), F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def sketched_quantiles(sketches: DataFrame, ranks: tuple[float, ...] = (0.05, 0.25, 0.5, 0.75, 0.95)) -> DataFrame:
+    """The other columns, and (at, length): the word count at each rank."""
+    at = F.array(*[F.struct(F.lit(r).alias("at"), F.kll_sketch_get_quantile_bigint("sketch", F.lit(r)).alias("length")) for r in ranks])
+    return sketches.select("*", F.inline(at)).drop("sketch")

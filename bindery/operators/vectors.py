@@ -19,11 +19,19 @@ QUERY_STEP = 64  # queries of a block that meet an Arrow batch at once
 
 
 def hash_embed(df: DataFrame, key: str, text: str) -> DataFrame:
-    """(key, bucket, value): the non-zero entries of each text's hashed unit vector, as expressions."""
-    tokens = df.select(key, F.explode(words(F.lower(F.col(text)))).alias("w"))
-    counts = tokens.groupBy(key, token_bucket(F.col("w")).cast("int").alias("bucket")).agg(F.count("*").alias("n"))
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy(key)))
-    return counts.select(key, "bucket", (F.col("n") / norm).alias("value"))
+    """(key, bucket, value): the non-zero entries of each row's hashed unit vector, as expressions inside the row."""
+    at = F.transform(words(F.lower(F.col(text))), lambda w: token_bucket(w).cast("int"))
+
+    def entries(buckets):
+        return F.transform(F.array_distinct(buckets), lambda b: F.struct(b.alias("bucket"), (F.size(buckets) - F.size(F.array_remove(buckets, b))).alias("n")))
+
+    def scaled(counts):
+        norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda total, c: total + c["n"] * c["n"]))
+        return F.transform(F.arrays_zip(counts.alias("c"), F.array_repeat(norm, F.size(counts)).alias("norm")), lambda x: F.struct(x["c"]["bucket"].alias("bucket"), (x["c"]["n"] / x["norm"]).alias("value")))
+
+    # Lambdas' variables hold what is used more than once, so that a text is hashed once.
+    vector = F.flatten(F.transform(F.transform(F.array(at), entries), scaled))
+    return df.select(key, F.inline(vector))
 
 
 def embed(df: DataFrame, key: str, text: str, embedder: Callable | None = None) -> DataFrame:

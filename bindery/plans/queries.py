@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions import scorers
 from bindery.functions import text as X
-from bindery.operators import category, cells, clean, emotion, profile, recommend, upkeep, vectors
+from bindery.operators import category, cells, clean, emotion, layout, profile, recommend, upkeep, vectors
 from bindery.plans import enrich
 from bindery.sources import files
 from bindery.sources import fixtures as fx
@@ -649,3 +649,58 @@ def enrich_catalogue(spark, sf_dir):
     """Clean, categorise, score emotions, land: each step's table is the next one's."""
     out = landed(enrich.enrich(catalogue(spark, sf_dir, parts=("average_rating",)), mapping=fx.LANGUAGE_MAP), "enriched")
     return rounded(out.select("isbn13", "simple_categories", "title_and_subtitle", "description_with_id", *scorers.EMOTIONS))
+
+
+# --- how tables lie ---
+
+_NEAR_BATCH_IDS = f"WITH {NEAR_ONE} SELECT doc_id AS isbn13, lang AS categories, text AS description FROM documents WHERE doc_id IN (SELECT vec_id FROM near)"
+
+
+@query(_NEAR_BATCH_IDS)
+def lookup_bloom(spark, sf_dir):
+    """The items of a search, looked up in a catalogue whose row groups have bloom filters of the key."""
+    near = recommend.found_ids(table(spark, sf_dir, "embeddings"), fx.query_vector(spark, sf_dir))
+    stored = layout.land_for_lookup(items(spark, sf_dir).repartition(8), new_path(spark, "lookup"), "isbn13", row_group_bytes=1 << 20)
+    return layout.look_up(stored, "isbn13", [r.isbn13 for r in near.collect()]).select("isbn13", "categories", "description")
+
+
+@query(ORACLE_SQL["join_scores"])
+def join_scores_bucketed(spark, sf_dir):
+    """As ``join_scores``, of two tables that are stored in buckets by the key: the join itself shuffles nothing."""
+    rows = items(spark, sf_dir)
+    left = layout.bucketed(rows.select("isbn13", "categories"), new_path(spark, "items"), "isbn13", 8)
+    right = layout.bucketed(emotion.most_of_each(emotion.score_sentences(rows)), new_path(spark, "scores"), "isbn13", 8)
+    return rounded(left.hint("merge").join(right, "isbn13"))
+
+
+@query(f"""WITH {ITEMS} SELECT isbn13, {MAPPED} AS simple_categories FROM items WHERE {MAPPED} IN (
+  SELECT ['All', 'Fiction', 'Nonfiction'][vec_id // 50 % 3 + 1] FROM embeddings WHERE vec_id % 50 = 0 AND ['All', 'Happy', 'Surprising', 'Angry', 'Suspenseful', 'Sad'][vec_id // 50 % 6 + 1] = 'Happy')""")
+def category_landing(spark, sf_dir):
+    """The items of the categories that happy requests ask for, from a catalogue with a folder for each category."""
+    stored = layout.land_by_category(fx.with_simple_category(items(spark, sf_dir)), new_path(spark, "by-category"), "simple_categories")
+    asked = landed(fx.requests(spark, sf_dir).select("tone", F.col("category").alias("simple_categories")), "asked")
+    return layout.of_categories(stored, asked.where("tone = 'Happy'"), "simple_categories").select("isbn13", "simple_categories")
+
+
+@query("""WITH c AS (SELECT lang AS categories, count(*) AS rows FROM documents WHERE text IS NOT NULL GROUP BY lang UNION ALL SELECT 'all', count(*) FROM documents WHERE text IS NOT NULL)
+SELECT categories, rows, "at", true AS within_error FROM c, (SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS "at")""")
+def length_quantiles(spark, sf_dir):
+    """Quantiles of word counts by category and over all, from stored and merged sketches; whether the rows below and up to each
+    are as many as its rank says, within the sketch's stated error."""
+    books = items(spark, sf_dir)
+    stored = landed(profile.length_sketches(books, "categories"), "sketches")
+    both = stored.unionByName(profile.merged_sketches(stored).withColumn("categories", F.lit("all")))
+    found = landed(profile.sketched_quantiles(both), "quantiles")
+    exact = books.where("description is not null").select(F.explode(F.array("categories", F.lit("all"))).alias("of"), X.word_count(F.col("description")).alias("n"))
+    exact = exact.groupBy("of", "n").agg(F.count("*").alias("times"))
+    met = found.join(exact, F.col("categories").eqNullSafe(F.col("of")))
+    below, upto = F.sum(F.when(F.col("n") < F.col("length"), F.col("times")).otherwise(0)), F.sum(F.when(F.col("n") <= F.col("length"), F.col("times")).otherwise(0))
+    room = profile.RANK_ERROR * F.col("rows") + 1
+    counted = met.groupBy("categories", "rows", "at").agg(below.alias("below"), upto.alias("upto"))
+    return counted.select("categories", "rows", "at", ((F.col("below") <= F.col("at") * F.col("rows") + room) & (F.col("upto") >= F.col("at") * F.col("rows") - room)).alias("within_error"))
+
+
+@query(ORACLE_SQL["emotion_scores"])
+def emotion_scores_budgeted(spark, sf_dir):
+    """As ``emotion_scores``, with the scorer's batches cut by length."""
+    return rounded(emotion.score_sentences(items(spark, sf_dir), scorers.budgeted(scorers.letter_scorer(scorers.LETTERS))))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from bindery.functions import scorers
 from bindery.functions import text as X
-from bindery.operators import category, cells, clean, emotion, profile, recommend, upkeep, vectors
+from bindery.operators import category, cells, clean, emotion, layout, profile, recommend, upkeep, vectors
 from bindery.plans import enrich
 from bindery.sources import files
 
@@ -415,3 +415,99 @@ def test_bad_records_are_kept_apart(spark, tmp_path):
     found = {r.title: [tuple(x) for x in r.rejects] for r in rejected.collect()}
     assert found == {"c": [("isbn13", "x3", "not bigint"), ("num_pages", "ten", "not int")], "d": [(None, "4,d", "malformed record")], "e": [(None, "5,e,6,7", "malformed record")]}
     assert files.quarantine(checked.limit(0), str(tmp_path / "none"))[1].count() == 0
+
+
+# --- how tables lie ---
+
+
+def rows_scanned(df):
+    """Rows that the scans of a query gave out."""
+    df.collect()
+    plan, out = [df._jdf.queryExecution().executedPlan()], 0
+    while plan:
+        node = plan.pop()
+        if "AdaptiveSparkPlan" in node.nodeName():
+            node = node.executedPlan()
+        children = node.children()
+        plan += [children.apply(k) for k in range(children.size())]
+        if "QueryStage" in node.nodeName():
+            plan.append(node.plan())
+        if node.nodeName().startswith("Scan"):
+            out += node.metrics().apply("numOutputRows").value()
+    return out
+
+
+def test_row_groups_without_the_keys_are_skipped(spark, tmp_path):
+    n, groups = 200_000, 8
+    df = spark.range(n).select(F.xxhash64("id").alias("key"), F.sha2(F.col("id").cast("string"), 256).alias("text")).repartition(groups)
+    keys = [r.key for r in df.orderBy("text").limit(3).collect()]
+    plain = str(tmp_path / "plain")
+    df.write.parquet(plain)
+    stored = layout.land_for_lookup(df, str(tmp_path / "bloom"), "key", distinct_keys=n // groups)
+    found = layout.look_up(stored, "key", [*keys, None, -5])
+    assert sorted(r.key for r in found.collect()) == sorted(keys)
+    assert rows_scanned(found) <= n / groups * 4 < n * 0.9 < rows_scanned(layout.look_up(spark.read.parquet(plain), "key", keys))
+    assert layout.look_up(stored, "key", [None]).count() == 0
+    assert layout.look_up(stored, "key", [r.key for r in df.limit(45).collect()]).count() == 45
+    with pytest.raises(ValueError, match="join"):
+        layout.look_up(stored, "key", list(range(layout.MOST_KEYS + 1)))
+
+
+def test_buckets_join_without_a_shuffle(spark, tmp_path):
+    a = spark.range(1000).select((F.col("id") % 300).alias("k"), "id")
+    b = spark.range(0, 400, 2).select(F.col("id").alias("k"), F.lit("x").alias("x"))
+    left, right = layout.bucketed(a, str(tmp_path / "a"), "k", 4), layout.bucketed(b, str(tmp_path / "b"), "k", 4)
+    joined = left.hint("merge").join(right, "k")
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, a.join(b, "k").collect()))
+
+
+def test_categories_nobody_asks_are_not_read(spark, tmp_path):
+    df = spark.range(100).select("id", F.when(F.col("id") % 5 > 0, F.concat(F.lit("c"), F.col("id") % 5)).alias("category"))
+    stored = layout.land_by_category(df, str(tmp_path / "in"), "category")
+    spark.createDataFrame([("c1", 1), ("c1", 1), ("c4", 2), (None, 1)], "category string, day int").write.parquet(str(tmp_path / "asked"))
+    asked = spark.read.parquet(str(tmp_path / "asked")).where("day = 1")
+    found = layout.of_categories(stored, asked, "category")
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.id for r in found.collect()) == list(range(1, 100, 5))
+    assert stored.where("category is null").count() == 20
+
+
+def test_sketches_merge(spark):
+    rows = [(f"g{k % 3}", " ".join(["w"] * (k % 500))) for k in range(6000)] + [("g0", None)]
+    sketches = profile.length_sketches(spark.createDataFrame(rows, "g string, description string"), "g")
+    merged = profile.sketched_quantiles(profile.merged_sketches(sketches), (0.1, 0.5)).collect()
+    assert {r["rows"] for r in merged} == {6000}
+    for r in merged:
+        assert abs(r.length - r["at"] * 500) <= profile.RANK_ERROR * 500 + 2
+
+
+@pytest.mark.parametrize("tokens", [1, 40, 10_000])
+def test_batches_keep_to_the_budget(tokens):
+    import pandas as pd
+
+    seen = []
+
+    def model():
+        def score(batch):
+            seen.append(list(batch["text"]))
+            return pd.DataFrame({"n": batch["text"].str.len()}, index=batch.index)
+
+        return score
+
+    texts = ["a b c", "", "one " * 100, "a", None, "b b", "c c c c", "d"] * 5
+    out = scorers.budgeted(model, tokens)()(pd.DataFrame({"text": texts}, index=range(100, 100 + len(texts))))
+    assert out["n"].tolist() == pd.Series(texts).str.len().tolist() or out["n"].fillna(-1).tolist() == pd.Series(texts).str.len().fillna(-1).tolist()
+    assert sum(map(len, seen)) == len(texts)
+    for batch in seen:
+        longest = max(max(1, len((t or "").split())) for t in batch)
+        assert len(batch) == 1 or longest * len(batch) <= tokens
+    assert scorers.budgeted(model, tokens)()(pd.DataFrame({"text": pd.Series([], dtype=str)})).empty
+
+
+def test_vectors_need_no_shuffle(spark):
+    df = spark.createDataFrame([(1, "a b a"), (2, ""), (3, None)], "k long, t string")
+    hashed = vectors.hash_embed(df, "k", "t")
+    assert "Exchange" not in hashed._jdf.queryExecution().executedPlan().toString()
+    assert {r.k for r in hashed.collect()} == {1} and abs(sum(r.value**2 for r in hashed.collect()) - 1) < 1e-9
