@@ -49,21 +49,28 @@ def range_cuts(df: DataFrame, cols: list[str], pieces: int = 64) -> dict[str, li
     return {c: sorted(set(row[c] or [])) for c in cols}
 
 
-def average_ranks(df: DataFrame, col: str, cuts: list[float]) -> DataFrame:
-    """(value, rank): the mean rank of each distinct value's rows.
+def all_ranks(df: DataFrame, cols: list[str], cuts: dict[str, list[float]]) -> DataFrame:
+    """(of, value, rank): for each column, the mean rank of each distinct value's rows, all columns in one pass.
 
-    Distinct values are counted first. Their running counts come from windows over the ranges between ``cuts``, each
+    Distinct values are counted first. Their running counts come from windows over the ranges between a column's ``cuts``, each
     after the totals of the ranges before it, so no task sees all values.
     """
-    counts = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.count("*").alias("n"))
-    bounds = F.array(*[F.lit(c) for c in cuts]) if cuts else None
-    piece = F.size(F.filter(bounds, lambda b: b < F.col("value"))) if cuts else F.lit(0)
-    dealt = counts.withColumn("piece", piece)
-    before = Window.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges
-    starts = dealt.groupBy("piece").agg(F.sum("n").alias("total")).select("piece", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
-    along = Window.partitionBy("piece").orderBy("value")
-    ranked = dealt.join(F.broadcast(starts), "piece")
-    return ranked.select("value", (F.col("start") + F.sum("n").over(along) - (F.col("n") - 1) / 2).alias("rank"))
+    values = df.select(*cols).unpivot([], cols, "of", "value").where("value is not null")
+    piece = F.lit(0)
+    for c in cols:
+        if cuts[c]:
+            piece = F.when(F.col("of") == c, F.size(F.filter(F.array(*[F.lit(x) for x in cuts[c]]), lambda b: b < F.col("value")))).otherwise(piece)
+    dealt = values.groupBy("of", "value").agg(F.count("*").alias("n")).withColumn("piece", piece)
+    before = Window.partitionBy("of").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges
+    starts = dealt.groupBy("of", "piece").agg(F.sum("n").alias("total")).select("of", "piece", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("start"))
+    along = Window.partitionBy("of", "piece").orderBy("value")
+    ranked = dealt.join(F.broadcast(starts), ["of", "piece"])  # some dozens of rows a column
+    return ranked.select("of", "value", (F.col("start") + F.sum("n").over(along) - (F.col("n") - 1) / 2).alias("rank"))
+
+
+def average_ranks(df: DataFrame, col: str, cuts: list[float]) -> DataFrame:
+    """(value, rank) of one column; see ``all_ranks``."""
+    return all_ranks(df, [col], {col: cuts}).select("value", "rank")
 
 
 def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -81,10 +88,10 @@ def spearman(df: DataFrame, cols: list[str]) -> DataFrame:
     out = None
     for known, pairs in together.items():
         used = sorted({c for pair in pairs for c in pair})
-        both = ranked = narrow.select(*used).dropna(subset=list(known)) if known else narrow.select(*used)
+        ranked = narrow.select(*used).dropna(subset=list(known)) if known else narrow.select(*used)
+        ranks = landed(all_ranks(ranked, used, cuts), "ranks")
         for c in used:
-            ranks = average_ranks(both, c, cuts[c]).select(F.col("value").alias(c), F.col("rank").alias(f"rank_{c}"))
-            ranked = ranked.join(ranks, c)
+            ranked = ranked.join(ranks.where(F.col("of") == c).select(F.col("value").alias(c), F.col("rank").alias(f"rank_{c}")), c)
         wide = ranked.agg(*[pearson(F.col(f"rank_{a}"), F.col(f"rank_{b}")).alias(f"r{i}") for i, (a, b) in enumerate(pairs)])
         rows = F.array(*[F.struct(F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.round(f"r{i}", 6).alias("r")) for i, (a, b) in enumerate(pairs)])
         part = wide.select(F.inline(rows))

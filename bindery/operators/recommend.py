@@ -38,7 +38,7 @@ def semantic_lookup(index: DataFrame, catalogue: DataFrame, query: list[float],
 def found_ids(index: DataFrame, query: list[float], k: int = 50, key: str = "isbn13") -> DataFrame:
     """(key, d) of the ``k`` nearest items, searched once: at most ``k`` rows, which go through the driver."""
     near = nearest(index, query, k).withColumnRenamed("vec_id", key)
-    return index.sparkSession.createDataFrame(near.collect(), near.schema)
+    return index.sparkSession.createDataFrame(near.toArrow())  # a local relation: reading it again is no job
 
 
 def recommend(index: DataFrame, catalogue: DataFrame, query: list[float] | None, category: str | None = None, tone: str | None = None, initial_k: int = 50, final_k: int = 10, order: str = "catalogue", key: str = "isbn13", near: DataFrame | None = None, prepare: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bindery.functions.scorers import hash_embedder, token_bucket
+from bindery.functions.scorers import DIMENSIONS, hash_embedder, token_bucket
 from bindery.functions.text import words
 
 QUERY_BLOCK = 1024
@@ -20,18 +20,20 @@ QUERY_STEP = 64  # queries of a block that meet an Arrow batch at once
 
 def hash_embed(df: DataFrame, key: str, text: str) -> DataFrame:
     """(key, bucket, value): the non-zero entries of each row's hashed unit vector, as expressions inside the row."""
-    at = F.transform(words(F.lower(F.col(text))), lambda w: token_bucket(w).cast("int"))
+    # A text's buckets as a string of a character each, which is hashed and split once and counted by native functions.
+    first = ord("!")
+    buckets = F.array_join(F.transform(words(F.lower(F.col(text))), lambda w: F.char(token_bucket(w) + first)), "")
 
-    def entries(buckets):
-        return F.transform(F.array_distinct(buckets), lambda b: F.struct(b.alias("bucket"), (F.size(buckets) - F.size(F.array_remove(buckets, b))).alias("n")))
+    def counted(line):
+        n = F.transform(F.sequence(F.lit(0), F.lit(DIMENSIONS - 1)), lambda b: F.struct(b.alias("bucket"), (F.length(line) - F.length(F.replace(line, F.char(b + first), F.lit("")))).alias("n")))
+        return F.filter(n, lambda c: c["n"] > 0)
 
     def scaled(counts):
         norm = F.sqrt(F.aggregate(counts, F.lit(0.0), lambda total, c: total + c["n"] * c["n"]))
-        return F.transform(F.arrays_zip(counts.alias("c"), F.array_repeat(norm, F.size(counts)).alias("norm")), lambda x: F.struct(x["c"]["bucket"].alias("bucket"), (x["c"]["n"] / x["norm"]).alias("value")))
+        zipped = F.arrays_zip(counts.alias("c"), F.array_repeat(norm, F.size(counts)).alias("norm"))
+        return F.transform(zipped, lambda x: F.struct(x["c"]["bucket"].alias("bucket"), (x["c"]["n"] / x["norm"]).alias("value")))
 
-    # Lambdas' variables hold what is used more than once, so that a text is hashed once.
-    vector = F.flatten(F.transform(F.transform(F.array(at), entries), scaled))
-    return df.select(key, F.inline(vector))
+    return df.select(key, F.inline(F.flatten(F.transform(F.transform(F.array(buckets), counted), scaled))))
 
 
 def embed(df: DataFrame, key: str, text: str, embedder: Callable | None = None) -> DataFrame:
