@@ -31,6 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindery.llm.common import BLANKS, ascii_lower, discard, stage
+from bindery.sources.scratch import new_path
 
 KEY = ["h1", "h2"]
 N_BATCHES = 5
@@ -75,7 +76,10 @@ class LineRuns:
 
     def add(self, batch: DataFrame) -> None:
         """Count the batch's keys, leave out those that some run has settled, and keep the rest as a run."""
-        own = _keys_of(batch).groupBy(*KEY).agg(F.count("*").alias("docs"))
+        self.add_counts(_keys_of(batch).groupBy(*KEY).agg(F.count("*").alias("docs")))
+
+    def add_counts(self, own: DataFrame) -> None:
+        """As ``add``, for a batch that comes as its keys (h1, h2, docs)."""
         if self.runs():
             settled = _union([r.where(F.col("docs") >= self.settled_at).select(*KEY) for r in self.runs()])
             own = own.join(settled.hint("merge"), KEY, "left_anti")
@@ -102,9 +106,15 @@ def _summed(runs: list[DataFrame]) -> DataFrame:
     return _union(runs).groupBy(*KEY).agg(F.sum("docs").alias("docs"))
 
 
-def hash_batches(docs: DataFrame, n: int = N_BATCHES) -> list[DataFrame]:
-    """The documents in ``n`` batches by the hash of their doc_id."""
-    return [docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) == k) for k in range(n)]
+def batch_counts(docs: DataFrame, n: int = N_BATCHES) -> list[DataFrame]:
+    """(h1, h2, docs): the keys of the documents in ``n`` batches by the hash of their doc_id. One pass over the texts counts and lands the
+    keys of all batches, a folder for each."""
+    spark, batch = docs.sparkSession, F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int").alias("batch")
+    keys = docs.select(batch, F.explode(F.array_distinct(line_keys(F.col("text")))).alias("k")).where("k is not null")
+    counts = keys.groupBy("batch", "k.h1", "k.h2").agg(F.count("*").alias("docs"))
+    counts.write.partitionBy("batch").parquet(path := new_path(spark, "line-keys"))
+    stored = spark.read.schema("h1 bigint, h2 bigint, docs bigint, batch int").parquet(path)
+    return [stored.where(F.col("batch") == k).drop("batch") for k in range(n)]
 
 
 def _ident() -> list[Column]:
@@ -114,12 +124,17 @@ def _ident() -> list[Column]:
 def drop_frequent_lines(docs: DataFrame, batches: list[DataFrame] | None = None, min_docs: int = 10, fanout: int = 3, n_batches: int = N_BATCHES) -> DataFrame:
     """(doc_id, text, n_lines, n_dropped): texts without the lines whose key at least ``min_docs`` documents hold.
 
-    ``batches`` are the parts of ``docs`` in the order they arrive; without them there are ``n_batches`` by doc_id.
+    ``batches`` are the parts of ``docs`` in the order they arrive; without them there are ``n_batches`` by doc_id, whose keys are
+    made in one pass.
     """
     docs = docs.select("doc_id", "text")
     runs = LineRuns(min_docs, fanout)
-    for batch in batches or hash_batches(docs, n_batches):
-        runs.add(batch.select("doc_id", "text"))
+    if batches:
+        for batch in batches:
+            runs.add(batch.select("doc_id", "text"))
+    else:
+        for counts in batch_counts(docs, n_batches):
+            runs.add_counts(counts)
     frequent = stage(runs.frequent(), "frequent-lines")
     lines = docs.select(*_ident(), F.posexplode(line_keys(F.col("text"))).alias("at", "k")).where("k is not null")
     hits = lines.select("of", "t1", "t2", "at", "k.*").join(frequent.hint("merge"), KEY, "left_semi")
