@@ -53,7 +53,7 @@ def fit_centres(vectors: DataFrame, n_cells: int, key: str = "vec_id", vec: str
     spark = vectors.sparkSession
     finite = vectors.where(F.forall(vec, lambda v: ~F.isnan(v) & (F.abs(v) < float("inf")))).select(key, vec)
     some = landed(finite.orderBy(F.xxhash64(key), key).limit(sample).select(vec), "centre-sample")
-    first = some.distinct().limit(n_cells).toArrow().column(0).combine_chunks()
+    first = some.distinct().orderBy(F.xxhash64(vec)).limit(n_cells).toArrow().column(0).combine_chunks()
     if not len(first):
         return np.zeros((0, 0))
     centres = _matrix(first)
