@@ -459,6 +459,35 @@ def test_language_scores_and_rejection_match_the_definition(spark):
     assert 0 < sum(not x.accepted for x in got.values()) < len(texts)
 
 
+def test_language_calibration_reads_every_row(spark):
+    """More training rows than any former sample held: the factor and the lowest accepted score are those of all of them."""
+    r = random.Random(17)
+    pools = {"en": ["the", "and", "in", "er", "o"], "de": ["der", "und", "ein", "sch", "o"]}
+    names = [r.choice(["en", "de"]) for _ in range(6000)]
+    texts = [" ".join(r.choice(pools[x] if r.random() < 0.8 else ["o", "er", "ein"]) for _ in range(r.randint(1, 9))) for x in names]
+    docs = spark.createDataFrame([(k, t, x) for k, (t, x) in enumerate(zip(texts, names))], "doc_id long, text string, lang string")
+    got = {x.doc_id: x for x in langid.identify(docs, F.lit(True), reject_share=0.1).collect()}
+    models = charlm.language_models(docs, langid.ALPHABET, False, lambda df: df)
+    ce, length, truth = models.cross_entropy(texts), np.sqrt([len(t) for t in texts])[:, None], np.array([models.langs.index(x) for x in names])
+    shares = []
+    for factor in np.geomspace(0.05, 50, 31):
+        z = np.exp((ce.min(axis=1, keepdims=True) - ce) * factor * length)
+        shares.append(z / z.sum(axis=1, keepdims=True))
+    share = min(shares, key=lambda p: -np.log(p[np.arange(len(truth)), truth] + 1e-300).mean())
+    least = np.quantile(share.max(axis=1)[ce.argmin(axis=1) == truth], 0.1)
+    assert all(math.isclose(got[k].score, p, rel_tol=1e-9) for k, p in enumerate(share.max(axis=1)))
+    assert [got[k].accepted for k in range(len(texts))] == (share.max(axis=1) >= least - 1e-12).tolist()
+
+
+def test_quantile_is_exact(spark):
+    r = np.random.default_rng(3)
+    for values in (r.random(700), np.repeat([0.25, 1.0, 0.5], [3, 9, 2]), np.array([0.7])):
+        bits = spark.createDataFrame([(int(x),) for x in values.view(np.int64)], "bits long")
+        for share in (0.0, 0.005, 0.37, 1.0):
+            assert math.isclose(langid.quantile(bits, share), np.quantile(values, share), rel_tol=1e-14)
+    assert langid.quantile(bits.limit(0), 0.5) == 0.0
+
+
 def test_languages_of_one_script(spark):
     """Two languages in Cyrillic letters and two in Han, told apart on texts that taught nothing."""
     r = random.Random(13)
