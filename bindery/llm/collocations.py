@@ -12,8 +12,10 @@ it, so no phrase found often enough is ever cut, and all counts that are used ar
 every size, of which one bit each is sent out (16 MB); the more phrases of a corpus there are to a slot, the fewer windows
 are cut, and results are the same.
 
-Windows are added up in each Arrow batch and each task before they are shuffled, so a hot phrase or language is some
-rows of a partial sum. Scores are whole numbers: the products are decimals of 38 digits, right for counts under 10^15.
+Tasks send the slots of their texts in order, as distances of about a byte each, and no slot more than ``least`` times, which
+is all that tells whether it is full. Windows are added up in each task before they are shuffled, so a hot phrase or language
+is some rows of a partial sum; those of one bucket and count are sent as one string. Scores are whole numbers: the products
+are decimals of 38 digits, right for counts under 10^15.
 
 Defined cases: null and empty texts have no words; a null language counts as ``und`` and is one with a language of that name;
 repeated rows count again; equal scores are ranked by count, then by the phrase's bytes; phrases with equal bytes are one;
@@ -33,6 +35,7 @@ from bindery.llm.wordhash import mixed, text_hashes, word_hashes
 
 SLOT_BITS = 27
 PART = 1 << 21  # bytes of text whose words are held at once
+HOLD_SLOTS, HOLD_WINDOWS = 1 << 22, 1 << 20  # held by a task before it sends them
 
 #: A-Z in lower case, tabs as spaces, and the contract's ends of pieces as full stops, which are then in no word.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz .........")
@@ -81,36 +84,73 @@ def _texts(docs: DataFrame, lang: str, text: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).alias("text"))
 
 
+def packed_slots(slots: np.ndarray, least: int, bits: int) -> pa.RecordBatch:
+    """(bucket, gaps): slots in order, a repeated one ``least`` times at most, as distances within their bucket; a byte of 255
+    stands for a distance that goes on in the next."""
+    slots, low, least = np.sort(slots), bits - _bucket_bits(bits), max(1, least)
+    again = np.zeros(len(slots), bool)
+    again[least:] = slots[least:] == slots[:-least]
+    slots = slots[~again]
+    buckets, first = np.unique(slots >> low, return_index=True)
+    gaps = np.diff(slots, prepend=slots[:1])
+    gaps[first] = slots[first] & ((1 << low) - 1)
+    ends = np.cumsum(gaps // 255 + 1)
+    out = np.full(ends[-1] if len(ends) else 0, 255, np.uint8)
+    out[ends - 1] = gaps % 255
+    starts = np.append(np.append(0, ends)[first], len(out)).astype(np.int32)
+    return pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), pa.BinaryArray.from_buffers(pa.binary(), len(buckets), [None, pa.py_buffer(starts), pa.py_buffer(out)])], ["bucket", "gaps"])
+
+
+def _bucket_bits(bits: int) -> int:
+    return min(10, bits - 3)
+
+
 def full_slots(texts: DataFrame, below: list[np.ndarray], least: int, bits: int) -> np.ndarray:
     """A bit for each slot of the level above ``below``, set where at least ``least`` phrases fall into it."""
     held, level = texts.sparkSession.sparkContext.broadcast(below), len(below) + 1
+    size = 1 << bits - _bucket_bits(bits)
 
     def run(batches):
+        some, n = [], 0
         for b in batches:
             for lang, raw in _parts(b):
                 hashes = text_hashes(_spaced(raw))
                 if len(hashes) >= level:
                     *_, (goes, slots) = _levels(hashes, lang, held.value, bits, level)
-                    slot, n = np.unique(slots[goes], return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(n)], ["slot", "n"])
-
-    counts = texts.mapInArrow(run, "slot bigint, n bigint").groupBy("slot").agg(F.sum("n").alias("n"))
-    full = counts.where(F.col("n") >= least).select((F.col("slot") + 1).alias("slot"))  # bitmaps count from one
-    maps = full.groupBy(F.expr("bitmap_bucket_number(slot)").alias("at")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits"))
-    out = np.zeros(1 << bits >> 3, np.uint8)
+                    some.append(slots[goes].astype(np.int32))
+                    n += len(some[-1])
+                if n >= HOLD_SLOTS:
+                    yield packed_slots(np.concatenate(some), least, bits)
+                    some, n = [], 0
+        if n:
+            yield packed_slots(np.concatenate(some), least, bits)
+
+    def add(rows: pa.Table) -> pa.Table:
+        n, places = np.zeros(size, np.int64), []
+        for k, own in enumerate(each_text(rows.column("gaps")), 1):
+            gaps = np.frombuffer(own, np.uint8)
+            places.append(np.cumsum(gaps, dtype=np.int32)[gaps != 255])
+            if k % 256 == 0 or k == rows.num_rows:
+                n += np.bincount(np.concatenate(places), minlength=size)
+                places = []
+        return pa.table([rows.column("bucket")[:1], pa.array([np.packbits(n >= least, bitorder="little").tobytes()], pa.binary())], ["bucket", "bits"])
+
+    maps = texts.mapInArrow(run, "bucket int, gaps binary").groupBy("bucket").applyInArrow(add, "bucket int, bits binary")
+    out = np.zeros((1 << _bucket_bits(bits), size >> 3), np.uint8)
     for r in maps.toArrow().to_batches():  # together no more than the bits of all slots
         for at, own in zip(r.column(0).to_pylist(), each_text(r.column(1))):
-            first = (at - 1) * len(own)
-            out[first : first + len(own)] = np.frombuffer(own, np.uint8)[: len(out) - first]
-    return out
+            out[at] = np.frombuffer(own, np.uint8)
+    return out.ravel()
 
 
 def windows(texts: DataFrame, full: list[np.ndarray], longest: int, bits: int) -> DataFrame:
-    """(lang, window, n): how often each window stands in the texts, added up by parts of batches. Its words are joined by
-    spaces, which no word holds, and its pads left out; a window whose first word is found too seldom is empty."""
+    """(lang, window, n): how often each window stands in the texts. Its words are joined by spaces, which no word holds, and
+    its pads left out; a window whose first word is found too seldom is empty. Tasks add windows up and send those of one
+    bucket and count in order as one string, by line feeds, which no word holds either."""
     held = texts.sparkSession.sparkContext.broadcast(full)
+    n_buckets = 4 * int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    def of_part(lang: str, raw: bytes) -> pa.RecordBatch:
+    def of_part(lang: str, raw: bytes):
         words = _spaced(raw).split()
         hashes = word_hashes(words)
         length, key = np.zeros(len(words), np.int64), np.zeros(len(words), np.uint64)
@@ -119,21 +159,41 @@ def windows(texts: DataFrame, full: list[np.ndarray], longest: int, bits: int) -
             key[at] = mixed(key[at] * np.uint64(0xD6E8FEB86659FD93) + hashes[at + length[at]] + np.uint64(1))
             length[at] += 1
         some = np.flatnonzero(hashes != _STOP)
-        _, first, n = np.unique(key[some], return_index=True, return_counts=True)
+        keys, first, n = np.unique(key[some], return_index=True, return_counts=True)
         first, own = some[first], pa.array(words, pa.binary())
         columns = []
         for k in range(longest):
             column = own.take(pa.array(np.minimum(first + k, max(len(words) - 1, 0)))).cast(pa.string())
             columns.append(pc.if_else(pa.array(length[first] > k), column, pa.scalar(None if k else "", pa.string())))
-        joined = pc.binary_join_element_wise(*columns, " ", null_handling="skip")
-        return pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), joined, pa.array(n)], ["lang", "window", "n"])
+        return keys, pc.binary_join_element_wise(*columns, " ", null_handling="skip"), n
+
+    def packed(lang: str, parts: list) -> pa.RecordBatch:
+        keys, first, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        n = np.bincount(back, weights=np.concatenate([p[2] for p in parts])).astype(np.int64)
+        some = pa.chunked_array([p[1] for p in parts]).combine_chunks().take(pa.array(first))
+        order = pc.sort_indices(some).to_numpy()
+        bucket = (mixed(keys) % np.uint64(n_buckets)).astype(np.int32)
+        order = order[np.lexsort((n[order], bucket[order]))]
+        bucket, n = bucket[order], n[order]
+        starts = np.flatnonzero(np.append(True, (bucket[1:] != bucket[:-1]) | (n[1:] != n[:-1]))[: len(n)])
+        lists = pa.ListArray.from_arrays(pa.array(np.append(starts, len(n)).astype(np.int32)), some.take(pa.array(order)))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[starts]), pa.array([lang] * len(starts), pa.string()), pa.array(n[starts]), pc.binary_join(lists, "\n")], ["bucket", "lang", "n", "windows"])
 
     def run(batches):
+        some: dict[str, list] = {}
+        size = 0
         for b in batches:
             for lang, raw in _parts(b):
-                yield of_part(lang, raw)
+                some.setdefault(lang, []).append(of_part(lang, raw))
+                size += len(some[lang][-1][0])
+                if size >= HOLD_WINDOWS:
+                    yield from (packed(*x) for x in some.items())
+                    some, size = {}, 0
+        yield from (packed(*x) for x in some.items())
 
-    return texts.mapInArrow(run, "lang string, window string, n bigint")
+    sent = texts.mapInArrow(run, "bucket int, lang string, n bigint, windows string").repartition("bucket")
+    each = sent.select("bucket", "lang", "n", F.explode(F.split("windows", "\n")).alias("window"))
+    return each.groupBy("bucket", "lang", "window").agg(F.sum("n").alias("n")).drop("bucket")
 
 
 def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, lang: str = "lang", text: str = "text", slot_bits: int = SLOT_BITS) -> DataFrame:
@@ -144,7 +204,7 @@ def phrase_counts(docs: DataFrame, longest: int = 3, least: int = 10, lang: str
     for _ in range(longest):
         full.append(full_slots(texts, full, least, slot_bits))
     columns = [f"w{k}" for k in range(longest)]
-    top = stage(windows(texts, full, longest, slot_bits).groupBy("lang", "window").agg(F.sum("n").alias("n")), "windows")
+    top = stage(windows(texts, full, longest, slot_bits), "windows")
     words = F.split("window", " ")
     top = top.select("lang", "n", *[F.coalesce(F.get(words, F.lit(k)), F.lit("")).alias(c) for k, c in enumerate(columns)])
     sums = top.rollup("lang", *columns[:-1]).agg(F.sum("n").alias("f")).where("lang is not null")

@@ -216,6 +216,66 @@ def test_phrases_match_brute_force(spark, monkeypatch, longest, slot_bits, part)
     assert sorted(tuple(x) for x in found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()) == phrases_by_hand(rows, longest, 6, 40, 50)
 
 
+def unpacked(batch, bits):
+    low = bits - collocations._bucket_bits(bits)
+    for at, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+        gaps = np.frombuffer(own, np.uint8)
+        yield from ((at << low) + np.cumsum(gaps, dtype=np.int64)[gaps != 255]).tolist()
+
+
+def test_packed_slots_come_back():
+    r = np.random.default_rng(5)
+    some = [0, 255, 510, 509, 765, 1 << 14, (1 << 15) - 1, (1 << 15) - 1, *[77] * 30]
+    for slots in (some, [], [3], r.integers(0, 1 << 15, 3000), np.repeat(r.integers(0, 1 << 15, 9), 50)):
+        slots = np.array(slots, np.int32)
+        want = sorted(x for x, n in Counter(slots.tolist()).items() for _ in range(min(n, 4)))
+        assert list(unpacked(collocations.packed_slots(slots, 4, 15), 15)) == want
+    dense = collocations.packed_slots(np.sort(r.integers(0, 1 << 27, 2_000_000)).astype(np.int32), 10, 27)
+    assert dense.column(1).nbytes < 1.5 * 2_000_000
+
+
+def test_full_slots_match_counts(spark, monkeypatch):
+    """Texts that a task sends in several runs count together."""
+    monkeypatch.setattr(collocations, "HOLD_SLOTS", 1)
+    r = random.Random(8)
+    texts = [" ".join(f"u{r.randrange(12)}" for _ in range(40)) for _ in range(60)]
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").repartition(3)
+    full, words = [], [w.encode() for t in texts for w in [*t.split(), "."]]
+    for _ in range(2):
+        *_, (goes, slots) = collocations._levels(collocations.word_hashes(words), "en", full, 13, len(full) + 1)
+        n = np.bincount(slots[goes], minlength=1 << 13)
+        full.append(collocations.full_slots(docs, full, 7, 13))
+        assert np.array_equal(np.unpackbits(full[-1], bitorder="little"), (n >= 7).astype(np.uint8)) and (n >= 7).any()
+
+
+@pytest.mark.parametrize("hold", [1, 500])
+def test_windows_of_several_sendings_add_up(spark, monkeypatch, hold):
+    monkeypatch.setattr(collocations, "HOLD_WINDOWS", hold)
+    r = random.Random(9)
+    rows = [(r.choice(["en", None]), " ".join(r.choice(["a", "b", "c", "d", f"u{r.randrange(50)}"]) for _ in range(30))) for _ in range(90)]
+    docs = spark.createDataFrame(rows, "lang string, text string")
+    found = collocations.collocations(docs, 3, 6, 40, 50, slot_bits=20)
+    assert sorted(tuple(x) for x in found.select("lang", "rank", "phrase", "a", "l", "r", "n", "score").collect()) == phrases_by_hand(rows, 3, 6, 40, 50)
+
+
+def shuffled_bytes(spark):
+    jvm, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, jvm.new_array(jvm.jvm.double, 0), None)
+    return {stages.apply(k).stageId(): stages.apply(k).shuffleWriteBytes() for k in range(stages.size())}
+
+
+def test_phrase_counts_shuffle_little(spark):
+    """Unlike windows and their slots leave tasks in a few bytes a word."""
+    r = random.Random(10)
+    words = [f"{chr(97 + k % 26)}{k * 7919 % 9973}" for k in range(2000)]
+    texts = [" ".join(r.choice(words) for _ in range(5000)) for _ in range(40)]
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").coalesce(2)
+    before = shuffled_bytes(spark)
+    assert collocations.phrase_counts(docs).count()
+    sent = sum(n for k, n in shuffled_bytes(spark).items() if k not in before)
+    assert 0 < sent < 5 * 200_000, sent
+
+
 def test_phrases_of_awkward_documents(spark):
     docs = awkward_documents(spark)
     found = collocations.collocations(docs)
