@@ -35,7 +35,7 @@ from bindery.llm.wordhash import mixed, text_hashes, word_hashes
 
 SLOT_BITS = 27
 PART = 1 << 21  # bytes of text whose words are held at once
-HOLD_SLOTS, HOLD_WINDOWS = 1 << 22, 1 << 20  # held by a task before it sends them
+HOLD_SLOTS, HOLD_WINDOWS = 1 << 22, 1 << 26  # slots, and bytes of windows, that a task holds before it sends them
 
 #: A-Z in lower case, tabs as spaces, and the contract's ends of pieces as full stops, which are then in no word.
 _PLAIN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz .........")
@@ -185,7 +185,7 @@ def windows(texts: DataFrame, full: list[np.ndarray], longest: int, bits: int) -
         for b in batches:
             for lang, raw in _parts(b):
                 some.setdefault(lang, []).append(of_part(lang, raw))
-                size += len(some[lang][-1][0])
+                size += sum(x.nbytes for x in some[lang][-1])
                 if size >= HOLD_WINDOWS:
                     yield from (packed(*x) for x in some.items())
                     some, size = {}, 0

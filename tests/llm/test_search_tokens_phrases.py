@@ -248,7 +248,7 @@ def test_full_slots_match_counts(spark, monkeypatch):
         assert np.array_equal(np.unpackbits(full[-1], bitorder="little"), (n >= 7).astype(np.uint8)) and (n >= 7).any()
 
 
-@pytest.mark.parametrize("hold", [1, 500])
+@pytest.mark.parametrize("hold", [1, 5000])
 def test_windows_of_several_sendings_add_up(spark, monkeypatch, hold):
     monkeypatch.setattr(collocations, "HOLD_WINDOWS", hold)
     r = random.Random(9)
