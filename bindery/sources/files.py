@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,6 +15,8 @@ NA_TOKENS = (
     "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL",
     "NaN", "None", "n/a", "nan", "null",
 )
+#: What is missing in a foreign file, beside fields of nothing. In a file that keeps texts as they are, nothing else is missing: ().
+MISSING = ("", *NA_TOKENS)
 
 _TEXT = ("title", "subtitle", "authors", "categories", "thumbnail", "description")
 CATALOGUE = T.StructType(
@@ -37,21 +41,35 @@ def read_csv(spark: SparkSession, path: str, schema: T.StructType = CATALOGUE) -
 RECORD = "_record"
 
 
+def _records(spark: SparkSession, path: str, raw: T.StructType, header: bool, **options) -> DataFrame:
+    """The fields as texts: null for a field of nothing, an empty text for an empty pair of quotes."""
+    # Spark makes null of every text that equals its mark for a field of nothing, so the mark is one that no file holds.
+    nothing = uuid.uuid4().hex
+    return spark.read.schema(raw).csv(path, header=header, multiLine=True, escape='"', nullValue=nothing, **options)
+
+
+def _known(name: str, missing: tuple[str, ...]) -> Column:
+    return F.when(~F.col(name).isin(*missing), F.col(name)) if missing else F.col(name)
+
+
 def _typed(raw: Column, kind: T.DataType) -> Column:
     if isinstance(kind, T.StringType):
         return raw
     return raw.try_cast("double").try_cast(kind) if isinstance(kind, T.IntegerType) else raw.try_cast(kind)
 
 
-def check_csv(spark: SparkSession, path: str, schema: T.StructType = CATALOGUE, header: bool = True) -> DataFrame:
+def check_csv(
+    spark: SparkSession, path: str, schema: T.StructType = CATALOGUE, header: bool = True, missing: tuple[str, ...] = MISSING, line_sep: str | None = None
+) -> DataFrame:
     """The columns of ``schema`` as ``read_csv`` gives them, and ``rejects``: an array of (column, value, reason), empty for a good row.
 
     A record with too many or too few fields, or whose quotes do not close, is one reject of no column, whose value is the whole
-    record. A field that is not missing and has not its column's type is a reject; missing fields are none.
+    record. A field that is not missing and has not its column's type is a reject; missing fields are none. Without ``line_sep``
+    records end as the first line break of a file does, which may be one inside a text.
     """
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema] + [T.StructField(RECORD, T.StringType())])
-    rows = spark.read.schema(raw).csv(path, header=header, multiLine=True, escape='"', mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD)
-    known = {f.name: F.when(~F.col(f.name).isin(*NA_TOKENS), F.col(f.name)) for f in schema}
+    rows = _records(spark, path, raw, header, mode="PERMISSIVE", columnNameOfCorruptRecord=RECORD, lineSep=line_sep)
+    known = {f.name: _known(f.name, missing) for f in schema}
     typed = {f.name: _typed(known[f.name], f.dataType) for f in schema}
     whole = F.struct(F.lit(None).cast("string").alias("column"), F.col(RECORD).alias("value"), F.lit("malformed record").alias("reason"))
     fields = [
