@@ -26,14 +26,14 @@ CATALOGUE = T.StructType(
 )
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType = CATALOGUE) -> DataFrame:
-    """Rows of a CSV with a header; fields may hold newlines and doubled quotes, and NA tokens are null.
+def read_csv(spark: SparkSession, path: str, schema: T.StructType = CATALOGUE, missing: tuple[str, ...] = MISSING) -> DataFrame:
+    """Rows of a CSV with a header; fields may hold newlines and doubled quotes, and what is ``missing`` is null.
 
     A file with multi-line fields cannot be split, so large catalogues come as many files and are landed as Parquet.
     """
     raw = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    rows = spark.read.schema(raw).csv(path, header=True, multiLine=True, escape='"')
-    known = {f.name: F.when(~F.col(f.name).isin(*NA_TOKENS), F.col(f.name)) for f in schema}
+    rows = _records(spark, path, raw, header=True)
+    known = {f.name: _known(f.name, missing) for f in schema}
     typed = [_typed(known[f.name], f.dataType).alias(f.name) for f in schema]
     return rows.select(*typed)
 
@@ -45,7 +45,8 @@ def _records(spark: SparkSession, path: str, raw: T.StructType, header: bool, **
     """The fields as texts: null for a field of nothing, an empty text for an empty pair of quotes."""
     # Spark makes null of every text that equals its mark for a field of nothing, so the mark is one that no file holds.
     nothing = uuid.uuid4().hex
-    return spark.read.schema(raw).csv(path, header=header, multiLine=True, escape='"', nullValue=nothing, **options)
+    # charToEscapeQuoteEscaping would be U+0000 otherwise, which texts would lose.
+    return spark.read.schema(raw).csv(path, header=header, multiLine=True, escape='"', charToEscapeQuoteEscaping='"', nullValue=nothing, **options)
 
 
 def _known(name: str, missing: tuple[str, ...]) -> Column:
@@ -96,7 +97,12 @@ def observed(df: DataFrame, name: str, **counts: Column) -> tuple[DataFrame, Obs
 
 
 def write_csv(df: DataFrame, path: str, drop: tuple[str, ...] = ()) -> None:
-    df.drop(*drop).write.csv(path, header=True, escape='"', quoteAll=True, lineSep="\n")
+    """A CSV with a header, texts as they are, empty ones in quotes and nulls as fields of nothing: ``read_csv`` gives the same rows
+    if it takes nothing else for missing. A single column is all in quotes, since readers skip blank lines, and its nulls are empty texts.
+    """
+    # Spark also quotes nulls if it is to quote all; texts with quotes, commas or line breaks are quoted anyway.
+    kept = df.drop(*drop)
+    kept.write.csv(path, header=True, escape='"', quoteAll=len(kept.columns) == 1, lineSep="\n", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
 
 
 def write_corpus(df: DataFrame, path: str, id_col: str = "isbn13", text_col: str = "description") -> None:
